@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CRC_TABLE_SQL, crc_sql, table
+from .pii import count_kind, find_spans, span_text
 from .sharding import balanced_tree, shard_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +25,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15: two regions of two racks of four shards."""
     rows = shard_rows(table(spark, sf_dir, "documents"), balanced_tree(2, 2, 4))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: counts by base kind, a digest of the base spans, and all spans."""
+    found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans, base = F.col("spans"), F.filter("spans", lambda s: s["rank"] < 4)
+    return found.select(
+        "doc_id",
+        *(count_kind(spans, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(spans).alias("spans"),
+        F.aggregate(spans, F.lit(0.0), lambda a, s: F.greatest(a, s["score"])).alias("top_score"),
+    )
