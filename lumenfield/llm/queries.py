@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CRC_TABLE_SQL, crc_sql, table
+from .decontaminate import decontaminate, items_digest
 from .pii import count_kind, find_spans, span_text
 from .sharding import balanced_tree, shard_rows
 
@@ -39,3 +40,16 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_text(spans).alias("spans"),
         F.aggregate(spans, F.lit(0.0), lambda a, s: F.greatest(a, s["score"])).alias("top_score"),
     )
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of ten-word benchmark windows in all documents."""
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        items_digest(F.col("items")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
