@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CRC_TABLE_SQL, crc_sql, table
+from .common import CRC_TABLE_SQL, crc_sql, crc_text, table
 from .decontaminate import decontaminate, items_digest
 from .pii import count_kind, find_spans, span_text
+from .quality import score, train
 from .sharding import balanced_tree, shard_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels of rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_text("doc_id") % 3 == 1
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
