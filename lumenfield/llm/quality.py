@@ -3,9 +3,9 @@
 Words are runs of word characters or of punctuation, in lower case; the features of a text are its words, its pairs of
 neighbouring words, and the shape of a pair (the same word again, or not), hashed to DIM places. A text is the
 L2-normed vector of log(1 + count). Learning takes at most MAX_TRAIN labelled rows, those with the smallest hash of their
-key, so that the sample is the same on every run; their features are made where the texts are read. SHARDS learners
-each take an equal share and their weights are averaged, so that no task and no driver ever holds more than a fixed
-number of rows. Scoring is a sparse dot product for every text, with the weights (DIM floats) as a broadcast of fixed
+key, so that the sample is the same on every run; their features are made where the texts are read, and one task learns
+from them in the order of that hash: follow-the-regularised-leader is sequential, and MAX_TRAIN bounds what the task
+holds. Scoring is a sparse dot product for every text, with the weights (DIM floats) as a broadcast of fixed
 size.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIM = 1 << 18
-MAX_TRAIN, SHARDS, EPOCHS = 6000, 2, 5
+MAX_TRAIN, EPOCHS = 6000, 5
 #: Follow-the-regularised-leader (proximal): step size, smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.0, 0.0
 
@@ -108,12 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return pa.table({"n": [len(rows)], "bias": [bias], "weights": [w.astype(np.float32).tobytes()]})
 
     cells = joined.select(text, "_label", "_order").mapInArrow(featured, "label int, order long, place binary, value binary")
-    parts = cells.groupBy(F.pmod("order", F.lit(SHARDS)).alias("shard")).applyInArrow(fitted, "n long, bias double, weights binary").collect()
-    total = sum(p.n for p in parts)
-    if not total:
+    parts = cells.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "n long, bias double, weights binary").collect()
+    if not parts:
         return Model(np.zeros(DIM, np.float32), 0.0)
-    weights = sum(np.frombuffer(p.weights, np.float32) * (p.n / total) for p in sorted(parts, key=lambda p: (p.n, p.bias)))
-    return Model(weights.astype(np.float32), sum(p.bias * p.n for p in sorted(parts, key=lambda p: (p.n, p.bias))) / total)
+    return Model(np.frombuffer(parts[0].weights, np.float32), parts[0].bias)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
