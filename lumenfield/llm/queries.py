@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CRC_TABLE_SQL, crc_sql, crc_text, table
+from .common import CRC_TABLE_SQL, crc_sql, crc_text, shared_path, table
 from .decontaminate import decontaminate, items_digest
 from .pii import count_kind, find_spans, span_text
 from .quality import score, train
 from .sharding import balanced_tree, shard_rows
+from .warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +65,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = score(docs, model)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives in the shared folder and read back from them."""
+    path = shared_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(c, "^<urn:page:([0-9-]+)>$", 1).try_cast("long")
+    return read_warc(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+ORACLES["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p),
+b AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 10 * (i // 8)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT, 1)), '') AS payload_digest
+  FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM f
+"""
