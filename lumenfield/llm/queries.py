@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import CRC_TABLE_SQL, crc_sql, crc_text, shared_path, table
 from .decontaminate import decontaminate, items_digest
+from .neighbours import nearest
 from .pii import count_kind, find_spans, span_text
 from .quality import score, train
 from .sharding import balanced_tree, shard_rows
@@ -86,3 +87,19 @@ b AS (
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM f
 """
+
+
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest, by inner product, of every vector whose id is divisible by 20, among all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+ORACLES["op3_neighbours"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
+"""
