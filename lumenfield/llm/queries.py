@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import CRC_TABLE_SQL, crc_sql, crc_text, shared_path, table
 from .decontaminate import decontaminate, items_digest
 from .neighbours import nearest
+from .ngram_join import link_documents
 from .pii import count_kind, find_spans, span_text
 from .quality import score, train
 from .sharding import balanced_tree, shard_rows
@@ -103,3 +104,9 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
 """
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return link_documents(table(spark, sf_dir, "documents"))
