@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +77,18 @@ CRC_TABLE_SQL = """crc_table AS (
 def crc_sql(t: str) -> str:
     """Needs crc_table in the FROM clause."""
     return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, crc_t[1 + (xor(a, b) & 255)])), 4294967295)"""
+
+
+def with_arrow(df: DataFrame, inputs: list[str], out: str, kind: str, start: Callable[[], Callable[..., pa.Array]]) -> DataFrame:
+    """df with a column ``out`` (replaced if there) of type ``kind``; start() runs once a task and gives the function
+    that makes a batch's column from the columns ``inputs``."""
+    schema = df.withColumn(out, F.lit(None).cast(kind)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for b in batches:
+            at = dict(zip(b.schema.names, b.columns))
+            at[out] = make(*(at[n] for n in inputs))
+            yield pa.RecordBatch.from_arrays([at[f.name] for f in schema], names=schema.names)
+
+    return df.mapInArrow(run, schema)

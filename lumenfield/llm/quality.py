@@ -12,7 +12,7 @@ size.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_arrow
+
 DIM = 1 << 18
 MAX_TRAIN, EPOCHS = 6000, 5
 #: Follow-the-regularised-leader (proximal): step size, smoothing, L1 and L2.
@@ -117,16 +119,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with a score from 0 to 1, higher for likelier quality; null and empty texts get the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumn(out, F.lit(0.0)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.zeros(b.num_rows)
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            for i in range(0, b.num_rows, 500):
-                found[i : i + 500] = shared.value.scores(texts[i : i + 500])
-            kept = [(n, c) for n, c in zip(b.schema.names, b.columns) if n != out]
-            at = dict(kept) | {out: pa.array(found)}
-            yield pa.RecordBatch.from_arrays([at[f.name] for f in schema], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+    def start() -> Callable[[pa.Array], pa.Array]:
+        def make(column: pa.Array) -> pa.Array:
+            texts = column.to_pylist()
+            return pa.array(np.concatenate([np.zeros(0), *(shared.value.scores(texts[i : i + 500]) for i in range(0, len(texts), 500))]))
+
+        return make
+
+    return with_arrow(docs, [text], out, "double", start)

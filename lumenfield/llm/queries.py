@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from .common import CRC_TABLE_SQL, crc_sql, crc_text, shared_path, table
 from .decontaminate import decontaminate, items_digest
 from .neighbours import nearest
 from .ngram_join import link_documents
+from .pieces import SPACE, Vocabulary, decode, encode
 from .pii import count_kind, find_spans, span_text
 from .quality import score, train
 from .sharding import balanced_tree, shard_rows
@@ -110,3 +112,16 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+#: The vocabulary file that op9 and the pipeline use; a path that the driver can open.
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again: how many pieces, a hash of their ids, and whether the text came back."""
+    v = Vocabulary.load(PIECES)
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), v)
+    same = F.col("decoded") == F.translate("text", SPACE, " ")
+    return decode(coded, v).select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.coalesce(same, F.lit(True)).alias("round_trip"))
