@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import CRC_TABLE_SQL, crc_sql, crc_text, shared_path, table
 from .decontaminate import decontaminate, items_digest
+from .html_text import extract_text
 from .neighbours import nearest
 from .ngram_join import link_documents
 from .pieces import SPACE, Vocabulary, decode, encode
@@ -125,3 +126,9 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), v)
     same = F.col("decoded") == F.translate("text", SPACE, " ")
     return decode(coded, v).select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.coalesce(same, F.lit(True)).alias("round_trip"))
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages."""
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
