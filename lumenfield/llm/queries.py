@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import CRC_TABLE_SQL, crc_sql, crc_text, shared_path, table
 from .decontaminate import decontaminate, items_digest
 from .html_text import extract_text
+from .language_model import score_texts
 from .neighbours import nearest
 from .ngram_join import link_documents
 from .pieces import SPACE, Vocabulary, decode, encode
@@ -132,3 +133,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of all pages."""
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that aren't held out."""
+    held_out = F.coalesce(crc_text("doc_id") % 7 == 2, F.lit(False))
+    scored = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
