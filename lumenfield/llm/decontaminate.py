@@ -104,8 +104,9 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator
     yield Block(held, window)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, keep: bool = False) -> DataFrame:
     """Per row of docs: key, n_words, n_hit, items (sorted ids of items with an exact window), near_items (proximity).
+    With keep, all columns of docs and then those (docs may not have columns of their names).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. n_hit
     counts the document words inside any exact occurrence. Null and empty texts have no words and no hits; repeated rows
@@ -114,10 +115,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item, text, window)]
-    kind = docs.schema[key].dataType.simpleString()
+    wanted = docs if keep else docs.select(key, text)
+    names, at = (docs.columns, docs.columns.index(text)) if keep else ([key], 1)
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
 
     def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [words_of(t) for t in batch.column(1).to_pylist()]
+        texts = [words_of(t) for t in batch.column(at).to_pylist()]
         n_words = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(n_words + 1)
         starts = ends - n_words - 1
@@ -142,19 +145,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         hit = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
         n_hit = hit[starts + n_words] - hit[starts]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words), pa.array(n_hit.astype(np.int64)), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in near], pa.list_(pa.string()))],
-            names=[key, "n_words", "n_hit", "items", "near_items"],
+            [*(batch.columns if keep else [batch.column(0)]), pa.array(n_words), pa.array(n_hit.astype(np.int64)), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in near], pa.list_(pa.string()))],
+            names=[*names, "n_words", "n_hit", "items", "near_items"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), np.int64) // 6 + 1)
+            sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0), np.int64) // 6 + 1)
             cut = np.flatnonzero(np.diff(sizes // SEGMENT_WORDS)) + 1 if len(sizes) else []
             for a, b in zip([0, *cut], [*cut, batch.num_rows]):
                 if b > a:
                     yield answer(batch.slice(a, b - a))
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_words long, n_hit long, items array<string>, near_items array<string>")
+    return wanted.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, near_items array<string>")
 
 
 def items_digest(items: Column) -> Column:
