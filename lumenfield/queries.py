@@ -1,8 +1,26 @@
 """Registry of the analytics queries: name -> (spark, sf_dir) -> DataFrame, and their oracle SQL."""
 
+from __future__ import annotations
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its oracle SQL if there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+from .plans import cohort_queries, decision_queries, footprint_queries, spatial_queries  # noqa: E402, F401
