@@ -22,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import partitions_for, stored
 
 FILE_BYTES = 8 << 20
+#: Revisits are broadcast if they are at most so many rows, of some 60 bytes each.
+BROADCAST_ROWS = 100_000
+#: An archive file has at most so many records.
+FILE_RECORDS = 20_000
 #: A header that is longer than this isn't one.
 HEADER_BYTES = 64 << 10
 
@@ -54,12 +58,12 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     narrow = own.where(F.col("_bytes") >= min_bytes).select("_key", "_digest")
     first = narrow.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     revisits = narrow.join(first, "_digest").where(F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_key"))).groupBy("_key", "_digest").agg(F.first("_first").alias("_first"))
-    parts = partitions_for(pages, FILE_BYTES)
-    joined = own.repartition(parts, "_key", "_digest").join(
-        revisits.select(F.col("_key").alias("_k"), F.col("_digest").alias("_d"), "_first").hint("shuffle_hash"),
-        F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")),
-        "left",
-    )
+    revisits = stored(revisits.select(F.col("_key").alias("_k"), F.col("_digest").alias("_d"), "_first"), "revisits")
+    if revisits.count() <= BROADCAST_ROWS:  # the payloads stay where they are read
+        revisits = F.broadcast(revisits)
+    else:
+        own = own.repartition(partitions_for(pages, FILE_BYTES), "_key", "_digest")
+    joined = own.join(revisits, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")), "left")
     again = F.col("_first").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda title, c: F.concat(F.lit(f"{title}: "), c, F.lit(CRLF))
@@ -81,7 +85,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 def write_warc(pages: DataFrame, path: str, **columns: object) -> None:
     """Archives of all pages under path (new), one file a task; see records()."""
-    records(pages, **columns).select("record").write.text(path, lineSep=CRLF)
+    records(pages, **columns).select("record").write.option("maxRecordsPerFile", FILE_RECORDS).text(path, lineSep=CRLF)
 
 
 def candidates(content: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
