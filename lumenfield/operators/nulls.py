@@ -51,10 +51,15 @@ def label_null(u: DataFrame, labelled: DataFrame, radius: float, seed: str, b: i
 
 def exact_tails(u: DataFrame, labelled: DataFrame, radius: float) -> DataFrame:
     """occupancy() with the gene's totals, the expected n_p, the exact tail p and the smallest p that the centre can reach."""
+    return with_tails(u, labelled, occupancy(u, labelled, radius))
+
+
+def with_tails(u: DataFrame, labelled: DataFrame, occupied: DataFrame) -> DataFrame:
+    """Rows of n_u and n_p (of any radius) with m_all, m_good, expected, p and p_floor."""
     size = u.groupBy("gene").agg(F.count(F.lit(1)).cast("int").alias("m_all"))
     good = labelled.groupBy("gene").agg(F.count_if(F.col("class") == "PLP").cast("int").alias("m_good"))
     top = u.agg(F.max("residue_index")).first()[0] or 0
-    o = occupancy(u, labelled, radius).join(F.broadcast(size), "gene").join(F.broadcast(good), "gene")
+    o = occupied.join(F.broadcast(size), "gene").join(F.broadcast(good), "gene")
     # tails are made once for each distinct (n_u, n_p)
     key = ["gene", "n_u", "n_p", "m_all", "m_good"]
     i = lambda c: F.col(c).cast("int")

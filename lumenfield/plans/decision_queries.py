@@ -1 +1,111 @@
-"""Placeholder."""
+"""Queries that choose a radius and delimit regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import nulls as nu
+from ..operators import regions as rg
+from ..operators import selection as se
+from ..queries import query
+from ..sources.adapter import COHORT_SQL
+from .spatial_queries import BH, R, sets
+
+RADII = [6.0, 8.0, 10.0, 12.0, 14.0]
+NAMES = ["fold_enrichment", "neg_coverage", "neg_log_p"]
+
+_LC = lambda a, b: f"(lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1))"
+SCAN = f"""{COHORT_SQL}, rr AS (SELECT unnest({RADII})::DOUBLE AS radius),
+hit AS (SELECT radius, a.residue_index AS center, b.residue_index AS point FROM universe a, universe b, rr WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= radius),
+tot AS (SELECT (SELECT count(*) FROM universe) AS m_all, (SELECT count(*) FROM cohort WHERE class = 'PLP') AS m_good, (SELECT count(*) FROM cohort) AS n_lab),
+occ AS (SELECT radius, center AS residue_index, count(*) AS n_u, count(c.class) AS n_l, count(*) FILTER (c.class = 'PLP') AS n_p FROM hit LEFT JOIN cohort c ON hit.point = c.residue_index GROUP BY ALL),
+tl AS (SELECT *, CASE WHEN n_p <= greatest(0, n_u + m_good - m_all) THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(n_p, least(m_good, n_u) + 1), lambda i: exp({_LC("m_good", "i")} + {_LC("(m_all - m_good)", "(n_u - i)")} - {_LC("m_all", "n_u")})))) END AS p FROM occ, tot WHERE n_l >= 1),
+fm AS (SELECT *, row_number() OVER (PARTITION BY radius ORDER BY p, residue_index) AS rank, count(*) OVER (PARTITION BY radius) AS m FROM tl),
+ts AS (SELECT *, coalesce(p <= max(CASE WHEN p <= rank * 0.05 / m THEN p END) OVER (PARTITION BY radius), false) AS significant FROM fm),
+cov AS (SELECT DISTINCT h.radius, h.point FROM hit h JOIN ts ON ts.radius = h.radius AND ts.residue_index = h.center WHERE significant),
+ci AS (SELECT radius, count(*) AS n_cov, count(class) AS l_in, count(*) FILTER (class = 'PLP') AS p_in FROM cov LEFT JOIN cohort c ON cov.point = c.residue_index GROUP BY 1),
+rw AS (SELECT ts.radius, count(*) AS m, count(*) FILTER (significant) AS n_sig, min(p) AS p_min, max(n_l) FILTER (significant) AS absorbed FROM ts GROUP BY 1),
+rows0 AS (SELECT rw.*, coalesce(n_cov, 0) / m_all AS coverage, CASE WHEN n_sig = 0 THEN 0.0 WHEN l_in > 0 THEN (p_in / l_in) / (m_good / n_lab) END AS fold_enrichment, coalesce(absorbed / n_lab, 0) AS absorption FROM rw LEFT JOIN ci USING (radius), tot),
+cand AS (SELECT *, fold_enrichment IS NOT NULL AS admissible, -coverage AS neg_coverage, -ln(p_min) AS neg_log_p FROM rows0),
+sc AS (SELECT *, CASE WHEN max(fold_enrichment) OVER () > min(fold_enrichment) OVER () THEN (fold_enrichment - min(fold_enrichment) OVER ()) / (max(fold_enrichment) OVER () - min(fold_enrichment) OVER ()) ELSE 1 END AS a,
+  CASE WHEN max(neg_coverage) OVER () > min(neg_coverage) OVER () THEN (neg_coverage - min(neg_coverage) OVER ()) / (max(neg_coverage) OVER () - min(neg_coverage) OVER ()) ELSE 1 END AS b,
+  CASE WHEN max(neg_log_p) OVER () > min(neg_log_p) OVER () THEN (neg_log_p - min(neg_log_p) OVER ()) / (max(neg_log_p) OVER () - min(neg_log_p) OVER ()) ELSE 1 END AS c FROM cand),
+fr AS (SELECT s.*, NOT EXISTS (SELECT 1 FROM cand o WHERE o.fold_enrichment >= s.fold_enrichment AND o.neg_coverage >= s.neg_coverage AND o.neg_log_p >= s.neg_log_p AND (o.fold_enrichment > s.fold_enrichment OR o.neg_coverage > s.neg_coverage OR o.neg_log_p > s.neg_log_p)) AS on_front,
+  sqrt((1 - a) ** 2 + (1 - b) ** 2 + (1 - c) ** 2) AS distance FROM sc s),
+rk AS (SELECT *, row_number() OVER (ORDER BY distance, fold_enrichment DESC, radius) AS rank, lead(distance) OVER (ORDER BY distance, fold_enrichment DESC, radius) AS second FROM fr WHERE on_front),
+ch AS (SELECT *, CASE WHEN second IS NOT NULL THEN CASE WHEN distance = 0 THEN 0 ELSE (second - distance) / distance END END AS gap FROM rk)"""
+
+
+def _tested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    u, c = sets(spark, sf_dir)
+    return u, c, rg.scan(u, c, RADII)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rg.radius_rows(*_tested(spark, sf_dir), RADII)
+    return rows.withColumn("neg_coverage", -F.col("coverage")).withColumn("neg_log_p", -F.log("p_min"))
+
+
+@query(f"WITH {SCAN} SELECT radius, m, n_sig, round(coverage, 6) AS coverage, round(fold_enrichment, 6) AS fold_enrichment, round(absorption, 6) AS absorption, admissible FROM cand")
+def radius_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("radius", "m", "n_sig", *(F.round(k, 6).alias(k) for k in ("coverage", "fold_enrichment", "absorption")), "admissible")
+
+
+@query(f"""WITH {SCAN}, sg AS (SELECT radius, residue_index FROM ts WHERE significant), nb AS (SELECT a.radius, b.radius AS r2 FROM rr a JOIN rr b ON abs(abs(a.radius - b.radius) - 2) < 1e-6),
+jj AS (SELECT nb.radius, nb.r2, (SELECT count(*) FROM sg x JOIN sg y ON x.residue_index = y.residue_index WHERE x.radius = nb.radius AND y.radius = nb.r2) AS i, (SELECT count(DISTINCT residue_index) FROM sg WHERE radius IN (nb.radius, nb.r2)) AS o FROM nb)
+SELECT radius, round(avg(CASE WHEN o > 0 THEN i / o ELSE 0 END), 6) AS stability FROM jj GROUP BY 1""")
+def neighbor_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rg.neighbour_jaccard(_tested(spark, sf_dir)[2], 2.0).select("radius", F.round("stability", 6).alias("stability"))
+
+
+@query(f"WITH {SCAN} SELECT radius, on_front, (SELECT array_to_string(list(o.radius::INT ORDER BY o.radius), ';') FROM cand o WHERE o.fold_enrichment >= fr.fold_enrichment AND o.neg_coverage >= fr.neg_coverage AND o.neg_log_p >= fr.neg_log_p AND (o.fold_enrichment > fr.fold_enrichment OR o.neg_coverage > fr.neg_coverage OR o.neg_log_p > fr.neg_log_p)) AS dominated_by FROM fr")
+def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = se.front(_candidates(spark, sf_dir), "radius", NAMES, ["gene"])
+    return f.select("radius", "on_front", F.array_join(F.transform("dominated_by", lambda x: x.cast("int").cast("string")), ";").alias("dominated_by"))
+
+
+@query(f"WITH {SCAN} SELECT radius, round(a, 6) AS fold_enrichment_norm, round(b, 6) AS neg_coverage_norm, round(c, 5) AS neg_log_p_norm, round(distance, 5) AS l2, round((1 - a) + (1 - b) + (1 - c), 5) AS l1, round(greatest(1 - a, 1 - b, 1 - c), 5) AS linf FROM fr")
+def minmax_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = se.normalised(_candidates(spark, sf_dir), NAMES, ["gene"])
+    return n.select("radius", F.round("fold_enrichment_norm", 6).alias("fold_enrichment_norm"), F.round("neg_coverage_norm", 6).alias("neg_coverage_norm"), F.round("neg_log_p_norm", 5).alias("neg_log_p_norm"), *(F.round(se.to_ideal(NAMES, m), 5).alias(m) for m in ("l2", "l1", "linf")))
+
+
+@query(f"WITH {SCAN} SELECT radius, rank, round(distance, 5) AS distance, round(gap, 4) AS gap, CASE WHEN rank = 1 AND gap IS NOT NULL THEN CASE WHEN gap < 0.01 THEN 'MAJOR' WHEN gap < 0.05 THEN 'NEAR_TIE' ELSE 'CLEAR' END END AS grade FROM ch")
+def radius_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = se.choose(_candidates(spark, sf_dir), "radius", NAMES, ["gene"], ["fold_enrichment"])
+    return c.select("radius", "rank", F.round("distance", 5).alias("distance"), F.round("gap", 4).alias("gap"), "grade")
+
+
+@query(f"WITH {SCAN} SELECT radius, 1 AS band, radius = {RADII[0]} AS at_low, radius = {RADII[-1]} AS at_high FROM ch WHERE rank = 1")
+def boundary_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    return se.boundary(c, se.choose(c, "radius", NAMES, ["gene"], ["fold_enrichment"]), "radius", ["gene"]).drop("gene")
+
+
+@query(f"WITH {SCAN} SELECT 'fold_enrichment' AS a, 'neg_coverage' AS b, round(corr(fold_enrichment, neg_coverage), 5) AS r FROM cand UNION ALL SELECT 'fold_enrichment', 'neg_log_p', round(corr(fold_enrichment, neg_log_p), 5) FROM cand UNION ALL SELECT 'neg_coverage', 'neg_log_p', round(corr(neg_coverage, neg_log_p), 5) FROM cand")
+def objective_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return se.correlations(_candidates(spark, sf_dir), NAMES, ["gene"]).select("a", "b", F.round("r", 5).alias("r"))
+
+
+REGIONS = BH.replace("WITH ", "") + f""", sc AS (SELECT u.* FROM bh JOIN universe u USING (residue_index) WHERE significant),
+ed AS (SELECT a.residue_index AS i, b.residue_index AS j FROM sc a, sc b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= {2 * R}),
+reach(i, j) AS (SELECT i, j FROM ed UNION SELECT r.i, e.j FROM reach r JOIN ed e ON r.j = e.i),
+cp AS (SELECT i AS residue_index, min(j) AS first FROM reach GROUP BY 1), reg AS (SELECT residue_index, dense_rank() OVER (ORDER BY first)::INTEGER AS region FROM cp)"""
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    u, c = sets(spark, sf_dir)
+    centers = nu.significant_centers(u, c, R).where("significant").select("gene", "residue_index").join(u, ["gene", "residue_index"])
+    return u, c, centers, rg.regions(centers, R)
+
+
+@query(f"WITH RECURSIVE {REGIONS} SELECT residue_index, region FROM reg")
+def hotspot_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _regions(spark, sf_dir)[3].select("residue_index", "region")
+
+
+@query(f"WITH RECURSIVE {REGIONS}, ob AS (SELECT point AS residue_index, array_to_string(list(DISTINCT region ORDER BY region), ';') AS regions, count(*) AS n_covering FROM hit JOIN reg ON hit.center = reg.residue_index GROUP BY 1) SELECT ob.*, class, residue_index IN (SELECT residue_index FROM reg) AS is_center FROM ob LEFT JOIN (SELECT residue_index, class FROM cohort) USING (residue_index)")
+def three_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = rg.objects(*_regions(spark, sf_dir), R)
+    return o.select("residue_index", F.array_join(F.transform("regions", lambda x: x.cast("string")), ";").alias("regions"), "n_covering", "class", "is_center")
