@@ -1 +1,185 @@
-"""Placeholder."""
+"""Queries over footprints, their robustness, and annotation."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import annotation as an
+from ..operators import footprint as fp
+from ..operators import spatial as sp
+from ..queries import query
+from ..sources import adapter as ad
+from .decision_queries import REGIONS, _regions
+from .spatial_queries import C, R, sets
+
+RHO, H = 4.0, 1.0
+EVIDENCE = f"""{REGIONS}, pe AS (SELECT c.residue_index, min(sqrt((c.x - s.x) ** 2 + (c.y - s.y) ** 2 + (c.z - s.z) ** 2)) AS d, arg_min(s.residue_index, sqrt((c.x - s.x) ** 2 + (c.y - s.y) ** 2 + (c.z - s.z) ** 2)) AS center FROM cohort c, sc s WHERE class = 'PLP' GROUP BY 1),
+fe AS (SELECT quantile_cont(d, 0.25) AS q1, quantile_cont(d, 0.75) AS q3, quantile_cont(d, 0.75) + 1.5::DOUBLE * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) AS fence FROM pe)"""
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c, centers, _ = _regions(spark, sf_dir)
+    return fp.evidence(c, centers)
+
+
+@query(f"WITH RECURSIVE {EVIDENCE} SELECT residue_index, center, round(d, 6) AS d FROM pe")
+def evidence_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir).select("residue_index", "center", F.round("d", 6).alias("d"))
+
+
+@query(f"WITH RECURSIVE {EVIDENCE} SELECT round(q1, 6) AS q1, round(q3, 6) AS q3, round(fence, 6) AS fence, (SELECT count(*) FROM pe) AS n, (SELECT count(*) FROM pe WHERE d <= fence) AS n_in, round((SELECT max(d) FROM pe WHERE d <= fence), 6) AS exact, ceil((SELECT max(d) FROM pe WHERE d <= fence) / 0.5::DOUBLE) * 0.5::DOUBLE AS radius FROM fe")
+def containment_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fp.containment(_evidence(spark, sf_dir))
+    return c.select(*(F.round(k, 6).alias(k) for k in ("q1", "q3", "fence")), "n", "n_in", F.round("exact", 6).alias("exact"), F.col("radius").cast("double").alias("radius"))
+
+
+VOXELS = f"""{REGIONS}, sd AS (SELECT DISTINCT floor(x + 1e-9)::BIGINT AS sx, floor(y + 1e-9)::BIGINT AS sy, floor(z + 1e-9)::BIGINT AS sz FROM sc), ax AS (SELECT unnest(range(-4, 5)) AS o),
+vx AS (SELECT sx + a.o AS ix, sy + b.o AS iy, sz + c.o AS iz, min(a.o * a.o + b.o * b.o + c.o * c.o) AS d2 FROM sd, ax a, ax b, ax c WHERE a.o * a.o + b.o * b.o + c.o * c.o <= 16 GROUP BY ALL)"""
+
+
+def _voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp.voxels(_regions(spark, sf_dir)[2], RHO, H)
+
+
+@query(f"WITH RECURSIVE {VOXELS} SELECT d2, count(*) AS n FROM vx GROUP BY 1")
+def voxel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _voxels(spark, sf_dir).groupBy(F.col("d2").cast("long").alias("d2")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH RECURSIVE {VOXELS}, st AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) t(ex, ey, ez)), fc AS (SELECT v.ix, v.iy, v.iz FROM vx v, st WHERE NOT EXISTS (SELECT 1 FROM vx w WHERE w.ix = v.ix + ex AND w.iy = v.iy + ey AND w.iz = v.iz + ez)) SELECT (SELECT count(*) FROM vx) AS n_voxels, count(*) AS n_faces, count(DISTINCT (ix, iy, iz)) AS n_surface FROM fc")
+def voxel_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _voxels(spark, sf_dir)
+    s = fp.surface(v).agg(F.sum("open_faces").alias("n_faces"), F.count(F.lit(1)).alias("n_surface"))
+    return v.agg(F.count(F.lit(1)).alias("n_voxels")).crossJoin(F.broadcast(s))
+
+
+@query()
+def footprint_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fp.descriptors(_voxels(spark, sf_dir), H)
+    return d.select("gene", "n_voxels", "n_components", F.round("volume", 6).alias("volume"), F.round("face_area", 6).alias("face_area"), F.round("connectivity", 6).alias("connectivity"), F.round("compactness", 6).alias("compactness"))
+
+
+@query(f"WITH {C}, p AS (SELECT DISTINCT point AS residue_index FROM hit JOIN cohort c ON hit.center = c.residue_index WHERE c.class = 'PLP'), m AS (SELECT count(*) FILTER (p.residue_index IS NOT NULL AND class = 'PLP') AS tp, count(*) FILTER (p.residue_index IS NOT NULL AND class = 'BLB') AS fp, count(*) FILTER (p.residue_index IS NULL AND class = 'BLB') AS tn, count(*) FILTER (p.residue_index IS NULL AND class = 'PLP') AS fn FROM cohort c LEFT JOIN p USING (residue_index)) SELECT tp, fp, tn, fn, round((SELECT count(*) FROM p) / (SELECT count(*) FROM universe), 6) AS coverage FROM m")
+def footprint_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, c = sets(spark, sf_dir)
+    inside = sp.covered(u, c.where("class = 'PLP'"), R).select("gene", "residue_index", F.lit("PLP").alias("predicted"))
+    share = inside.groupBy("gene").agg(F.count(F.lit(1)).alias("n_in")).join(u.groupBy("gene").agg(F.count(F.lit(1)).alias("n")), "gene")
+    from ..operators.nulls import confusion
+
+    m = confusion(c.join(inside, ["gene", "residue_index"], "left").fillna("BLB", ["predicted"]), ["gene"])
+    return m.join(share, "gene").select("tp", "fp", "tn", "fn", F.round(F.col("n_in") / F.col("n"), 6).alias("coverage"))
+
+
+@query("""WITH t AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS s, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a)) AS sa, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b)) AS sb, (SELECT sum(n) FROM t) AS m)
+SELECT round((s - sa * sb / (m * (m - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (m * (m - 1) / 2)), 6) AS ari FROM s""")
+def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ad.table(spark, sf_dir, "lineitem").select(F.lit("G1").alias("gene"), "l_returnflag", "l_linestatus")
+    return fp.rand_index(t, "l_returnflag", "l_linestatus", ["gene"]).select(F.round("ari", 6).alias("ari"))
+
+
+@query(f"WITH {C}, ab AS (SELECT a.class AS side, a.residue_index, min(d) AS d FROM near JOIN cohort a ON near.point = a.residue_index JOIN cohort b ON near.center = b.residue_index AND a.class <> b.class GROUP BY ALL) SELECT round(max(q), 6) AS hausdorff95 FROM (SELECT quantile_cont(d, 0.95) AS q FROM ab GROUP BY side)")
+def hausdorff95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, c = sets(spark, sf_dir)
+    return fp.hausdorff95(c.where("class = 'PLP'"), c.where("class = 'BLB'")).select(F.round("hausdorff95", 6).alias("hausdorff95"))
+
+
+@query()
+def mst_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fp.spanning_edges(_regions(spark, sf_dir)[2].select("gene", "residue_index", "x", "y", "z"))
+    return e.groupBy("gene").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.max("d"), 6).alias("longest"), F.round(F.avg("d"), 6).alias("mean"))
+
+
+LOCO = f"""{REGIONS}, nc AS (SELECT center, point FROM hit JOIN sc ON sc.residue_index = hit.center), np AS (SELECT point, count(*) AS n FROM nc GROUP BY 1), lo AS (SELECT center AS removed, count(*) FILTER (n = 1) AS n_lost, (SELECT count(*) FROM np) AS n_all FROM nc JOIN np USING (point) GROUP BY 1)"""
+
+
+def _loco(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, _, centers, _ = _regions(spark, sf_dir)
+    return fp.leave_one_center_out(u, centers, R)
+
+
+@query(f"WITH RECURSIVE {LOCO} SELECT removed, n_lost, n_all, round((n_all - n_lost) / n_all, 6) AS jaccard, round(2 * (n_all - n_lost) / (2 * n_all - n_lost), 6) AS dice FROM lo")
+def leave_one_center_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loco(spark, sf_dir).select("removed", "n_lost", "n_all", F.round("jaccard", 6).alias("jaccard"), F.round("dice", 6).alias("dice"))
+
+
+@query(f"WITH RECURSIVE {LOCO} SELECT removed, row_number() OVER (ORDER BY (n_all - n_lost) / n_all, removed) AS rank FROM lo")
+def center_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loco(spark, sf_dir).select("removed", "rank")
+
+
+@query(f"WITH RECURSIVE {LOCO}, j AS (SELECT (n_all - n_lost) / n_all AS j FROM lo) SELECT count(*) AS n, round(avg(j), 6) AS mean, round(min(j), 6) AS lowest, round(quantile_cont(j, 0.5), 6) AS median, round(avg((j >= 0.99)::INT), 6) AS preserved FROM j")
+def preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = F.col("jaccard")
+    return _loco(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(j), 6).alias("mean"), F.round(F.min(j), 6).alias("lowest"), F.round(F.percentile(j, 0.5), 6).alias("median"), F.round(F.avg((j >= 0.99).cast("int")), 6).alias("preserved"))
+
+
+@query()
+def iteration_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, _, centers, _ = _regions(spark, sf_dir)
+    design = fp.subset_design(centers.count(), 200, 20250101)
+    return fp.removal_iterations(u, centers, design, R).select("iteration", "k", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query()
+def bca_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = fp.bca(pdf["jaccard"].sort_values().to_numpy(), 20250101)
+        return pd.DataFrame({"gene": [pdf["gene"].iloc[0]], "low": [round(low, 6)], "high": [round(high, 6)]})
+
+    return _loco(spark, sf_dir).select("gene", "jaccard").groupBy("gene").applyInPandas(kernel, "gene string, low double, high double")
+
+
+DOMAINS = "dm AS (SELECT p_partkey AS domain_id, (p_partkey % 500)::BIGINT AS start, (p_partkey % 500 + p_size)::BIGINT AS stop FROM part)"
+
+
+@query(f"WITH RECURSIVE {REGIONS}, {DOMAINS}, sp AS (SELECT region, min(residue_index)::BIGINT AS lo, max(residue_index)::BIGINT AS hi FROM reg GROUP BY 1) SELECT region, domain_id, start, stop FROM sp JOIN dm ON start <= hi AND stop >= lo")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _regions(spark, sf_dir)[3].groupBy("gene", "region").agg(F.min("residue_index").cast("long").alias("lo"), F.max("residue_index").cast("long").alias("hi"))
+    at = F.col("p_partkey") % 500
+    domains = ad.table(spark, sf_dir, "part").select(F.lit("G1").alias("gene"), F.col("p_partkey").alias("domain_id"), at.cast("long").alias("start"), (at + F.col("p_size")).cast("long").alias("stop"))
+    return an.overlaps(domains, spans, ["gene"]).select("region", "domain_id", "start", "stop")
+
+
+NAMES = ["Gain", "Loss", "Dominant_Negative", "Mixed", "Unclear", "Not_Experimentally_Characterized"]
+RUBRIC = """rc AS (SELECT doc_id % 60 AS residue_index, ['NONE', 'WEAK', 'MODERATE', 'STRONG'][1 + (doc_id * 7 + quality + toxic) % 4] AS evidence, ((doc_id * 7 + quality + toxic) % 4) AS tier, ['Gain', 'Loss', 'Dominant_Negative'][1 + (doc_id // 60) % 3] AS mechanism FROM documents JOIN labels USING (doc_id) WHERE doc_id % 11 <> 0),
+tp AS (SELECT residue_index, max(tier) AS tier, count(*) AS n_records FROM rc GROUP BY 1), nm AS (SELECT residue_index, tp.tier, n_records, list(DISTINCT mechanism ORDER BY mechanism) FILTER (rc.tier = tp.tier AND rc.tier > 0) AS names FROM rc JOIN tp USING (residue_index) GROUP BY ALL),
+rs AS (SELECT residue_index, CASE WHEN tier = 0 THEN 'Not_Experimentally_Characterized' WHEN tier = 1 THEN 'Unclear' WHEN len(names) > 1 AND tier = 3 THEN 'Mixed' WHEN len(names) > 1 THEN 'Unclear' ELSE names[1] END AS mechanism, ['NONE', 'WEAK', 'MODERATE', 'STRONG'][tier + 1] AS evidence, coalesce(len(names) > 1 AND tier = 2, false) AS conflict_flag, n_records FROM nm)"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = ad.table(spark, sf_dir, "documents").select("doc_id").join(ad.table(spark, sf_dir, "labels"), "doc_id")
+    pick = lambda names, at: F.element_at(F.array(*(F.lit(n) for n in names)), (at + 1).cast("int"))
+    tier = (F.col("doc_id") * 7 + F.col("quality") + F.col("toxic")) % 4
+    r = d.select((F.col("doc_id") % 60).alias("residue_index"), pick(an.GRADES, tier).alias("evidence"), pick(NAMES[:3], F.floor(F.col("doc_id") / 60) % 3).alias("mechanism"), (F.col("doc_id") % 11 != 0).alias("included"))
+    return an.resolve(r, ["residue_index"])
+
+
+@query(f"WITH {RUBRIC} SELECT * FROM rs")
+def mechanism_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)
+
+
+@query(f"WITH {RUBRIC} SELECT m AS mechanism, count(rs.mechanism) AS n FROM (SELECT unnest({NAMES}) AS m) LEFT JOIN rs ON rs.mechanism = m GROUP BY 1")
+def mechanism_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return an.counts(_resolved(spark, sf_dir), NAMES)
+
+
+@query(f"WITH {RUBRIC}, g AS (SELECT count(*) AS n_variants, count(DISTINCT mechanism) AS n_categories FROM rs WHERE evidence IN ('MODERATE', 'STRONG') AND mechanism NOT IN ('Unclear', 'Not_Experimentally_Characterized')) SELECT *, n_variants >= 10 AND n_categories >= 2 AS passed FROM g")
+def posthoc_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return an.gate(_resolved(spark, sf_dir))
+
+
+@query(f"WITH {C}, l AS (SELECT residue_index, label FROM universe) SELECT a.label, (SELECT count(*) FROM l WHERE l.label = a.label) AS n, round(avg(d), 6) AS mean_distance FROM near JOIN l a ON a.residue_index = center JOIN l b ON b.residue_index = point WHERE center < point AND a.label = b.label GROUP BY 1")
+def cohesion_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = ad.universe(spark, sf_dir)
+    return an.cohesion(sp.pairs(u), u.select("gene", "residue_index", "label")).select("label", "n", F.round("mean_distance", 6).alias("mean_distance"))
+
+
+@query(f"WITH RECURSIVE {REGIONS} SELECT residue_index, CASE WHEN plddt < 50 THEN 'no_confident_position' ELSE 'no_structure_code' END AS reason FROM reg JOIN universe u USING (residue_index) WHERE residue_index % 5 = 0")
+def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, _, _, region = _regions(spark, sf_dir)
+    known = u.where("residue_index % 5 <> 0").select("gene", "residue_index")  # residues with a structure code
+    gaps = region.join(known, ["gene", "residue_index"], "left_anti").join(u.select("gene", "residue_index", "plddt"), ["gene", "residue_index"])
+    return gaps.select("residue_index", F.when(F.col("plddt") < 50, "no_confident_position").otherwise("no_structure_code").alias("reason"))
