@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows that with_arrow() hands over at once.
+SLICE = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +87,7 @@ def with_arrow(df: DataFrame, inputs: list[str], out: str, kind: str, start: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
-        for b in batches:
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             at = dict(zip(b.schema.names, b.columns))
             at[out] = make(*(at[n] for n in inputs))
             yield pa.RecordBatch.from_arrays([at[f.name] for f in schema], names=schema.names)

@@ -28,7 +28,7 @@ from .common import mixed, with_arrow
 
 SPACE = "▁"
 LONG = 64
-KEEP = 400_000
+KEEP = 250_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -182,31 +182,45 @@ class Coder:
         table = np.full((m, n, len(found) + 1), -1, np.int32)  # by start and length
         for length, ids in enumerate(found, 1):
             table[:, : n - length + 1, length] = ids
+        width = len(found)
         end = np.tile(np.arange(1, n + 2), (m, 1))  # of the piece that starts here; column n is a sentinel
-        alive = np.ones((m, n + 1), bool)
-        alive[:, n] = False
-        busy, starts = np.arange(m), np.arange(n)
-        while len(busy) and n > 1:
-            e = end[busy]
-            mid = e[:, :n]
-            stop = np.take_along_axis(e, np.minimum(mid, n), axis=1)
-            length = np.minimum(stop - starts, len(found))
-            ids = table[busy[:, None], starts, length]
-            fine = alive[busy, :n] & (mid < n) & (stop - starts <= len(found)) & (ids >= 0)
-            score = np.where(fine, self.v.scores[ids], -np.inf)
-            at = np.argmax(score, axis=1)
-            rows = np.arange(len(busy))
-            go = score[rows, at] > -np.inf
-            rows, at, busy = rows[go], at[go], busy[go]
-            alive[busy, mid[rows, at]] = False
-            end[busy, at] = stop[rows, at]
-        out = []
-        for w, word in enumerate(words):
-            ids = []
-            for i in np.flatnonzero(alive[w]):
-                x = int(table[w, i, end[w, i] - i])
-                ids += [x] if x >= 0 else self._spelled(word, int(i))
-            out.append(ids)
+        before = np.tile(np.arange(-1, n), (m, 1))  # start of the piece before the one that starts here
+        alive = np.ones((m, n), bool)
+        score = np.full((m, n), -np.inf)  # of joining the piece that starts here with the next
+
+        def offer(rows: np.ndarray, at: np.ndarray) -> None:
+            mid = end[rows, at]
+            stop = end[rows, np.minimum(mid, n)]
+            length = np.where((mid < n) & (stop - at <= width), stop - at, 0)
+            ids = table[rows, at, length]
+            score[rows, at] = np.where((length > 0) & (ids >= 0), self.v.scores[ids], -np.inf)
+
+        if n > 1 and width > 1:
+            score[:, : n - 1] = np.where(found[1] >= 0, self.v.scores[found[1]], -np.inf)
+        busy = np.flatnonzero(score.max(axis=1) > -np.inf)
+        while len(busy):
+            at = np.argmax(score[busy], axis=1)
+            go = score[busy, at] > -np.inf
+            busy, at = busy[go], at[go]
+            mid = end[busy, at]
+            stop = end[busy, mid]
+            alive[busy, mid] = False
+            score[busy, mid] = -np.inf
+            end[busy, at] = stop
+            before[busy, stop] = at
+            offer(busy, at)
+            prior = before[busy, at]
+            some = prior >= 0
+            offer(busy[some], prior[some])
+        rows, starts = np.nonzero(alive)
+        ids = table[rows, starts, end[rows, starts] - starts]
+        flat = ids.tolist()
+        for k in np.flatnonzero(ids < 0).tolist():
+            flat[k] = self._spelled(words[rows[k]], int(starts[k]))
+        cuts = np.searchsorted(rows, np.arange(m + 1)).tolist()
+        out = [flat[i:j] for i, j in zip(cuts, cuts[1:])]
+        for w in set(rows[ids < 0].tolist()):
+            out[w] = [x for y in out[w] for x in (y if isinstance(y, list) else [y])]
         return out
 
     def merge_long(self, word: str) -> list[int]:
