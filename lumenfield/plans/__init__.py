@@ -1 +1 @@
-
+"""Registered queries and whole runs."""

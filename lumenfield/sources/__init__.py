@@ -1 +1 @@
-
+"""Readers and writers, and the adapter from the driver's tables."""

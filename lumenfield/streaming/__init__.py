@@ -1 +1 @@
-
+"""No operator of this domain works on unbounded input; the package is kept for sources that may come."""
