@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -80,6 +82,14 @@ def crc_sql(t: str) -> str:
     return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, crc_t[1 + (xor(a, b) & 255)])), 4294967295)"""
 
 
+def trim() -> None:
+    """Gives this worker's freed memory back to the system, where the C library can: the workers of an executor share
+    its memory, and one that has done a large piece would otherwise keep the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_arrow(df: DataFrame, inputs: list[str], out: str, kind: str, start: Callable[[], Callable[..., pa.Array]]) -> DataFrame:
     """df with a column ``out`` (replaced if there) of type ``kind``; start() runs once a task and gives the function
     that makes a batch's column from the columns ``inputs``."""
