@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lumenfield.llm.common import crc_text, stored, table
 from lumenfield.llm.decontaminate import decontaminate
 from lumenfield.llm.ngram_join import one_of_each
-from lumenfield.llm.pieces import SPACE, Vocabulary, decode, encode
+from lumenfield.llm.pieces import encode_checked
 from lumenfield.llm.pii import find_spans, masked
 from lumenfield.llm.quality import score, train
 from lumenfield.llm.queries import PIECES
@@ -51,10 +51,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with their ids, how many they are, and whether they decode to the text."""
-    v = Vocabulary.load(PIECES)
-    same = F.col("_decoded") == F.translate("text", SPACE, " ")
-    coded = decode(encode(docs, v), v, out="_decoded")
-    return coded.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.coalesce(same, F.lit(True)).alias("round_trip"))
+    coded = encode_checked(docs, PIECES)
+    return coded.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -34,7 +34,7 @@ WIDTH = 5
 SHARE = (80, 100)
 TILE = 2000
 BUCKET_BYTES = 10 << 20
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -80,9 +80,10 @@ def document_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            sets = [s for i in range(0, len(texts), 300) for s in shingle_sets(texts[i : i + 300])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=[key, "n_shingles", "cls"])
+            for i in range(0, b.num_rows, 300):
+                part = b.slice(i, 300)
+                sets = shingle_sets(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=[key, "n_shingles", "cls"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles long, cls long")
 
@@ -110,9 +111,8 @@ def _packed(docs: DataFrame, text: str, parts: int) -> DataFrame:
         held: dict[int, np.ndarray] = {}
         size = 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 300):
-                for s in shingle_sets(texts[i : i + 300]):
+            for i in range(0, b.num_rows, 300):
+                for s in shingle_sets(b.column(0).slice(i, 300).to_pylist()):
                     if len(s) and (c := class_of(s)) not in held:
                         held[c] = s
                         size += len(s)
@@ -316,6 +316,8 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cla
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that name their component, each once: of repeated rows one stays."""
-    linked_docs = link_documents(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(linked_docs, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+    """The rows of docs that name their component, each once: of repeated rows one stays. Rows without a key can't name
+    one and stay as they are."""
+    named = link_documents(docs.where(F.col(key).isNotNull()), key, text).where(F.col(key) == F.col("component_id"))
+    kept = docs.join(named.select(key).distinct(), key, "left_semi").dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import mixed, with_arrow
 
 SPACE = "▁"
 LONG = 64
-KEEP = 250_000
+KEEP = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -299,6 +300,18 @@ class Coder:
         return [t[1:] if self.v.dummy_prefix and t[:1] == " " else t for t in out]
 
 
+def _listed(coder: Coder, texts: list[str | None], back: bool) -> tuple[pa.Array, pa.Array]:
+    """(ids of each text, whether they decode to it; null if not asked)."""
+    values, ends, same = [np.zeros(0, np.int32)], [0], []
+    for part in _runs(texts):
+        ids, stops = coder.encode(part)
+        values.append(ids)
+        ends += (stops + ends[-1]).tolist()
+        same += [a == (b or "").replace(SPACE, " ") for a, b in zip(coder.decode(ids, stops), part)] if back else [None] * len(part)
+    offsets = pa.array(ends, pa.int32(), mask=np.append(np.array([t is None for t in texts], bool), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values))), pa.array(same, pa.bool_())
+
+
 def encode(docs: DataFrame, model: str | Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with the ids of every whole text. Null texts have null ids, empty ones none; a text's own U+2581 counts as a
     space. model: a file's path, or what it holds; the vocabulary (its size is the file's) is sent to the executors."""
@@ -307,19 +320,24 @@ def encode(docs: DataFrame, model: str | Vocabulary, text: str = "text", out: st
 
     def start() -> Callable[[pa.Array], pa.Array]:
         coder = Coder(shared.value)
+        return lambda column: _listed(coder, column.to_pylist(), False)[0]
 
-        def make(column: pa.Array) -> pa.Array:
-            texts, values, ends = column.to_pylist(), [], [0]
-            for part in _runs(texts):
-                ids, stops = coder.encode(part)
-                values.append(ids)
-                ends += (stops + ends[-1]).tolist()
-            offsets = pa.array(ends, pa.int32(), mask=np.append(np.array([t is None for t in texts], bool), False))
-            return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
+    return with_arrow(docs, [text], out, "array<int>", start)
 
-        return make
 
-    return with_arrow(docs, [text], out, "array<int>", start)
+def encode_checked(docs: DataFrame, model: str | Vocabulary, text: str = "text", out: str = "ids", check: str = "round_trip") -> DataFrame:
+    """encode(), with a column that says whether the ids decode to the text (a null text counts as come back). Both are
+    done by one worker, so neither ids nor decoded texts travel for the check."""
+    v = model if isinstance(model, Vocabulary) else Vocabulary.load(model)
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def start() -> Callable[[pa.Array], pa.Array]:
+        coder = Coder(shared.value)
+        return lambda column: pa.StructArray.from_arrays(_listed(coder, column.to_pylist(), True), names=["ids", "same"])
+
+    coded = with_arrow(docs, [text], "_coded", "struct<ids:array<int>,same:boolean>", start)
+    kept = [c for c in docs.columns if c not in (out, check)]
+    return coded.select(*kept, F.col("_coded.ids").alias(out), F.col("_coded.same").alias(check))
 
 
 def _runs(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
