@@ -24,7 +24,13 @@ from .common import with_arrow
 # HTML's element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
-INVISIBLE = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math".split())
+INVISIBLE = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas".split())
+#: What a head may hold; any other start tag, or text, ends an open one.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Inside svg and math: what isn't drawn where it stands, where HTML begins again, and the HTML tags that end both.
+UNDRAWN = frozenset("annotation annotation-xml clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split())
+INTEGRATION = frozenset("annotation-xml desc foreignobject mi mn mo ms mtext title".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section summary table tbody tfoot thead tr ul".split())
 MARGIN = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
@@ -51,6 +57,7 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
+_FOUND = re.compile(r"(?i)hidden|style|colspan|start|type|display")
 _HIDDEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
 
 
@@ -145,6 +152,7 @@ class Page:
     def __init__(self) -> None:
         self.stack: list[str] = []
         self.open: Counter[str] = Counter()
+        self.foreign: list[bool] = []  # for each open element: whether its children are svg's or math's own
         self.hidden = -1  # stack size at which an invisible subtree began
         self.writers = [Writer()]
         self.tables: list[Table] = []
@@ -163,7 +171,25 @@ class Page:
             if self.stack[i] in stop:
                 return
 
-    def start(self, tag: str, attributes: str) -> None:
+    def _end_head(self) -> None:
+        while self.stack and self.stack[-1] == "head":
+            self._pop()
+
+    def start(self, tag: str, attributes: str) -> bool:
+        """Opens an element; whether what follows is raw text."""
+        if tag in ("html", "head") and len(self.stack) > (self.open["html"] if tag == "head" else 0):
+            return False  # a page has one of each
+        if tag not in HEAD:
+            self._end_head()
+        if tag in BREAKOUT:
+            while self.foreign and self.foreign[-1]:
+                self._pop()
+        if self.foreign and self.foreign[-1]:
+            self._push(tag, attributes)
+            piece = attributes.rsplit(None, 1)[-1] if attributes.endswith("/") else ""
+            if piece and ("=" not in piece or piece[-2:-1] in "\"'="):
+                self._pop()
+            return False
         if tag in ENDS_P and self.open["p"]:
             self._end_nearest(frozenset(["p"]), SCOPE)
         if tag in ENDS:
@@ -173,6 +199,7 @@ class Page:
         self._push(tag, attributes)
         if tag in VOID:
             self._pop()
+        return tag in RAW
 
     def _inside(self, tag: str) -> bool:
         for t in reversed(self.stack):
@@ -190,23 +217,31 @@ class Page:
             self._end_nearest(frozenset([tag]), barrier)
 
     def text(self, s: str) -> None:
+        if self.stack and self.stack[-1] == "head" and s.strip(" \t\n\f\r"):
+            self._end_head()
         if self.hidden < 0 and s:
             w = self.writers[-1]
             w.raw(s) if self.pre else w.text(s)
 
     def _push(self, tag: str, attributes: str) -> None:
+        inner = bool(self.foreign) and self.foreign[-1]
         self.stack.append(tag)
+        self.foreign.append(tag in ("svg", "math") or inner and tag not in INTEGRATION)
         self.open[tag] += 1
         if self.hidden >= 0:
             return
         found = {}
-        if attributes and re.search(r"(?i)hidden|style|colspan|start|type", attributes):
+        if attributes and _FOUND.search(attributes):
             for m in _ATTRIBUTE.finditer(attributes):
                 found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-        if tag in INVISIBLE or ("hidden" in found and found["hidden"].lower() != "until-found") or _HIDDEN.search(found.get("style", "")):
+        if tag in INVISIBLE or ("hidden" in found and found["hidden"].lower() != "until-found") or _HIDDEN.search(found.get("style", "")) or inner and (tag in UNDRAWN or found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse")):
             self.hidden = len(self.stack)
             return
         w = self.writers[-1]
+        if inner:
+            if tag == "text":
+                w.brk(1)  # drawn at a place of its own
+            return
         if tag == "br":
             w.hard()
         elif tag == "table":
@@ -241,12 +276,17 @@ class Page:
 
     def _pop(self) -> None:
         tag = self.stack.pop()
+        self.foreign.pop()
         self.open[tag] -= 1
         if self.hidden >= 0:
             if len(self.stack) < self.hidden:
                 self.hidden = -1
             return
         w = self.writers[-1]
+        if self.foreign and self.foreign[-1]:
+            if tag == "text":
+                w.brk(1)
+            return
         if tag in ("td", "th") and len(self.writers) > 1:
             self.lists.pop()
             self.writers.pop()
@@ -291,6 +331,11 @@ def render(source: str | None) -> str:
             j = source.find("-->", i + 4)
             at = len(source) if j < 0 else j + 3
             continue
+        if page.foreign and page.foreign[-1] and source.startswith("<![CDATA[", i):
+            j = source.find("]]>", i + 9)
+            page.text(source[i + 9 : len(source) if j < 0 else j])
+            at = len(source) if j < 0 else j + 3
+            continue
         if source[i + 1 : i + 2] in ("!", "?"):
             j = source.find(">", i)
             at = len(source) if j < 0 else j + 1
@@ -307,8 +352,7 @@ def render(source: str | None) -> str:
         if m[1]:
             page.end(name)
             continue
-        page.start(name, m[3])
-        if name in RAW:
+        if page.start(name, m[3]):
             close = re.compile(f"(?i)</{name}(?=[\\s/>])").search(source, at)
             stop = close.start() if close else len(source)
             if name == "textarea":

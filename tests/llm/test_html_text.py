@@ -22,6 +22,32 @@ def test_visibility():
     assert render("<p style='visibility:hidden'>no</p>a<p style='display:none'>no<p>b") == "a\n\nb"
 
 
+def test_pages_without_end_of_head():
+    for page, words in (
+        ("<html><head><title>t</title><body><p>one two", "one two"),
+        ("<head><meta charset=utf-8><link rel=x><style>p{}</style><script>no</script><noscript><p>no</noscript><p>one<p>two", "one two"),
+        ("<!DOCTYPE html><html><head><title>t</title>\n one <b>two</b></html>", "one two"),
+        ("<head><base href=x><template><p>no</template>\n<table><tr><td>one<td>two</table>", "one two"),
+        ("<html><head><html><head><title>t</title><h1>one</h1></head>two", "one two"),
+        ("<head><title>t</title></head><body>one <head><title>no</title>two", "one two"),
+    ):
+        assert render(page).split() == words.split(), page
+
+
+def test_drawings_and_formulas_show_their_text():
+    for page, words in (
+        ("a<svg viewBox='0 0 1 1'><title>no</title><desc>no</desc><path d='M0'/><text x=1>one</text><text>two</text></svg>b", "a one two b"),
+        ("<p><math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> end", "x=2 end"),
+        ("<svg><title/><defs/><g display='none'><text>no</text></g><g id=a/><text><![CDATA[one]]></text></g></svg>two", "one two"),
+        ("<svg><foreignObject><div>one</div></foreignObject><style>no</style><script/></svg>two", "one two"),
+        ("<svg><defs><linearGradient><p>one</p>two", "one two"),
+        ("<defs>one</defs> <symbol>two</symbol>", "one two"),
+    ):
+        assert render(page).split() == words.split(), page
+    began = time.time()
+    assert render("<svg>" + "<g>" * 100000 + "<text>x" * 3).split() == ["x"] * 3 and time.time() - began < 5
+
+
 def test_broken_pages():
     assert render(None) == "" and render("") == "" and render("<") == "<" and render("a < b <3 <") == "a < b <3 <"
     assert render("</p></div>x</table>") == "x"
