@@ -78,7 +78,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, "^<urn:page:([0-9-]+)>$", 1).try_cast("long")
-    return read_warc(spark, path).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return read_warc(spark, path, strict=True).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 ORACLES["op8_warc"] = """

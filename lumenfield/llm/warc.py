@@ -13,6 +13,7 @@ read again from the shared folder.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,12 +30,10 @@ FILE_BYTES = 8 << 20
 BROADCAST_ROWS = 100_000
 #: An archive file has at most so many records.
 FILE_RECORDS = 20_000
-#: A header that is longer than this isn't one.
-HEADER_BYTES = 64 << 10
 
 CRLF = "\r\n"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-_FIELD = {k: re.compile(rb"(?im)^" + k.encode() + rb":[ \t]*([^\r\n]*?)[ \t]*\r?$") for k in ("Content-Length", "WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Refers-To", "WARC-Payload-Digest")}
+_FIELD = {k: re.compile(rb"(?im)^" + k.encode() + rb":[ \t]*+([^\r\n]*+)\r?$") for k in ("Content-Length", "WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Refers-To", "WARC-Payload-Digest")}
 _HTTP_LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*([0-9]+)")
 #: Base 32 as conv() writes it, and as RFC 4648 does.
 _CONV32, _RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -90,12 +89,21 @@ def write_warc(pages: DataFrame, path: str, **columns: object) -> None:
 
 def candidates(content: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Places of the magic, the offset where each one's record would end (-1: it can't be one), and each one's
-    (end of header, length of block)."""
+    (end of header, length of block).
+
+    A header may be of any length. Candidates before the same end of a header share one search for it and for its
+    lengths, so the time is in proportion to the content.
+    """
     at, ends, spans = [], [], []
+    head, stated, places = 0, [], []
     for m in _MAGIC.finditer(content):
-        head = content.find(b"\r\n\r\n", m.start(), m.start() + HEADER_BYTES)
-        length = _FIELD["Content-Length"].search(content, m.end(), head + 2) if head >= 0 else None
-        n = int(length[1]) if length and length[1].isdigit() else -1
+        if 0 <= head < m.start() or not at:
+            head = content.find(b"\r\n\r\n", m.start())
+            stated = list(_FIELD["Content-Length"].finditer(content, m.end(), head + 2)) if head >= 0 else []
+            places = [x.start() for x in stated]
+        k = bisect.bisect_left(places, m.end())
+        length = stated[k][1].rstrip(b" \t") if k < len(stated) else b""
+        n = int(length) if length.isdigit() and len(length) < 19 else -1
         end = head + 4 + n + 4
         at.append(m.start())
         ends.append(end if n >= 0 and content[end - 4 : end] == b"\r\n\r\n" else -1)
@@ -123,12 +131,13 @@ def on_chain(at: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, b
 _SCHEMA = "file string, offset long, stop long, record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, intact boolean, chain_whole boolean"
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = False, strict: bool = False) -> DataFrame:
     """A row for each record on its file's chain; with payload, its bytes too.
 
     payload_digest is the one computed from a response's payload, and a revisit's stated one; intact: the two agree.
     payload_bytes is that of the full payload (for a revisit, as its HTTP header states). chain_whole is false for all
-    records of a file that breaks off: those before the break are returned. An empty file has no records.
+    records of a file that breaks off: those before the break are returned, or with strict
+    the read fails. An empty file has no records.
     """
     schema = _SCHEMA + (", payload binary" if payload else "")
 
@@ -138,6 +147,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
                 name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 at, ends, spans = candidates(content)
                 kept, whole = on_chain(at, ends, len(content))
+                if strict and not whole:
+                    raise ValueError(f"{name}: the chain of records breaks off after {int(kept.sum())} records")
                 rows = [_decode(name, content, int(at[k]), int(ends[k]), *spans[k], whole, payload) for k in np.flatnonzero(kept & (ends >= 0))]
                 for a in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_pylist(rows[a : a + 2000], schema=arrow)
@@ -150,7 +161,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 def _decode(name: str, content: bytes, at: int, end: int, body: int, length: int, whole: bool, payload: bool) -> dict:
     def get(field: str) -> str | None:
         m = _FIELD[field].search(content, at, body - 2)
-        return m[1].decode("utf-8", "replace") if m else None
+        return m[1].rstrip(b" \t").decode("utf-8", "replace") if m else None
 
     block = content[body : body + length]
     head, gap, rest = block.partition(b"\r\n\r\n")

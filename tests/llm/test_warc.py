@@ -1,5 +1,8 @@
 import base64
 import hashlib
+import time
+
+import pytest
 
 from lumenfield.llm import warc
 
@@ -52,3 +55,32 @@ def test_chain_against_walking():
     cut = content[:-10]
     kept, whole = warc.on_chain(*warc.candidates(cut)[:2], len(cut))
     assert kept.sum() == 6 and not whole
+
+
+def test_urls_of_any_length(spark, tmp_path):
+    urls = {1: "u", 2: "http://x/" + "é" * 400_000, 3: "http://x/" + "WARC/1.0\r\n" * 30_000 + "WARC/1.0", 4: "u" + " " * 300_000 + "v", 5: None}
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], "page_id long, url string, html string")
+    warc.write_warc(df.coalesce(1), str(tmp_path / "u"))
+    got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "u"), payload=True, strict=True).collect()}
+    assert len(got) == len(urls)
+    for i, u in urls.items():
+        r = got[f"<urn:page:{i}>"]
+        assert r.target_uri == (u and u.replace("\r\n", "%0A")) and r.payload == f"page {i}".encode() and r.chain_whole
+
+
+def test_broken_chains_are_refused_if_strict(spark, tmp_path):
+    rec = b"WARC/1.0\r\nContent-Length: 1\r\n\r\na\r\n\r\n"
+    for k, content in enumerate((rec * 3 + rec[:-3], b"x" + rec, rec[:-1])):
+        (tmp_path / f"{k}.warc").write_bytes(content)
+        path = str(tmp_path / f"{k}.warc")
+        assert warc.read_warc(spark, path).count() == (3 if k == 0 else 0)
+        with pytest.raises(Exception, match="chain of records breaks off"):
+            warc.read_warc(spark, path, strict=True).collect()
+
+
+def test_many_candidates_cost_time_in_proportion():
+    began = time.time()
+    for content in (b"WARC/1.0\r\n" * 200_000, b"WARC/1.0\r\nContent-Length: 1\r\n" * 100_000 + b"\r\n", b"WARC/1.0\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n"):
+        at, ends, _ = warc.candidates(content)
+        assert len(at) and (ends < 0).all()
+    assert time.time() - began < 20
