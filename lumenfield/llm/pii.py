@@ -6,7 +6,8 @@ just before a span raise its score. The four base kinds stay whatever their scor
 Spark has no function for the places of all matches, so they are rebuilt: ``split`` gives the gaps between the very
 matches that ``regexp_extract_all`` gives, and the running sum of both lengths gives the offsets, in code points. The
 patterns never give back what they took (possessive quantifiers), so a text costs time in proportion to its length and
-no recursion, and ``\\G`` or a look-behind keeps a search from starting again inside a run that has failed.
+no recursion, and ``\\G`` or a look-behind keeps a search from starting again inside a run that has failed. Account codes
+are proposed by a look-ahead, so every place where one may begin is tried, and end where the length of their country says.
 """
 
 from __future__ import annotations
@@ -53,6 +54,17 @@ def _octets(m: Column) -> Column:
     return m.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
 
 
+#: Lengths of account codes by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV YE", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Codes of other countries go on as far as they can, to 34 characters, and end before what isn't a letter or digit.
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_OTHER = rf"(?!{'|'.join(c.replace(' ', '|') for c in IBAN_LENGTHS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_KNOWN}|{_OTHER})(?![A-Za-z0-9])))"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -63,6 +75,7 @@ class Kind:
     more: float  # what they add to the score
     need: str  # a character or pattern that a text must hold for the search to be worth while
     base: bool = True
+    ahead: bool = False  # the pattern matches the empty string at a start; its first group is the span
 
 
 KINDS = (
@@ -70,7 +83,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+", _octets, 0.6, "ip|address|host|server", 0.3, "."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: F.length(_digits(m)).between(12, 19) & luhn(_digits(m)), 0.8, "card|visa|credit|pay", 0.2, ""),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.6, "phone|call|tel|mobile|fax", 0.3, "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda m: mod97(F.regexp_replace(m, " ", "")), 0.9, "iban|account|bank", 0.1, "", False),
+    Kind("iban", IBAN, lambda m: mod97(F.regexp_replace(m, " ", "")), 0.9, "iban|account|bank", 0.1, "", False, True),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, "ssn|social security|social insurance", 0.5, "-", False),
 )
 SPAN = "array<struct<start:int,rank:int,stop:int,score:double>>"
@@ -87,10 +100,14 @@ def _spans(text: Column, matches: Column, rank: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), score.alias("score"))
         good = piece["m"].isNotNull() & kind.valid(piece["m"])
         good = good if kind.base else good & (score >= MIN_SCORE)
-        return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    pieces = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), matches.alias("m"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        if kind.ahead:
+            good = good & (F.size(acc["out"]).eqNullSafe(0) | (start >= F.element_at(acc["out"], -1)["stop"]))
+        return F.struct((start if kind.ahead else stop).alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    # an empty match at the very start would part nothing, so a line end goes before the text
+    gaps = F.split(F.concat(F.lit("\n"), text) if kind.ahead else text, kind.pattern, -1)
+    pieces = F.arrays_zip(gaps.alias("gap"), matches.alias("m"))
+    start = F.struct(F.lit(-1 if kind.ahead else 0).alias("at"), none.alias("out"))
     return F.when(F.size(matches) > 0, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
@@ -103,7 +120,7 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     value = F.coalesce(F.col(text), F.lit(""))
     found = docs
     for k, kind in enumerate(KINDS):
-        matches = F.regexp_extract_all(value, F.lit(kind.pattern), F.lit(0))
+        matches = F.regexp_extract_all(value, F.lit(kind.pattern), F.lit(int(kind.ahead)))
         if kind.need:
             matches = F.when(F.contains(value, F.lit(kind.need)), matches).otherwise(F.array().cast("array<string>"))
         found = found.withColumn(f"_m{k}", matches)

@@ -57,6 +57,19 @@ def test_added_kinds_and_masking(docs):
     assert rows[2].m == "clean" and rows[3].m is None
 
 
+def test_ibans_end_where_their_country_says(docs):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"
+    texts = {
+        f"{de} Please pay": "[IBAN] Please pay", f"to {de} AND more": "to [IBAN] AND more", f"é😀 {de} 25 EUR": "é😀 [IBAN] 25 EUR", f"{de} {gb} {no}": "[IBAN] [IBAN] [IBAN]", f"{gb}\n{no} A": "[IBAN]\n[IBAN] A",
+        f"REF ID12 {de} x": "REF ID12 [IBAN] x", f"GB12 {gb} OK": "GB12 [IBAN] OK", f"{no}": "[IBAN]", f"({no})": "([IBAN])", f"x{de}": f"x{de}", f"{gb}A": f"{gb}A", f"{gb[:-1]}3 PLEASE": f"{gb[:-1]}3 PLEASE",
+    }
+    df = pii.find_spans(docs([*enumerate(texts), (99, "AA11 " * 20000)]), out="found")
+    got = {r.doc_id: r for r in df.select("doc_id", pii.span_text(pii.F.filter("found", lambda s: s["rank"] == 4)).alias("s"), pii.masked(pii.F.col("text"), pii.F.filter("found", lambda s: s["rank"] == 4)).alias("m")).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert got[i].m == want, text
+    assert got[0].s == "iban:0:27" and got[2].s == "iban:3:30" and got[99].s == ""
+
+
 def test_query_matches_brute_force(spark, small):
     rows = op2_pii(spark, small).join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
     assert rows and sum(r.n_email + r.n_card + r.n_phone + r.n_ip for r in rows) > 0
