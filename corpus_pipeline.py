@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any benchmark window."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=True)
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=True, near=False)
     return hit.where("n_hit = 0").select(docs.columns)
 
 

@@ -11,6 +11,7 @@ whatever the benchmark's size, and a task holds one block at a time.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
 BLOCK_WORDS = 500_000
-#: Proximity: so many of a window's rarest terms, each at most so many words from its place.
+#: Proximity: so many of a window's rarest terms, one more being allowed to miss, each at most so many words from its place.
 NEAR_TERMS, NEAR_SLACK = 3, 3
 
 #: A-Z become a-z; ASCII that is neither a letter nor a digit parts words; all other bytes belong to words.
@@ -49,10 +50,13 @@ class Block:
             own = [w for w in found if len(w) == n]
             self.by_length.append((n, np.array(own, np.int64).reshape(-1, n), [sorted(found[w]) for w in own]))
 
-    def search(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]]:
-        """For each window length: (length, window and place of the exact matches, windows and places of near ones).
+    def search(self, ids: np.ndarray, ends: np.ndarray, common: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]]:
+        """For each window length: (length, window and place of the exact matches, windows and documents of near ones).
 
-        ids: the terms of a segment, negative where a word is none of ours or a document ends.
+        ids: the terms of a segment, negative where a word is none of ours or a document ends; ends: the places after each
+        document's end mark; common: how often each term is in all documents (None: no near matches). A near match is
+        NEAR_TERMS of a window's NEAR_TERMS + 1 rarest terms (of a shorter window: all terms) in one document, each
+        within NEAR_SLACK of its place as the rarest one that is met has it.
         """
         n_terms, size = len(self.terms), len(ids) + 1
         places = np.flatnonzero(ids >= 0)
@@ -63,28 +67,45 @@ class Block:
         for n, windows, items in self.by_length:
             counts = length[windows]
             by_rarity = np.argsort(counts, axis=1, kind="stable")
+            near = self._near(n, windows, keys, first, size, ends, common) if common is not None else np.zeros((2, 0), np.int64)
             live = np.flatnonzero(counts.min(axis=1) > 0)
-            if not len(live):
-                continue
             rarest = windows[live, by_rarity[live, 0]]
             reps = length[rarest]
             w = np.repeat(live, reps)
             inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
             start = keys[np.repeat(first[rarest], reps) + inside] % size - by_rarity[w, 0]
-            near_w, near_s = w, start
             for k in range(1, n):
                 offset = by_rarity[w, k]
                 wanted = windows[w, offset] * size + start + offset
                 at = np.searchsorted(keys, wanted)
                 met = (start >= 0) & (start + n < size) & (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == wanted)
                 w, start = w[met], start[met]
-            for k in range(1, min(NEAR_TERMS, n)):
-                offset = by_rarity[near_w, k]
-                term, around = windows[near_w, offset] * size, near_s + offset
-                low = np.searchsorted(keys, term + np.clip(around - NEAR_SLACK, 0, size - 1))
-                high = np.searchsorted(keys, term + np.clip(around + NEAR_SLACK, -1, size - 1), side="right")
-                near_w, near_s = near_w[high > low], near_s[high > low]
-            yield n, w, start, np.stack([near_w, near_s]), items
+            yield n, w, start, near, items
+
+    def _near(self, n: int, windows: np.ndarray, keys: np.ndarray, first: np.ndarray, size: int, ends: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Windows and documents of the near matches of windows of n terms."""
+        of = min(NEAR_TERMS + 1, n)
+        need = min(NEAR_TERMS, n)
+        rank = np.argsort(common[windows], axis=1, kind="stable")[:, :of]
+        begins = np.concatenate([[0], ends[:-1]])
+        found = []
+        for a in range(of - need + 1):  # the rarest term that is met; those before it miss
+            anchor = windows[np.arange(len(windows)), rank[:, a]]
+            reps = first[anchor + 1] - first[anchor]
+            w = np.repeat(np.arange(len(windows)), reps)
+            inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+            place = keys[np.repeat(first[anchor], reps) + inside] % size
+            doc = np.searchsorted(ends, place, side="right")
+            start, missed = place - rank[w, a], np.full(len(w), a)
+            for k in range(a + 1, of):
+                term, around = windows[w, rank[w, k]] * size, start + rank[w, k]
+                low = np.searchsorted(keys, term + np.maximum(around - NEAR_SLACK, begins[doc]))
+                high = np.searchsorted(keys, term + np.minimum(around + NEAR_SLACK, ends[doc] - 1), side="right")
+                missed = missed + (high <= low)
+                on = missed <= of - need
+                w, doc, start, missed = w[on], doc[on], start[on], missed[on]
+            found.append(np.unique(np.stack([w, doc]), axis=1))
+        return np.concatenate(found, axis=1)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[Block]:
@@ -104,9 +125,25 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator
     yield Block(held, window)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, keep: bool = False) -> DataFrame:
-    """Per row of docs: key, n_words, n_hit, items (sorted ids of items with an exact window), near_items (proximity).
-    With keep, all columns of docs and then those (docs may not have columns of their names).
+def _counted(texts: DataFrame, blocks: list) -> list[np.ndarray]:
+    """How often the terms of each block are in all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[bytes] = Counter()
+        known = set().union(*(b.value.terms for b in blocks))
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                total.update(w for w in words_of(t) if w in known)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+
+    # what comes to the driver: a number for each term of the test texts, which are there too
+    total = {bytes(r.term): r.n for r in texts.mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+    return [np.array([total.get(t, 0) for t in b.value.terms], np.int64) for b in blocks]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, keep: bool = False, near: bool = True) -> DataFrame:
+    """Per row of docs: key, n_words, n_hit, items (sorted ids of items with an exact window), near_items (proximity;
+    without near empty, and then the documents aren't read beforehand to count the items' terms in all of them). With keep, all columns of docs and then those (docs may not have columns of their names).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. n_hit
     counts the document words inside any exact occurrence. Null and empty texts have no words and no hits; repeated rows
@@ -115,6 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item, text, window)]
+    common = spark.sparkContext.broadcast(_counted(docs.select(text), blocks) if near else [None] * len(blocks))
     wanted = docs if keep else docs.select(key, text)
     names, at = (docs.columns, docs.columns.index(text)) if keep else ([key], 1)
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
@@ -126,26 +164,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         starts = ends - n_words - 1
         cover = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
         exact: list[set[str]] = [set() for _ in texts]
-        near: list[set[str]] = [set() for _ in texts]
-        for shared in blocks:
+        close: list[set[str]] = [set() for _ in texts]
+        for shared, counts in zip(blocks, common.value):
             block: Block = shared.value
             if not block.terms:
                 continue
             get = block.terms.get
             ids = np.fromiter((i for t in texts for i in (*(get(w, -1) for w in t), -1)), np.int64, int(ends[-1]))
-            for n, w, start, close, items in block.search(ids):
+            for n, w, start, met, items in block.search(ids, ends, counts):
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + n, -1)
                 doc = np.searchsorted(ends, start, side="right")
                 for x, d in set(zip(w.tolist(), doc.tolist())):
                     exact[d].update(block.items[i] for i in items[x])
-                doc = np.searchsorted(ends, np.clip(close[1], 0, ends[-1] - 1), side="right")
-                for x, d in set(zip(close[0].tolist(), doc.tolist())):
-                    near[d].update(block.items[i] for i in items[x])
+                for x, d in set(zip(*met.tolist())):
+                    close[d].update(block.items[i] for i in items[x])
         hit = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
         n_hit = hit[starts + n_words] - hit[starts]
         return pa.RecordBatch.from_arrays(
-            [*(batch.columns if keep else [batch.column(0)]), pa.array(n_words), pa.array(n_hit.astype(np.int64)), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in near], pa.list_(pa.string()))],
+            [*(batch.columns if keep else [batch.column(0)]), pa.array(n_words), pa.array(n_hit.astype(np.int64)), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in close], pa.list_(pa.string()))],
             names=[*names, "n_words", "n_hit", "items", "near_items"],
         )
 

@@ -53,7 +53,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of ten-word benchmark windows in all documents."""
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
     return found.select(
         "doc_id", "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -62,6 +62,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that all documents come near to, one word of a window being changed or a few moved."""
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.size("near_items").cast("long").alias("n_near"), items_digest(F.col("near_items")).alias("near_sha256"), (F.size("near_items") > 0).alias("near"))
+
+
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels of rows that aren't held out."""

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from lumenfield.llm import decontaminate as d
-from lumenfield.llm.queries import op5_decontaminate
+from lumenfield.llm.queries import op5_decontaminate, op5_proximity
 
 
 def brute(texts, items, window=d.WINDOW):
@@ -48,6 +48,28 @@ def test_proximity_finds_a_window_with_a_changed_common_word(spark, docs):
     assert r.n_hit == 0 and r.near_items == ["1"]
 
 
+def test_proximity_finds_a_window_with_any_word_replaced(spark, docs):
+    words = [f"w{k}" for k in range(10)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(10)] + ["w8 other", "w0 other w9 w4", " ".join(words)]
+    for parts in (1, 5):  # what else is in a batch changes nothing
+        got = {r.doc_id: r for r in d.decontaminate(docs(enumerate(texts)).repartition(parts), bench).collect()}
+        assert [got[k].near_items for k in range(len(texts))] == [["1"]] * 10 + [[], [], ["1"]]
+        assert [got[k].n_hit for k in range(len(texts))] == [0] * 12 + [10]
+
+
+def test_proximity_stays_inside_a_document(spark, docs):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    got = d.decontaminate(docs([(1, "a b"), (2, "c d"), (3, "e f")]).coalesce(1), bench).collect()
+    assert [r.near_items for r in got] == [[], [], []]
+
+
+def test_proximity_query(spark, small):
+    exact = {r.doc_id: r.n_items for r in op5_decontaminate(spark, small).collect()}
+    near = {r.doc_id: r.n_near for r in op5_proximity(spark, small).collect()}
+    assert exact.keys() == near.keys() and any(near.values()) and all(near[k] >= n for k, n in exact.items())
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.decontaminate(docs([(1, "a b")]), none).first().n_words == 2
