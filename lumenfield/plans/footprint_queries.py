@@ -118,7 +118,7 @@ def preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def iteration_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, _, centers, _ = _regions(spark, sf_dir)
-    design = fp.subset_design(centers.count(), 200, 20250101)
+    design = fp.subset_design(centers.count(), 10_000, 20250101)
     return fp.removal_iterations(u, centers, design, R).select("iteration", "k", F.round("jaccard", 6).alias("jaccard"))
 
 
