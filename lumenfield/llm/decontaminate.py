@@ -1,12 +1,12 @@
-"""Benchmark decontamination over a positional inverted index that is spread over the documents.
+"""Benchmark decontamination by positional postings that are made, asked and dropped batch by batch.
 
 Each task turns its documents, in segments of SEGMENT_WORDS words, into postings: for every term of the test texts the
 sorted places where it stands. A test window is looked up from its rarest term on: the places of each term, less its
 offset in the window, are intersected list by list, the shortest first, until every term has been met (exact phrases) or
 the rarest few have been met within a slack (proximity). Documents don't move; a segment is answered where it is read.
 
-The test texts reach the tasks as broadcast blocks of at most BLOCK_WORDS words each, so a broadcast has a proven bound
-whatever the benchmark's size, and a task holds one block at a time.
+The test texts reach the tasks as broadcast blocks of at most BLOCK_WORDS words each, so one broadcast has a bound;
+all of them together are the whole benchmark.
 """
 
 from __future__ import annotations
