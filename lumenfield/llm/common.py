@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's, or one of our own where none is set (tests)."""
+    """The folder that driver and executors share: the session's, or where none is set a temporary one of our own, which
+    only a local master can share with itself; a cluster without one is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -61,6 +65,20 @@ def crc_text(col: Column | str) -> Column:
     return F.crc32(F.encode(F.col(col).cast("string") if isinstance(col, str) else col, "UTF-8"))
 
 
+def text_runs(texts: list[str | None], most: int = 2_000_000, rows: int = 500) -> Iterator[list[str | None]]:
+    """The texts in runs of at most ``rows``, each ending with the text that brings it to ``most`` characters: a run's
+    size follows from the longest text, not from how many there are."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= most or len(held) >= rows:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes (xor-shift and multiply)."""
     h = h ^ (h >> np.uint64(33))

@@ -3,7 +3,9 @@
 1. Every document's set is made of hashes of WIDTH words; equal sets are one class from here on.
 2. Shingles travel once, as packed blocks of 48-bit hashes, to the bucket of their upper bits, where each is met with all
    classes that hold it. A shingle of one class alone can't be shared, so only the others go on. A class with too few
-   of them has no partner and is done, which is where most of an ordinary corpus stays.
+   of them has no partner and is done, which is where most of an ordinary corpus stays. Shingles that make up more than
+   OFTEN of all (counted by parts while the classes are made) aren't met in a bucket, where they would be a hot key: they are
+   known to be shared, rank as the most frequent of all, and go straight to their classes.
 3. With shingles in the order of their frequency, two linked classes share one among the first n - ceil(0.8 n) + 1 of
    each (the rest is too short to make up the overlap). Classes that share such a shingle are put together as groups.
 4. A group is cut into tiles by bands of set size, each 1.25 times the last, since linked sizes are within 0.8 of each
@@ -25,9 +27,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mixed, partitions_for, stored
-from .components import connected
+from .common import mixed, partitions_for, stored, text_runs, with_arrow
+from .components import connected, with_least
 
 WIDTH = 5
 #: Linked: SHARE[1] * intersection >= SHARE[0] * union.
@@ -35,6 +38,10 @@ SHARE = (80, 100)
 TILE = 2000
 BUCKET_BYTES = 10 << 20
 CHUNK = 1_000_000
+#: A hot shingle has this share of all shingles, so there are at most 1 / OFTEN of them. FEW: fewer occurrences aren't hot.
+OFTEN, FEW = 2e-5, 500
+#: Buckets that a chunk is dealt to at once; beyond, it is dealt to groups of buckets first.
+FAN = 8192
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -70,49 +77,82 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """The bucket, below parts (at most 65,536), that the upper 24 bits say."""
-    return ((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+    """The bucket, below parts, that the upper 32 bits say."""
+    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def document_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, cls) of every row; cls is null for an empty set."""
+    """(key, n_shingles, cls, often) of every row; cls is null for an empty set. Rows with a value of ``often`` are of no
+    document: cls is a shingle that is frequent in some chunk of a task, and often how frequent."""
     kind = docs.schema[key].dataType.simpleString()
 
+    def frequent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        found, n = found[n >= max(2, int(OFTEN * CHUNK))], n[n >= max(2, int(OFTEN * CHUNK))]
+        if len(found):
+            none = pa.nulls(len(found))
+            yield pa.RecordBatch.from_arrays([none.cast(arrow[0].type), none.cast(pa.int64()), pa.array(found.view(np.int64)), pa.array(n)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for i in range(0, b.num_rows, 300):
-                part = b.slice(i, 300)
-                sets = shingle_sets(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=[key, "n_shingles", "cls"])
+            at = 0
+            for texts in text_runs(b.column(1).to_pylist()):
+                sets = shingle_sets(texts)
+                n, cls = pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)).cast(arrow[0].type), n, cls, pa.nulls(len(texts), pa.int64())], schema=arrow)
+                at += len(texts)
+                held += sets
+                size += sum(map(len, sets))
+                if size >= CHUNK:
+                    yield from frequent(held)
+                    held, size = [], 0
+        if held:
+            yield from frequent(held)
+
+    out = f"`{key}` {kind}, n_shingles long, cls long, often long"
+    arrow = to_arrow_schema(docs.select(key).withColumns({"n_shingles": F.lit(0).cast("long"), "cls": F.lit(0).cast("long"), "often": F.lit(0).cast("long")}).schema)
+    return docs.select(key, text).mapInArrow(run, out)
+
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles long, cls long")
+def hot_shingles(found: DataFrame) -> np.ndarray:
+    """The hot shingles of document_classes(), sorted: at most 1 / OFTEN of them, whatever the input. A copy's shingles count again, as
+    they do in the packed blocks before those meet."""
+    total = found.where("often is null").agg(F.sum("n_shingles")).first()[0] or 0
+    n = found.where("often is not null").groupBy("cls").agg(F.sum("often").alias("n"))
+    return np.sort(np.array([r.cls for r in n.where(F.col("n") > max(FEW, OFTEN * total)).select("cls").collect()], np.int64).view(np.uint64))
 
 
-def _packed(docs: DataFrame, text: str, parts: int) -> DataFrame:
-    """(bucket, classes, counts, tokens): the shingles of a chunk of distinct sets that fall into a bucket."""
+def _packed(docs: DataFrame, text: str, parts: int, hot: np.ndarray) -> DataFrame:
+    """(bucket, classes, counts, tokens): the shingles of a chunk of distinct sets that fall into a bucket. Hot ones have buckets
+    of their own, from -1 down, by class, and all their bits."""
+    shared_hot = docs.sparkSession.sparkContext.broadcast(hot)  # at most 1 / OFTEN numbers
+
+    def dealt(bucket: np.ndarray, cls: np.ndarray, owner: np.ndarray, tokens: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(bucket, kind="stable")  # owners stay in order within a bucket
+        bucket, tokens, owner = bucket[order], tokens[order], owner[order]
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(0, int)
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own, counts = np.unique(owner[i:j], return_counts=True)
+            low = tokens[i:j].view(np.uint8).reshape(-1, 8)[:, :width]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket[i]], pa.int64()), "classes": [cls[own].tobytes()], "counts": [counts.astype(np.uint32).tobytes()], "tokens": [low.tobytes()]})
 
     def emit(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cls = np.array(list(held), np.int64)
+        cls, hot = np.array(list(held), np.int64), shared_hot.value
         tokens = np.concatenate(list(held.values()))
         owner = np.repeat(np.arange(len(cls)), [len(s) for s in held.values()])
-        bucket = part_of(tokens, parts)  # ascending within a set
-        order = np.argsort(bucket, kind="stable")
-        bucket, tokens, owner = bucket[order], tokens[order], owner[order]
-        cuts = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
-        for p in range(parts):
-            i, j = cuts[p], cuts[p + 1]
-            if i == j:
-                continue
-            own, counts = np.unique(owner[i:j], return_counts=True)
-            low = (tokens[i:j] & _LOW48).view(np.uint8).reshape(-1, 8)[:, :6]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([p], pa.int32()), "classes": [cls[own].tobytes()], "counts": [counts.astype(np.uint32).tobytes()], "tokens": [low.tobytes()]})
+        is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens if len(hot) else np.zeros(len(tokens), bool)
+        own, often = owner[~is_hot], tokens[~is_hot]
+        yield from dealt(part_of(often, parts).astype(np.int64), cls, own, often & _LOW48, 6)
+        home = part_of(cls.view(np.uint64) + np.uint64(1 << 63), parts).astype(np.int64)
+        yield from dealt(-1 - home[owner[is_hot]], cls, owner[is_hot], tokens[is_hot], 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size = 0
         for b in batches:
-            for i in range(0, b.num_rows, 300):
-                for s in shingle_sets(b.column(0).slice(i, 300).to_pylist()):
+            for texts in text_runs(b.column(0).to_pylist()):
+                for s in shingle_sets(texts):
                     if len(s) and (c := class_of(s)) not in held:
                         held[c] = s
                         size += len(s)
@@ -122,7 +162,29 @@ def _packed(docs: DataFrame, text: str, parts: int) -> DataFrame:
         if held:
             yield from emit(held)
 
-    return docs.select(text).mapInArrow(run, "bucket int, classes binary, counts binary, tokens binary")
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of few buckets, put together: as run() does, but from packed rows of a group of buckets."""
+        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        size = 0
+
+        def put() -> Iterator[pa.RecordBatch]:
+            for k, rows in held.items():
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int64())} | {n: [b"".join(r[i] for r in rows)] for i, n in enumerate(("classes", "counts", "tokens"))})
+
+        for b in batches:
+            for k, *row in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(k, []).append(tuple(row))
+                size += len(row[2])
+                if size >= 16 * CHUNK:
+                    yield from put()
+                    held, size = {}, 0
+        yield from put()
+
+    kinds = "bucket long, classes binary, counts binary, tokens binary"
+    packed = docs.select(text).mapInArrow(run, kinds)
+    if parts > FAN:  # a chunk would be dealt to so many buckets that its rows hold next to nothing
+        packed = packed.repartition(FAN, F.floor(F.col("bucket") / math.ceil(parts / FAN))).mapInArrow(again, kinds)
+    return packed
 
 
 def _shared(parts: int) -> Callable[[pa.Table], pa.Table]:
@@ -132,21 +194,25 @@ def _shared(parts: int) -> Callable[[pa.Table], pa.Table]:
         bucket = t["bucket"][0].as_py()
         join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()])
         cls, counts = join("classes", np.int64), join("counts", np.uint32).astype(np.int64)
-        six = join("tokens", np.uint8).reshape(-1, 6)
-        tokens = np.zeros((len(six), 8), np.uint8)
-        tokens[:, :6] = six
+        width = 8 if bucket < 0 else 6
+        some = join("tokens", np.uint8).reshape(-1, width)
+        tokens = np.zeros((len(some), 8), np.uint8)
+        tokens[:, :width] = some
         tokens = tokens.view(np.uint64).ravel()
         fresh = np.zeros(len(cls), bool)  # a class may come from several chunks
         fresh[np.unique(cls, return_index=True)[1]] = True
         keep = np.repeat(fresh, counts)
         owner, tokens = np.repeat(cls, counts)[keep], tokens[keep]
-        order = np.argsort(tokens, kind="stable")
-        owner, tokens = owner[order], tokens[order]
-        edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-        often = np.diff(edge)
-        df = np.repeat(often, often)
-        many = df > 1
-        owner, tokens, df = owner[many], tokens[many] | (np.uint64(bucket) << np.uint64(48)), df[many]
+        if bucket < 0:
+            df = np.full(len(owner), 0xFFFFFFFF)
+        else:
+            order = np.argsort(tokens, kind="stable")
+            owner, tokens = owner[order], tokens[order]
+            edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
+            often = np.diff(edge)
+            df = np.repeat(often, often)
+            many = df > 1
+            owner, tokens, df = owner[many], tokens[many] | (np.uint64(bucket & 0xFFFF) << np.uint64(48)), df[many]
         home = part_of(owner.view(np.uint64) + np.uint64(1 << 63), parts)
         order = np.argsort(home, kind="stable")
         home = home[order]
@@ -248,10 +314,10 @@ def _tile_links(tiles: DataFrame, *by: str) -> DataFrame:
 
 def class_links(docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): links between classes that span every component of linked classes."""
-    parts = min(65536, partitions_for(docs, BUCKET_BYTES))
-    shared = _packed(docs, text, parts).groupBy("bucket").applyInArrow(_shared(parts), "home int, classes binary, tokens binary, df binary")
-    home = F.shiftrightunsigned(F.shiftrightunsigned(F.col("hcls").bitwiseXOR(F.lit(-(1 << 63))), 40) * parts, 24).cast("int")
-    heads = classes.where("cls is not null").groupBy(F.col("cls").alias("hcls")).agg(F.first("n_shingles").alias("n")).withColumn("hhome", home)
+    parts = partitions_for(docs, BUCKET_BYTES)
+    shared = _packed(docs, text, parts, hot_shingles(classes)).groupBy("bucket").applyInArrow(_shared(parts), "home int, classes binary, tokens binary, df binary")
+    home = F.shiftrightunsigned(F.shiftrightunsigned(F.col("hcls").bitwiseXOR(F.lit(-(1 << 63))), 32) * parts, 32).cast("int")
+    heads = classes.where("cls is not null and often is null").groupBy(F.col("cls").alias("hcls")).agg(F.first("n_shingles").alias("n")).withColumn("hhome", home)
     kept = stored(heads.groupBy("hhome").cogroup(shared.groupBy("home")).applyInArrow(_survivors, "cls long, n long, prefix array<long>, tokens binary"), "survivors")
 
     rare = kept.select("cls", F.explode("prefix").alias("token"))
@@ -298,7 +364,7 @@ def _between(dealt: DataFrame, inside: DataFrame) -> DataFrame:
     return upper.union(_tile_links(named.select(columns).unionByName(away.select(columns)), "block"))
 
 
-def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
+def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable by links, itself included) of every row of docs.
 
     A text of fewer than WIDTH words is one shingle; an empty or null one has none and is linked with nothing, not even
@@ -306,18 +372,33 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cla
     rows; columns other than key and text are ignored. A row without a key counts as its component's member but never
     names it.
     """
-    classes = stored(document_classes(docs, key, text), "classes") if classes is None else classes
+    return _named(docs, key, text).select(key, "n_shingles", "component_id")
+
+
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """link_documents() with the class of each row's set (cls; null: empty) and its component's (comp)."""
+    classes = stored(document_classes(docs, key, text), "classes")
     links = connected(class_links(docs, classes, text))
-    named = classes.join(links, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
-    full = named.where("cls is not null")
-    least = full.groupBy(F.col("comp").alias("c")).agg(F.min(key).alias("component_id"))
-    out = full.join(least, F.col("comp") == F.col("c")).select(key, "n_shingles", "component_id")
-    return out.unionByName(named.where("cls is null").select(key, "n_shingles", F.col(key).alias("component_id")))
+    rows = classes.where("often is null").drop("often")
+    named = stored(rows.where("cls is not null").join(links, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node"), "named")
+    out = with_least(named, "comp", key, "component_id", named.count())
+    return out.unionByName(rows.where("cls is null").withColumns({"comp": F.lit(None).cast("long"), "component_id": F.col(key)}))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that name their component, each once: of repeated rows one stays. Rows without a key can't name
-    one and stay as they are."""
-    named = link_documents(docs.where(F.col(key).isNotNull()), key, text).where(F.col(key) == F.col("component_id"))
-    kept = docs.join(named.select(key).distinct(), key, "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    one and stay as they are. Rows that share a key but not a component are different documents: each stays or goes by its own."""
+    keyed = docs.where(F.col(key).isNotNull())
+    named = stored(_named(keyed, key, text).select(key, "cls", "comp", (F.col(key) == F.col("component_id")).alias("names")), "names")
+    # a key whose rows all name, or all don't, needs no look at its texts; with several sets it does
+    by = named.groupBy(key).agg(F.count_if("names").alias("yes"), F.min(F.coalesce("cls", F.lit(0))).alias("low"), F.max(F.coalesce("cls", F.lit(0))).alias("high"))
+    once = keyed.join(by.where("yes > 0 and low = high").select(key), key, "left_semi").dropDuplicates([key])
+    several = keyed.join(by.where("yes > 0 and low <> high").select(key), key, "left_semi")
+    several = with_arrow(several, [text], "_set", "long", lambda: _class_column).withColumn("_set", F.coalesce("_set", F.lit(0)))
+    own = named.where("names").groupBy(F.col(key).alias("_key"), "comp").agg(F.min(F.coalesce("cls", F.lit(0))).alias("_own"))
+    several = several.join(own, (F.col(key) == F.col("_key")) & (F.col("_set") == F.col("_own")), "left_semi").dropDuplicates([key, "_set"])
+    return once.select(docs.columns).unionByName(several.select(docs.columns)).unionByName(docs.where(F.col(key).isNull()))
+
+
+def _class_column(column: pa.Array) -> pa.Array:
+    return pa.array([class_of(s) if len(s) else None for s in shingle_sets(column.to_pylist())], pa.int64())

@@ -74,6 +74,38 @@ def test_one_of_each_and_odd_tables(docs):
     assert nj.link_documents(docs([(1, None), (2, "")])).count() == 2
 
 
+def test_hot_shingles_and_two_steps_of_dealing(docs, monkeypatch, spark):
+    """Shingles that half of the documents hold go by class, and buckets are dealt to in two steps; links are the same."""
+    monkeypatch.setattr(nj, "FEW", 5)
+    monkeypatch.setattr(nj, "OFTEN", 1e-3)
+    monkeypatch.setattr(nj, "CHUNK", 4000)
+    monkeypatch.setattr(nj, "FAN", 2)
+    monkeypatch.setattr(nj, "BUCKET_BYTES", 1 << 10)
+    rows = corpus(5) + [(1000 + i, "one licence line that very many of the documents hold " * 3 + f" own{i} words{i}" * 2) for i in range(200)]
+    df = docs(rows)
+    assert len(nj.hot_shingles(nj.document_classes(df, "doc_id", "text"))) > 3
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.link_documents(df).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_that_share_a_key_but_not_a_component(docs):
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "quite another text with six words"), (1, "quite another text with six words"), (2, "alpha beta gamma delta epsilon"), (3, ""), (3, "x y")]
+    kept = sorted((r.doc_id, r.text) for r in nj.one_of_each(docs(rows)).collect())
+    assert kept == [(1, "alpha beta gamma delta epsilon"), (1, "quite another text with six words"), (3, ""), (3, "x y")]
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9"
+    kept = nj.one_of_each(docs([(5, near), (5, near + " 10"), (5, "far away words")])).collect()
+    assert sorted(len(r.text) for r in kept) in ([14, len(near)], [14, len(near) + 3])
+
+
+def test_frequent_keys_keep_their_minimum(spark, monkeypatch):
+    from lumenfield.llm import components as c
+
+    monkeypatch.setattr(c, "OFTEN", 10)
+    df = spark.range(1000).selectExpr("case when id % 3 = 0 then 0 else id end as k", "1000 - id as v")
+    got = {(r.k, r.v): r.low for r in c.with_least(df, "k", "v", "low", 1000).collect()}
+    assert len(got) == 1000 and all(low == (1 if k == 0 else v) for (k, v), low in got.items())
+
+
 def test_query(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_ngram_join(spark, small).collect()}
