@@ -1,24 +1,28 @@
-"""Benchmark decontamination by positional postings that are made, asked and dropped batch by batch.
+"""Benchmark decontamination by a stored positional inverted index of the documents.
 
-Each task turns its documents, in segments of SEGMENT_WORDS words, into postings: for every term of the test texts the
-sorted places where it stands. A test window is looked up from its rarest term on: the places of each term, less its
-offset in the window, are intersected list by list, the shortest first, until every term has been met (exact phrases) or
-the rarest few have been met within a slack (proximity). Documents don't move; a segment is answered where it is read.
-
-The test texts reach the tasks as broadcast blocks of at most BLOCK_WORDS words each, so one broadcast has a bound;
-all of them together are the whole benchmark.
+1. Every task turns its documents into segments of about SEGMENT_WORDS words and writes each one's postings to the shared
+   folder: the hashes of its terms, and for each term the places where it stands. All words of all texts are indexed,
+   whatever the benchmark is; the index is spread over the documents, so no term is a hot key and no posting moves.
+2. Windows of the test texts come in blocks of at most BLOCK_WORDS words. A block is broadcast, asked of every segment of the
+   index, and dropped before the next. In a segment a window is looked up from its rarest term on: the
+   places of each term, less its offset in the window, are intersected list by list, the shortest first, until all terms
+   have been met (exact phrases) or the rarest few within a slack (proximity; rarity is that in the whole index).
+3. What the blocks found is put together by document, narrow rows only.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import stored, text_runs
 
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
@@ -35,14 +39,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Windows of some test items: terms by number, a row of terms for each distinct window, the items of each."""
+    """Windows of some test items: the sorted hashes of their terms, a row of term numbers for each distinct window, the items of each."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
-        self.terms: dict[bytes, int] = {}
+        known = {w: xxhash.xxh3_64_intdigest(w) for _, words in items for w in words}
+        self.terms = np.unique(np.array(list(known.values()), np.uint64))
+        number = {w: int(np.searchsorted(self.terms, np.uint64(h))) for w, h in known.items()}
         found: dict[tuple[int, ...], set[int]] = {}
         self.items = [str(i) for i, _ in items]
         for at, (_, words) in enumerate(items):
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words]
+            ids = [number[w] for w in words]
             for k in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[k : k + window]), set()).add(at)
         self.by_length: list[tuple[int, np.ndarray, list[list[int]]]] = []
@@ -50,20 +56,26 @@ class Block:
             own = [w for w in found if len(w) == n]
             self.by_length.append((n, np.array(own, np.int64).reshape(-1, n), [sorted(found[w]) for w in own]))
 
-    def search(self, ids: np.ndarray, ends: np.ndarray, common: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]]:
+    def postings(self, terms: np.ndarray, counts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of each of the block's terms, one after the other; where each one's begin) in a segment of the index."""
+        at = np.minimum(np.searchsorted(terms, self.terms), max(len(terms) - 1, 0))
+        here = terms[at] == self.terms if len(terms) else np.zeros(len(self.terms), bool)
+        length = np.where(here, counts[at], 0) if len(terms) else np.zeros(len(self.terms), np.int64)
+        first = np.concatenate([[0], np.cumsum(length)])
+        begin = np.cumsum(counts) - counts
+        own = np.repeat(begin[at] if len(terms) else length, length) + np.arange(first[-1]) - np.repeat(first[:-1], length)
+        return places[own], first
+
+    def search(self, places: np.ndarray, first: np.ndarray, size: int, ends: np.ndarray, common: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]]:
         """For each window length: (length, window and place of the exact matches, windows and documents of near ones).
 
-        ids: the terms of a segment, negative where a word is none of ours or a document ends; ends: the places after each
+        places, first: postings(); size: one more than the last place; ends: the places after each
         document's end mark; common: how often each term is in all documents (None: no near matches). A near match is
         NEAR_TERMS of a window's NEAR_TERMS + 1 rarest terms (of a shorter window: all terms) in one document, each
         within NEAR_SLACK of its place as the rarest one that is met has it.
         """
-        n_terms, size = len(self.terms), len(ids) + 1
-        places = np.flatnonzero(ids >= 0)
-        order = np.argsort(ids[places], kind="stable")
-        keys = ids[places][order] * size + places[order]  # postings: term, then place
-        first = np.searchsorted(keys, np.arange(n_terms + 1) * size)
         length = np.diff(first)
+        keys = np.repeat(np.arange(len(self.terms)), length) * size + places  # by term, then place
         for n, windows, items in self.by_length:
             counts = length[windows]
             by_rarity = np.argsort(counts, axis=1, kind="stable")
@@ -125,76 +137,159 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator
     yield Block(held, window)
 
 
-def _counted(texts: DataFrame, blocks: list) -> list[np.ndarray]:
-    """How often the terms of each block are in all texts."""
+def index_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored index: a row for each segment. keys, ids, n_words: of its documents, an id being a hash of the text; terms: their
+    sorted hashes; counts: how many places each has; places: by term and then place, each as the step from the one before.
+    A document's words stand one after the other, and an empty place ends it."""
+    kind = to_arrow_type(docs.schema[key].dataType)
+    schema = pa.schema([("keys", pa.list_(kind)), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+
+    def segment(keys: list, ids: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(t) for t in tokens], np.int64)
+        h = np.concatenate([np.zeros(0, np.uint64), *tokens])
+        order = np.argsort(h, kind="stable")
+        place = (np.arange(len(h)) + np.repeat(np.arange(len(n)), n))[order]
+        h = h[order]
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        step = np.diff(place, prepend=0)
+        step[edge] = place[edge]
+        counts = np.diff(np.append(edge, len(h)))
+        return pa.RecordBatch.from_pydict({"keys": [keys], "ids": [ids], "n_words": [n.tolist()], "terms": [h[edge].tobytes()], "counts": [counts.astype(np.uint32).tobytes()], "places": [step.astype(np.uint32).tobytes()]}, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, tokens, size = [], [], [], 0
+        for b in batches:
+            at = 0
+            for texts in text_runs(b.column(2).to_pylist()):
+                words = [words_of(t) for t in texts]
+                flat = [w for x in words for w in x]
+                known = {w: xxhash.xxh3_64_intdigest(w) for w in set(flat)}
+                h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+                keys += b.column(0).slice(at, len(texts)).to_pylist()
+                ids += b.column(1).slice(at, len(texts)).to_pylist()
+                tokens += np.split(h, np.cumsum([len(x) for x in words])[:-1])
+                at += len(texts)
+                size += len(flat)
+                if size >= SEGMENT_WORDS:
+                    yield segment(keys, ids, tokens)
+                    keys, ids, tokens, size = [], [], [], 0
+        if keys:
+            yield segment(keys, ids, tokens)
+
+    name = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), _text_id(text).alias("id"), F.col(text).alias("text"))
+    return stored(rows.mapInArrow(run, f"keys array<{name}>, ids array<long>, n_words array<long>, terms binary, counts binary, places binary"), "index")
+
+
+def _text_id(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _counted(index: DataFrame, block: Broadcast) -> np.ndarray:
+    """How often each term of a block is in the index: a number for each term comes to the driver, which made the block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-        known = set().union(*(b.value.terms for b in blocks))
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total.update(w for w in words_of(t) if w in known)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+        total = np.zeros(len(block.value.terms), np.int64)
+        for b in batches:
+            for terms, counts in zip(*(c.to_pylist() for c in b.columns)):
+                terms, counts = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.uint32)
+                both, mine, own = np.intersect1d(block.value.terms, terms, assume_unique=True, return_indices=True)
+                total[mine] += counts[own]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(at), "n": pa.array(total[at])})
 
-    # what comes to the driver: a number for each term of the test texts, which are there too
-    total = {bytes(r.term): r.n for r in texts.mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
-    return [np.array([total.get(t, 0) for t in b.value.terms], np.int64) for b in blocks]
+    out = np.zeros(len(block.value.terms), np.int64)
+    for r in index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.term] = r.n
+    return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, keep: bool = False, near: bool = True) -> DataFrame:
+def _asked(index: DataFrame, block: Broadcast, common: np.ndarray | None, kind: str) -> DataFrame:
+    """(key, id, runs, items, near_items) of the documents that the windows of a block are found in; runs: of hit words, [from, to)."""
+    schema = f"key {kind}, id long, runs array<struct<a:long,b:long>>, items array<string>, near_items array<string>"
+    keys = index.schema["keys"].dataType.elementType
+    arrow = pa.schema([("key", to_arrow_type(keys)), ("id", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
+
+    def answer(own: Block, keys: list, ids: list, n_words: list, terms: bytes, counts: bytes, places: bytes) -> pa.RecordBatch:
+        n = np.array(n_words, np.int64)
+        ends = np.cumsum(n + 1)
+        starts = ends - n - 1
+        size = int(ends[-1]) + 1
+        counts, step = np.frombuffer(counts, np.uint32).astype(np.int64), np.frombuffer(places, np.uint32).astype(np.int64)
+        begin = np.cumsum(counts) - counts
+        total = np.cumsum(step)
+        before = np.where(begin > 0, total[np.maximum(begin - 1, 0)], 0) if len(begin) else begin
+        where, first = own.postings(np.frombuffer(terms, np.uint64), counts, total - np.repeat(before, counts))
+        cover = np.zeros(size + 1, np.int32)
+        exact: dict[int, set[int]] = {}
+        close: dict[int, set[int]] = {}
+        for length, w, start, met, items in own.search(where, first, size, ends, common):
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + length, -1)
+            for out, at, docs in ((exact, w, np.searchsorted(ends, start, side="right")), (close, *met)):
+                for x, d in set(zip(at.tolist(), docs.tolist())):
+                    out.setdefault(d, set()).update(items[x])
+        hit = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0)
+        up, down = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
+        runs: dict[int, list[dict]] = {}
+        for d, a, b in zip(np.searchsorted(ends, up, side="right").tolist(), up.tolist(), down.tolist()):
+            runs.setdefault(d, []).append({"a": a - int(starts[d]), "b": b - int(starts[d])})
+        some = sorted(exact.keys() | close.keys())
+        names = lambda found, d: sorted(own.items[i] for i in found.get(d, ()))
+        return pa.RecordBatch.from_pylist([{"key": keys[d], "id": ids[d], "runs": runs.get(d, []), "items": names(exact, d), "near_items": names(close, d)} for d in some], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = [c[i].as_py() for c in b.columns]
+                if row[0]:
+                    yield answer(block.value, *row)
+
+    return index.mapInArrow(run, schema)
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, near: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(index of docs, hits): key, id, n_hit, items and near_items of the documents that any window is found in; see decontaminate()."""
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    index = index_texts(docs, key, text)
+    found = None
+    for own in _blocks(benchmark, item, text, window):
+        block = spark.sparkContext.broadcast(own)  # of at most BLOCK_WORDS words
+        hits = stored(_asked(index, block, _counted(index, block) if near else None, kind), "hits")
+        found = hits if found is None else found.union(hits)
+        block.unpersist()
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    # runs of one block are apart; those of several blocks may overlap
+    count = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("runs"))),
+        F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")),
+        lambda acc, r: F.struct(F.greatest(acc["to"], r["b"]).alias("to"), (acc["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(acc["to"], r["a"]))).alias("n")),
+        lambda acc: acc["n"],
+    )
+    return index, found.groupBy("key", "id").agg(count.alias("n_hit"), every("items"), every("near_items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, near: bool = True) -> DataFrame:
     """Per row of docs: key, n_words, n_hit, items (sorted ids of items with an exact window), near_items (proximity;
-    without near empty, and then the documents aren't read beforehand to count the items' terms in all of them). With keep, all columns of docs and then those (docs may not have columns of their names).
+    empty without near).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. n_hit
     counts the document words inside any exact occurrence. Null and empty texts have no words and no hits; repeated rows
     are answered one by one; repeated items have the same id; an empty benchmark hits nothing; columns other than key
     and text are ignored.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item, text, window)]
-    common = spark.sparkContext.broadcast(_counted(docs.select(text), blocks) if near else [None] * len(blocks))
-    wanted = docs if keep else docs.select(key, text)
-    names, at = (docs.columns, docs.columns.index(text)) if keep else ([key], 1)
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-
-    def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [words_of(t) for t in batch.column(at).to_pylist()]
-        n_words = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(n_words + 1)
-        starts = ends - n_words - 1
-        cover = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
-        exact: list[set[str]] = [set() for _ in texts]
-        close: list[set[str]] = [set() for _ in texts]
-        for shared, counts in zip(blocks, common.value):
-            block: Block = shared.value
-            if not block.terms:
-                continue
-            get = block.terms.get
-            ids = np.fromiter((i for t in texts for i in (*(get(w, -1) for w in t), -1)), np.int64, int(ends[-1]))
-            for n, w, start, met, items in block.search(ids, ends, counts):
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + n, -1)
-                doc = np.searchsorted(ends, start, side="right")
-                for x, d in set(zip(w.tolist(), doc.tolist())):
-                    exact[d].update(block.items[i] for i in items[x])
-                for x, d in set(zip(*met.tolist())):
-                    close[d].update(block.items[i] for i in items[x])
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
-        n_hit = hit[starts + n_words] - hit[starts]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.columns if keep else [batch.column(0)]), pa.array(n_words), pa.array(n_hit.astype(np.int64)), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in close], pa.list_(pa.string()))],
-            names=[*names, "n_words", "n_hit", "items", "near_items"],
-        )
+    index, hits = find_windows(docs, benchmark, key, text, item, window, near)
+    rows = index.select(F.explode(F.arrays_zip("keys", "ids", "n_words")).alias("d")).select(F.col("d.keys").alias("k"), F.col("d.ids").alias("i"), F.col("d.n_words").alias("n_words"))
+    none = F.array().cast("array<string>")
+    out = rows.join(hits, F.col("k").eqNullSafe(F.col("key")) & (F.col("i") == F.col("id")), "left")
+    return out.select(F.col("k").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0), np.int64) // 6 + 1)
-            cut = np.flatnonzero(np.diff(sizes // SEGMENT_WORDS)) + 1 if len(sizes) else []
-            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
-                if b > a:
-                    yield answer(batch.slice(a, b - a))
-
-    return wanted.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, near_items array<string>")
+
+def without_windows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that hold no window, with all their columns, whatever the names of those are."""
+    _, hits = find_windows(docs, benchmark, key, text, item, window, near=False)
+    hit = hits.where("n_hit > 0").select(F.col("key").alias("_hit_key"), F.col("id").alias("_hit_id"))
+    return docs.join(hit, F.col(key).eqNullSafe(F.col("_hit_key")) & (_text_id(text) == F.col("_hit_id")), "left_anti")
 
 
 def items_digest(items: Column) -> Column:

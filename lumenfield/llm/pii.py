@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 MIN_SCORE = 0.5
 #: Code points before a span that are searched for context words.
 CONTEXT = 40
@@ -118,14 +120,14 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     moved, so repeated rows and an empty table are nothing special, and other columns are left alone.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    found = docs
+    found, names = docs, [free_name(docs, f"_m{k}") for k in range(len(KINDS))]
     for k, kind in enumerate(KINDS):
         matches = F.regexp_extract_all(value, F.lit(kind.pattern), F.lit(int(kind.ahead)))
         if kind.need:
             matches = F.when(F.contains(value, F.lit(kind.need)), matches).otherwise(F.array().cast("array<string>"))
-        found = found.withColumn(f"_m{k}", matches)
-    joined = F.array_sort(F.concat(*(_spans(value, F.col(f"_m{k}"), k) for k in range(len(KINDS)))))
-    return found.withColumn(out, joined).drop(*(f"_m{k}" for k in range(len(KINDS))))
+        found = found.withColumn(names[k], matches)
+    joined = F.array_sort(F.concat(*(_spans(value, F.col(n), k) for k, n in enumerate(names))))
+    return found.withColumn(out, joined).drop(*names)
 
 
 def span_text(spans: Column) -> Column:
