@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm.common import crc_text, stored, table
-from lumenfield.llm.decontaminate import decontaminate
+from lumenfield.llm.common import crc_text, free_name, stored, table
+from lumenfield.llm.decontaminate import without_windows
 from lumenfield.llm.ngram_join import one_of_each
 from lumenfield.llm.pieces import encode_checked
 from lumenfield.llm.pii import find_spans, masked
@@ -27,7 +27,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a score of at least 0.5; the model has learned from the labels that op4 learns from too."""
     labels = table(spark, sf_dir, "labels").where(crc_text("doc_id") % 3 != 1)
-    return score(docs, train(docs, labels), out="_score").where("_score >= 0.5").select(docs.columns)
+    out = free_name(docs, "score")
+    return score(docs, train(docs, labels), out=out).where(F.col(out) >= 0.5).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,22 +38,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any benchmark window."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=True, near=False)
-    return hit.where("n_hit = 0").select(docs.columns)
+    return without_windows(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with personal data masked and n_chars counted anew."""
-    text = masked(F.col("text"), F.col("_spans"))
-    changed = F.size("_spans") > 0
-    found = find_spans(docs, out="_spans").withColumn("text", text)
+    out = free_name(docs, "spans")
+    changed = F.size(out) > 0
+    found = find_spans(docs, out=out).withColumn("text", masked(F.col("text"), F.col(out)))
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with their ids, how many they are, and whether they decode to the text."""
+    """All rows, with their ids, how many they are, and whether they decode to the text (in place of columns of these names)."""
     coded = encode_checked(docs, PIECES)
-    return coded.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "round_trip")
+    kept = [c for c in docs.columns if c not in ("ids", "n_pieces", "round_trip")]
+    return coded.select(*kept, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
