@@ -10,14 +10,19 @@ tiles are merged at the end. No pair is lost: a pair that is dropped is beaten b
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import input_bytes
+
 #: Rows of a block. A tile holds QUERY_ROWS x CANDIDATE_ROWS floats.
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
+#: Bytes of vectors that a task gets of either side, and of heaps that it merges.
+SIDE_BYTES = 32 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -39,7 +44,10 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
     query's take no part."""
     a, sa, ea = quantised(q)
     b, sb, eb = quantised(c)
-    near = (a @ b.T).astype(np.float64) * sa[:, None] * sb[None, :]  # sums of int8 products are exact in float32 up to 2**24
+    near = np.zeros((len(a), len(b)))
+    for i in range(0, a.shape[1], 1024):  # sums of up to 1,040 int8 products are exact in float32
+        near += a[:, i : i + 1024] @ b[:, i : i + 1024].T
+    near *= sa[:, None] * sb[None, :]
     nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
     # |q.c - q'.c'| <= |q - q'| |c| + |q'| |c - c'|, and |q'| <= |q| + |q - q'|; the last term is for rounding itself
     miss = ea[:, None] * nc[None, :] + (nq + ea)[:, None] * eb[None, :] + 1e-6 * nq[:, None] * nc[None, :]
@@ -55,18 +63,33 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
     return out
 
 
+def cuts(rows: int, queries: int, size: float, tasks: int) -> tuple[int, int]:
+    """Stripes of candidates and groups of queries, of vectors of ``size`` bytes each.
+
+    Every candidate is sent to all groups and every query to all stripes, so as few of either as memory allows are best:
+    SIDE_BYTES of vectors each. Where that makes fewer than ``tasks`` pairs of them, both are raised to it in the ratio
+    that moves the least.
+    """
+    stripes, groups = max(1, math.ceil(rows * size / SIDE_BYTES)), max(1, math.ceil(queries * size / SIDE_BYTES))
+    if stripes * groups < tasks:
+        groups = max(groups, round(math.sqrt(tasks * queries / max(rows, 1))))
+        stripes = max(stripes, math.ceil(tasks / groups))
+    return stripes, groups
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, key, score: the k nearest of every row that is_query holds for, among all rows with another key.
 
     Rows whose key is null or whose vector isn't usable() take no part; vectors of different lengths are not compared;
     of rows that share a key the smallest vector counts; queries without candidates, and empty tables, give no rows.
     The plane of pairs is cut into stripes of candidates and groups of queries; a task gets the pairs of one stripe and
-    one group, in blocks. The query set makes so many pairs necessary; both counts follow the session's shuffle
-    partitions, so neither side is ever held whole by a task or the driver.
+    one group, in blocks. The query set makes so many pairs necessary. See cuts() for how many of each there are; neither side is ever
+    held whole by a task or the driver.
     """
     spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stripes, groups = 4 * parts, max(1, parts // 20)
+    n = vectors.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(is_query, F.lit(False))).alias("queries")).first()
+    size = input_bytes(vectors) / max(n.rows, 1) if input_bytes(vectors) < 1 << 60 else 1024
+    stripes, groups = cuts(n.rows, n.queries, size, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     rows = rows.withColumns({"dim": F.size("v"), "s": F.pmod(F.xxhash64("id"), F.lit(stripes)), "g": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))})
@@ -93,9 +116,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         )
 
     def merged(t: pa.Table) -> pa.Table:
-        heaps = (list(zip((-np.array(s)).tolist(), v)) for v, s in zip(t["ids"].to_pylist(), t["scores"].to_pylist()))
-        best = heapq.nsmallest(k, heapq.merge(*heaps))
-        return pa.table({"query_id": pa.array([t["query_id"][0].as_py()] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()), key: pa.array([v for _, v in best], pa.int64()), "score": pa.array([-s for s, _ in best], pa.float64())})
+        by: dict[int, list[list[tuple[float, int]]]] = {}
+        for i, v, s in zip(*(t[c].to_pylist() for c in ("query_id", "ids", "scores"))):
+            by.setdefault(i, []).append([(-x, y) for x, y in zip(s, v)])
+        best = [(i, r, -s, v) for i, h in by.items() for r, (s, v) in enumerate(heapq.nsmallest(k, heapq.merge(*h)), 1)]
+        return pa.table({"query_id": pa.array([x[0] for x in best], pa.int64()), "rank": pa.array([x[1] for x in best], pa.int32()), key: pa.array([x[3] for x in best], pa.int64()), "score": pa.array([x[2] for x in best], pa.float64())})
 
     heaps = candidates.groupBy("s", "g", "dim").cogroup(queries.groupBy("qs", "qg", "qdim")).applyInArrow(product, "query_id long, ids array<long>, scores array<double>")
-    return heaps.groupBy("query_id").applyInArrow(merged, f"query_id long, rank int, {key} long, score double")
+    merges = max(1, math.ceil(n.queries * stripes * k * 64 / SIDE_BYTES))  # queries whose heaps one task merges are a merge
+    return heaps.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(merges)).alias("merge")).applyInArrow(merged, f"query_id long, rank int, {key} long, score double")

@@ -42,3 +42,19 @@ def test_quantisation_bounds_hold():
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nb.nearest(df, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_cuts_move_little():
+    for rows, queries, tasks in ((10_000, 500, 12), (10_000, 500, 2000), (10**8, 5 * 10**6, 2000), (3, 1, 8), (0, 0, 8)):
+        stripes, groups = nb.cuts(rows, queries, 256, tasks)
+        assert stripes * groups >= tasks and rows * 256 / stripes <= nb.SIDE_BYTES and queries * 256 / groups <= nb.SIDE_BYTES
+    stripes, groups = nb.cuts(10_000, 500, 256, 2000)
+    assert groups + 0.05 * stripes < 25  # copies of the table; the least is 2 sqrt(0.05 * 2000) = 20
+
+
+def test_more_dimensions_than_one_exact_sum_holds(spark):
+    v = np.random.default_rng(2).standard_normal((60, 2500)).astype(np.float32)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in nb.nearest(df, F.col("vec_id") % 20 == 0, 7).collect())
+    assert got == brute(rows, 7)
