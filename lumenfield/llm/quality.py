@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_arrow
+from .common import text_runs, with_arrow
 
 DIM = 1 << 18
 MAX_TRAIN, EPOCHS = 6000, 5
 #: Follow-the-regularised-leader (proximal): step size, smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.0, 0.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 _AGAIN, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -97,11 +97,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            starts, place, value = features(b.column(0).to_pylist())
-            cells = [(place[i:j].astype(np.int32).tobytes(), value[i:j].astype(np.float32).tobytes()) for i, j in zip(starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["label", "order", "place", "value"])
+            at = 0
+            for texts in text_runs(b.column(0).to_pylist()):
+                starts, place, value = features(texts)
+                cells = [(place[i:j].astype(np.int32).tobytes(), value[i:j].astype(np.float32).tobytes()) for i, j in zip(starts, starts[1:])]
+                label, order = (b.column(c).slice(at, len(texts)) for c in (1, 2))
+                yield pa.RecordBatch.from_arrays([label, order, pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["label", "order", "place", "value"])
+                at += len(texts)
 
     def fitted(t: pa.Table) -> pa.Table:
         t = t.sort_by([("order", "ascending"), ("label", "ascending"), ("place", "ascending")])
@@ -122,8 +124,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def start() -> Callable[[pa.Array], pa.Array]:
         def make(column: pa.Array) -> pa.Array:
-            texts = column.to_pylist()
-            return pa.array(np.concatenate([np.zeros(0), *(shared.value.scores(texts[i : i + 500]) for i in range(0, len(texts), 500))]))
+            return pa.array(np.concatenate([np.zeros(0), *(shared.value.scores(texts) for texts in text_runs(column.to_pylist()))]))
 
         return make
 

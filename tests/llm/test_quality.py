@@ -40,3 +40,33 @@ def test_empty_tables(spark, docs):
     model = quality.train(df, none)
     assert quality.score(df, model).first().score == 0.5
     assert quality.score(df.limit(0), model).count() == 0
+
+
+def test_learner_against_a_plain_loop():
+    """Follow-the-regularised-leader, one coordinate at a time, from the published update."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(60):
+        place = np.sort(rng.choice(50, rng.integers(1, 9), replace=False))
+        rows.append((place, rng.random(len(place)), int(rng.random() < 0.5)))
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= quality.L1:
+            return 0.0
+        return -(zi - (quality.L1 if zi > 0 else -quality.L1)) / ((quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for place, value, y in rows:
+            x = {**dict(zip(place.tolist(), value.tolist())), quality.DIM: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i, v in x.items():
+                g = (p - y) * v
+                step = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - step * w[i], n.get(i, 0.0) + g * g
+    w, bias = quality.learn(rows)
+    assert quality.L1 > 0 and quality.L2 > 0
+    assert np.allclose([w[i] for i in range(50)], [weight(i) for i in range(50)]) and abs(bias - weight(quality.DIM)) < 1e-9
+    assert not w[50:].any()
