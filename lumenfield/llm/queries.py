@@ -17,7 +17,7 @@ from .ngram_join import link_documents
 from .pieces import encode_checked
 from .pii import count_kind, find_spans, span_text
 from .quality import score, train
-from .sharding import balanced_tree, shard_rows
+from .sharding import balanced_tree, grown, inner_nodes, shard_rows
 from .warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,20 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+_TREES = [(n.name, c.name, c.weight, c.shard, k) for k, tree in enumerate((balanced_tree(2, 2, 4), grown(balanced_tree(2, 2, 4)))) for n in inner_nodes(tree) for c in n.children]
+_STEP = lambda i: f"""l{i} AS (SELECT doc_id, grown, arg_min(child, -ln((('0x' || substr(md5(k || '|' || child), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496) / weight) AS node, k FROM l{i - 1} JOIN tree USING (grown) WHERE parent = node GROUP BY doc_id, k, grown)"""
+ORACLES["op6_sharding"] = f"""
+WITH {CRC_TABLE_SQL},
+tree(parent, child, weight, shard, grown) AS (VALUES {", ".join(f"('{p}', '{c}', {w}, {'NULL' if s is None else s}::INTEGER, {k})" for p, c, w, s, k in _TREES)}),
+l0 AS (SELECT doc_id, grown, 'root' AS node, coalesce(doc_id::VARCHAR, 'null') AS k FROM (SELECT DISTINCT doc_id FROM documents), (SELECT DISTINCT grown FROM tree)),
+{_STEP(1)}, {_STEP(2)}, {_STEP(3)},
+pl AS (SELECT doc_id, max(shard) FILTER (grown = 0) AS shard, max(shard) FILTER (grown = 1) AS grown_shard, ('0x' || substr(md5(any_value(k)), 1, 8))::BIGINT AS h FROM l3 JOIN tree USING (grown) WHERE child = node GROUP BY 1),
+d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, ({crc_sql("coalesce(text, '')")})::BIGINT AS text_crc32 FROM documents, crc_table)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY h, d.doc_id NULLS FIRST, text_crc32) - 1)::BIGINT AS slot, grown_shard
+FROM d JOIN pl ON d.doc_id IS NOT DISTINCT FROM pl.doc_id
+"""
+
+
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents: counts by base kind, a digest of the base spans, and all spans."""

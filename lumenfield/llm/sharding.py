@@ -34,6 +34,10 @@ class Node:
         return [x for c in self.children for x in c.leaves] if self.children else [self]
 
 
+def inner_nodes(tree: Node) -> list[Node]:
+    return [tree, *(x for c in tree.children for x in inner_nodes(c))] if tree.children else []
+
+
 def balanced_tree(regions: int, racks: int, shards: int, weights: dict[int, float] | None = None) -> Node:
     """regions x racks x shards leaves, numbered from 0; weights: of shards that don't weigh 1."""
     weights, n, tops = weights or {}, 0, []
@@ -81,9 +85,10 @@ def with_shard(df: DataFrame, key: str, tree: Node, out: str) -> DataFrame:
 def shard_rows(docs: DataFrame, tree: Node, key: str = "doc_id", text: str = "text", cells: int | None = None) -> DataFrame:
     """key, size, text_crc32, shard, slot and grown_shard of every row.
 
-    size: UTF-8 bytes of the text (null: none) plus 1. slot numbers a shard's rows from 0 without gaps. A shard's rows
-    are numbered in ``cells`` hash cells (by default the session's shuffle partitions), each sorted on its own, after
-    the counts of the cells before; no task gets a whole shard. A null key is a key like any other; repeated rows get
+    size: UTF-8 bytes of the text (null: none) plus 1. slot numbers a shard's rows from 0 without gaps, in the order of a hash
+    of the key, the key and the text's CRC. A shard's rows are numbered in ``cells`` ranges of that hash (by default
+    the session's shuffle partitions), each sorted on its own, after the counts of the ranges before; no task gets a
+    whole shard, and how many ranges there are changes no slot. A null key is a key like any other; repeated rows get
     slots of their own; an empty table gives no rows; other columns of docs are ignored.
     """
     cells = cells or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -93,13 +98,13 @@ def shard_rows(docs: DataFrame, tree: Node, key: str = "doc_id", text: str = "te
         (F.octet_length(value) + 1).cast("long").alias("size"),
         crc_text(value).alias("text_crc32"),
         name.alias("_name"),
-        F.pmod(F.xxhash64(F.col(key), value), F.lit(cells)).alias("_cell"),
-    )
+        F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long").alias("_hash"),
+    ).withColumn("_cell", F.shiftright(F.col("_hash") * cells, 32))
     rows = with_shard(with_shard(rows, "_name", tree, "shard"), "_name", grown(tree), "grown_shard").drop("_name")
     w = Window.partitionBy("shard", "_cell")
     before = rows.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_cell")) - F.col("_n")).drop("_n")
-    ranked = rows.withColumn("_rank", F.row_number().over(w.orderBy(F.col(key), "text_crc32")))
+    ranked = rows.withColumn("_rank", F.row_number().over(w.orderBy("_hash", F.col(key), "text_crc32")))
     return (
         ranked.join(before, ["shard", "_cell"])
         .withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long"))

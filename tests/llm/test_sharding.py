@@ -1,6 +1,9 @@
 import zlib
 from collections import Counter
 
+import duckdb
+
+from lumenfield.llm.queries import ORACLES, op6_sharding
 from lumenfield.llm.sharding import balanced_tree, grown, shard_rows
 
 
@@ -32,3 +35,18 @@ def test_empty_and_grown_twice(docs):
     assert shard_rows(docs([(1, "a")]).limit(0), balanced_tree(2, 2, 4)).count() == 0
     tree = grown(grown(balanced_tree(2, 2, 4)))
     assert [n.shard for n in tree.leaves] == list(range(18))
+
+
+def test_query_against_sql(spark, small):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    r = c.execute(ORACLES["op6_sharding"])
+    names = [d[0] for d in r.description]
+    want = sorted(tuple(dict(zip(names, row)).items()) for row in r.fetchall())
+    assert sorted(tuple((n, row[n]) for n in names) for row in op6_sharding(spark, small).collect()) == want and len(want) >= 200
+
+
+def test_slots_do_not_follow_the_number_of_cells(docs):
+    df = docs([(i, f"t{i}") for i in range(500)])
+    a, b = ({(r.doc_id, r.shard, r.slot) for r in shard_rows(df, balanced_tree(2, 2, 4), cells=n).collect()} for n in (1, 13))
+    assert a == b
