@@ -57,7 +57,7 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
-_FOUND = re.compile(r"(?i)hidden|style|colspan|start|type|display")
+_FOUND = re.compile(r"(?i)hidden|style|colspan|rowspan|start|type|display")
 _HIDDEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
 
 
@@ -117,32 +117,51 @@ class Writer:
 
 
 class Table:
+    """Cells by row and column, as colspan and rowspan place them."""
+
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
+        self.busy: list[tuple[int, int, int]] = []  # columns [from, to) that cells above reach into, and for how many rows
+        self.below: list[tuple[int, int, int]] = []
+        self.at, self.passed = 0, 0  # next column, and how many of busy end before it
+
+    def row(self) -> None:
+        self.busy = sorted([(a, b, n - 1) for a, b, n in self.busy if n > 1] + self.below)
+        self.below, self.at, self.passed = [], 0, 0
+        self.rows.append([])
 
-    def cell(self, text: str, span: int) -> None:
+    def cell(self, text: str, span: int, down: int) -> None:
         if not self.rows:
-            self.rows.append([])
-        row = self.rows[-1]
-        at = row[-1][0] + row[-1][1] if row else 0
-        row.append((at, span, text.split("\n") if text else []))
+            self.row()
+        while self.passed < len(self.busy) and self.busy[self.passed][0] <= self.at:
+            self.at = max(self.at, self.busy[self.passed][1])
+            self.passed += 1
+        if down > 1:
+            self.below.append((self.at, self.at + span, down - 1))
+        self.rows[-1].append((self.at, span, text.split("\n") if text else []))
+        self.at += span
 
     def result(self) -> list[str]:
-        width: dict[int, int] = {}
+        """Lines in which a column begins at the same place in every row; a column that no cell begins has no width."""
+        width = {at: 0 for row in self.rows for at, _, _ in row}
         for row in self.rows:
             for at, span, lines in row:
                 if span == 1:
-                    width[at] = max(width.get(at, 0), min(PAD, max(map(len, lines), default=0)))
+                    width[at] = max(width[at], min(PAD, max(map(len, lines), default=0)))
+        begin, total = {}, 0
+        for at in sorted(width):
+            begin[at] = total
+            total += width[at] + 2
         out = []
         for row in self.rows:
             for k in range(max((len(c[2]) for c in row), default=0)):
-                line, column = "", 0
-                for at, span, lines in row:
-                    for _ in range(at - column):
-                        line += "  "
-                    line += (lines[k] if k < len(lines) else "").ljust(sum(width.get(at + i, 0) for i in range(min(span, 50)))) + "  "
-                    column = at + 1
-                out.append(line.rstrip())
+                parts, size = [], 0
+                for at, _, lines in row:
+                    if k < len(lines) and lines[k]:
+                        gap = max(begin[at] - size, 2 if size else 0)
+                        parts.append(" " * gap + lines[k])
+                        size += gap + len(lines[k])
+                out.append("".join(parts).rstrip())
         return out
 
 
@@ -156,7 +175,7 @@ class Page:
         self.hidden = -1  # stack size at which an invisible subtree began
         self.writers = [Writer()]
         self.tables: list[Table] = []
-        self.spans: list[int] = []
+        self.spans: list[tuple[int, int]] = []
         self.lists: list[int | None] = []  # the next number, None: bullets
         self.pre = 0
 
@@ -248,10 +267,12 @@ class Page:
             w.brk(2)
             self.tables.append(Table())
         elif tag == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
         elif tag in ("td", "th") and self.tables:
-            span = found.get("colspan", "1").strip()
-            self.spans.append(max(1, min(1000, int(span))) if span.isdecimal() else 1)
+            span, down = (found.get(name, "1").strip() for name in ("colspan", "rowspan"))
+            down = int(down) if down.isdecimal() and down.isascii() else 1
+            # a rowspan of 0 reaches to the end of the table
+            self.spans.append((max(1, min(1000, int(span))) if span.isdecimal() and span.isascii() else 1, min(down or 65534, 65534)))
             self.writers.append(Writer())
             self.lists.append(None)  # a cell's lists begin anew
         elif tag in BLOCK:
@@ -290,7 +311,7 @@ class Page:
         if tag in ("td", "th") and len(self.writers) > 1:
             self.lists.pop()
             self.writers.pop()
-            self.tables[-1].cell(w.result(), self.spans.pop())
+            self.tables[-1].cell(w.result(), *self.spans.pop())
         elif tag == "table" and self.tables:
             w.lines(self.tables.pop().result())
             w.brk(2)

@@ -96,3 +96,12 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<p>a"), (3, "<p>a")], "page_id long, html string").selectExpr("*", "7 as text")
     assert sorted((r.page_id, r.text) for r in extract_text(df).collect()) == [(1, ""), (2, ""), (3, "a"), (3, "a")]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_cells_over_several_rows_and_columns():
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A  B\n   C"
+    assert render("<table><tr><td>a<td rowspan=3>long<td>c<tr><td>d<td>e<tr><td colspan=1>f<td>g<tr><td>h<td>i<td>j</table>") == "a  long  c\nd        e\nf        g\nh  i     j"
+    assert render("<table><tr><td rowspan=0>x<td>1<tr><td>2<tr><td>3</table>") == "x  1\n   2\n   3"
+    assert render("<table><tr><td colspan=2 rowspan=2>ab<td>1<tr><td>2<tr><td>p<td>q<td>3</table>") == "ab    1\n      2\np  q  3"
+    wide = "<table><tr>" + "<td colspan=1000>x" * 3000 + "<tr>" + "<td rowspan=9 colspan=900>y" * 3000 + "</table>"
+    assert len(render(wide)) < 20 * 6000 and render(wide).count("x") == render(wide).count("y") == 3000
