@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, with_arrow
+from .common import mixed, text_runs, with_arrow
 
 SPACE = "▁"
 LONG = 64
@@ -303,11 +303,11 @@ class Coder:
 def _listed(coder: Coder, texts: list[str | None], back: bool) -> tuple[pa.Array, pa.Array]:
     """(ids of each text, whether they decode to it; null if not asked)."""
     values, ends, same = [np.zeros(0, np.int32)], [0], []
-    for part in _runs(texts):
+    for part in text_runs(texts, rows=1 << 30):
         ids, stops = coder.encode(part)
         values.append(ids)
         ends += (stops + ends[-1]).tolist()
-        same += [a == (b or "").replace(SPACE, " ") for a, b in zip(coder.decode(ids, stops), part)] if back else [None] * len(part)
+        same += [a == (b or "") for a, b in zip(coder.decode(ids, stops), part)] if back else [None] * len(part)
     offsets = pa.array(ends, pa.int32(), mask=np.append(np.array([t is None for t in texts], bool), False))
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values))), pa.array(same, pa.bool_())
 
@@ -326,7 +326,8 @@ def encode(docs: DataFrame, model: str | Vocabulary, text: str = "text", out: st
 
 
 def encode_checked(docs: DataFrame, model: str | Vocabulary, text: str = "text", out: str = "ids", check: str = "round_trip") -> DataFrame:
-    """encode(), with a column that says whether the ids decode to the text (a null text counts as come back). Both are
+    """encode(), with a column that says whether the ids decode to the very text (a null text counts as come back; one with a
+    U+2581 of its own doesn't come back, since that decodes to a space). Both are
     done by one worker, so neither ids nor decoded texts travel for the check."""
     v = model if isinstance(model, Vocabulary) else Vocabulary.load(model)
     shared = docs.sparkSession.sparkContext.broadcast(v)
@@ -340,18 +341,6 @@ def encode_checked(docs: DataFrame, model: str | Vocabulary, text: str = "text",
     return coded.select(*kept, F.col("_coded.ids").alias(out), F.col("_coded.same").alias(check))
 
 
-def _runs(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def decode(coded: DataFrame, model: str | Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """coded with the text of every array of ids (null for null); control pieces have no text, bytes that make no
     UTF-8 become U+FFFD."""
