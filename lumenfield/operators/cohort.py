@@ -12,11 +12,10 @@ MANE = ["NM_900001.4", "ENST00000900001.2"]
 
 def normalized(records: DataFrame) -> DataFrame:
     """Records with their parsed name and change; ids that repeat get -2, -3 and so on in order of arrival."""
-    parts = v.computed(records, v.name_parts(F.col("name")), "transcript", "gene_symbol", "hgvs_c", "hgvs_p")
-    parts = v.computed(parts, v.protein_change(F.col("hgvs_p")), "ref_aa", "position", "alt_aa", "is_missense", "reason")
-    again = F.row_number().over(Window.partitionBy("variation_id").orderBy("k"))
+    parts = v.with_protein_change(v.with_name_parts(records, "name"), "hgvs_p")
+    again = F.row_number().over(Window.partitionBy("gene", "variation_id").orderBy("k"))
     ids = F.when(again == 1, F.col("variation_id")).otherwise(F.concat_ws("-", "variation_id", again.cast("string")))
-    return parts.select("k", ids.alias("record_id"), "name", "clinical_significance", "review_status", "transcript", "hgvs_c", "hgvs_p", "ref_aa", "position", "alt_aa", "is_missense", "reason")
+    return parts.select("gene", "k", ids.alias("record_id"), "name", "clinical_significance", "review_status", "transcript", "hgvs_c", "hgvs_p", "ref_aa", "position", "alt_aa", "is_missense", "reason")
 
 
 def _first_reason(*found: tuple[Column, Column]) -> Column:
@@ -26,17 +25,26 @@ def _first_reason(*found: tuple[Column, Column]) -> Column:
     return F.array_min(F.array(*each))
 
 
+def judged(records: DataFrame, policy: str = "whole_field") -> DataFrame:
+    """records with significance_class, exact_match, modifiers and sig_reason; each distinct field is judged once."""
+    fields = records.select(F.col("clinical_significance").alias("_field")).distinct()
+    fields = v.computed(fields, v.significance(F.col("_field"), policy), "significance_class", "exact_match", "modifiers", "sig_reason")
+    return records.join(fields, F.col("clinical_significance").eqNullSafe(F.col("_field")), "left").drop("_field")
+
+
 def evaluated(records: DataFrame, u: DataFrame, policy: str = "whole_field", mane: list[str] = MANE) -> DataFrame:
     """Every record with its judgement: class, residue, eligibility and one reason.
 
     A record must be a missense change, agree with the sequence in position and amino acid, and be P/LP or B/LB; a record on
-    another transcript that agrees is remapped. Review stars decide nothing.
+    another transcript that agrees is remapped. Review stars decide nothing. Fields of few distinct values are judged once
+    for each value.
     """
-    sequence = u.select(F.col("residue_index").alias("position"), F.col("aa").alias("aa_ref"))
-    length = u.agg(F.max("residue_index").alias("length"))
-    r = v.computed(normalized(records), v.significance(F.col("clinical_significance"), policy), "significance_class", "exact_match", "modifiers", "sig_reason")
-    # one row for each residue of the gene, and one row: both sides are bounded by the length of a protein
-    r = r.join(sequence, "position", "left").crossJoin(F.broadcast(length))
+    sequence = u.select("gene", F.col("residue_index").alias("position"), F.col("aa").alias("aa_ref"))
+    length = u.groupBy("gene").agg(F.max("residue_index").alias("length"))
+    r = judged(normalized(records), policy)
+    stars = records.select(F.col("review_status").alias("_status")).distinct().select("_status", v.star_level(F.col("_status")).alias("star_level"))
+    r = r.join(stars, F.col("review_status").eqNullSafe(F.col("_status")), "left").drop("_status")
+    r = r.join(sequence, ["gene", "position"], "left").join(length, "gene", "left")
     on_mane = v.transcript_matches(F.col("transcript"), mane)
     same = F.col("aa_ref") == F.col("ref_aa")
     mismatch = F.when(F.col("is_missense") & F.col("aa_ref").isNull(), "ref_aa_mismatch").when(F.col("is_missense") & ~same, F.when(on_mane, "ref_aa_mismatch").otherwise("non_canonical_transcript"))
@@ -50,7 +58,7 @@ def evaluated(records: DataFrame, u: DataFrame, policy: str = "whole_field", man
     )
     none = F.struct(F.lit(len(v.REASONS)).alias("rank"), F.lit(None).cast("string").alias("reason"), F.lit("NA").alias("detail"))
     return v.computed(r, F.coalesce(why, none), "rank", "exclusion_reason", "exclusion_detail").select(
-        "record_id", "clinical_significance", "review_status", v.star_level(F.col("review_status")).alias("star_level"), "transcript", "hgvs_p", "ref_aa", "alt_aa", "aa_ref",
+        "gene", "record_id", "clinical_significance", "review_status", "star_level", "transcript", "hgvs_p", "ref_aa", "alt_aa", "aa_ref",
         F.when(F.col("is_missense"), F.col("position")).alias("residue_index"), "significance_class", "exact_match", on_mane.alias("on_mane"),
         (F.col("is_missense") & F.coalesce(same, F.lit(False)) & ~on_mane).alias("remapped"),
         F.col("exclusion_reason").isNull().alias("eligible"), "exclusion_reason", "exclusion_detail",
@@ -59,7 +67,7 @@ def evaluated(records: DataFrame, u: DataFrame, policy: str = "whole_field", man
 
 def collapsed(evals: DataFrame) -> DataFrame:
     """A row per residue with eligible records; a residue with both classes is a conflict and not eligible."""
-    g = evals.where("eligible").groupBy("residue_index", F.col("aa_ref")).agg(
+    g = evals.where("eligible").groupBy("gene", "residue_index", F.col("aa_ref")).agg(
         F.count_if(F.col("significance_class") == "PLP").alias("n_records_plp"),
         F.count_if(F.col("significance_class") == "BLB").alias("n_records_blb"),
         F.array_sort(F.collect_list("record_id")).alias("record_ids"),
@@ -71,9 +79,9 @@ def collapsed(evals: DataFrame) -> DataFrame:
 
 def with_conflicts(evals: DataFrame, residues: DataFrame) -> DataFrame:
     """The judgements after collapse: records of a conflicting residue are excluded for that reason."""
-    bad = residues.where(~F.col("eligible_primary")).select("residue_index", F.lit(True).alias("_bad"))
+    bad = residues.where(~F.col("eligible_primary")).select("gene", "residue_index", F.lit(True).alias("_bad"))
     hit = F.col("eligible") & F.coalesce("_bad", F.lit(False))
-    out = evals.join(bad, "residue_index", "left").withColumn("_hit", hit)
+    out = evals.join(bad, ["gene", "residue_index"], "left").withColumn("_hit", hit)
     return (
         out.withColumn("exclusion_reason", F.when(F.col("_hit"), "residue_class_conflict").otherwise(F.col("exclusion_reason")))
         .withColumn("exclusion_detail", F.when(F.col("_hit"), F.concat(F.lit("residue_index="), F.col("residue_index").cast("string"))).otherwise(F.col("exclusion_detail")))
@@ -84,35 +92,37 @@ def with_conflicts(evals: DataFrame, residues: DataFrame) -> DataFrame:
 
 def star_cube(evals: DataFrame) -> DataFrame:
     """Counts by review status and level, and by class and stratum with ALL margins."""
-    e = evals.select(F.col("review_status"), "star_level", F.col("significance_class").alias("class"), F.when(F.col("eligible"), "eligible").otherwise("excluded").alias("stratum"))
-    cube = e.groupingSets([["review_status", "star_level"], ["review_status", "star_level", "class"], ["review_status", "star_level", "stratum"], ["review_status", "star_level", "class", "stratum"]], "review_status", "star_level", "class", "stratum")
+    e = evals.select("gene", F.col("review_status"), "star_level", F.col("significance_class").alias("class"), F.when(F.col("eligible"), "eligible").otherwise("excluded").alias("stratum"))
+    base = ["gene", "review_status", "star_level"]
+    cube = e.groupingSets([[*base, *more] for more in ([], ["class"], ["stratum"], ["class", "stratum"])], *base, "class", "stratum")
     out = cube.agg(F.count(F.lit(1)).alias("n_records"), F.grouping("class").alias("gc"), F.grouping("stratum").alias("gs"))
-    return out.select("review_status", "star_level", F.when(F.col("gc") == 1, "ALL").otherwise(F.col("class")).alias("class"), F.when(F.col("gs") == 1, "ALL").otherwise(F.col("stratum")).alias("stratum"), "n_records")
+    return out.select(*base, F.when(F.col("gc") == 1, "ALL").otherwise(F.col("class")).alias("class"), F.when(F.col("gs") == 1, "ALL").otherwise(F.col("stratum")).alias("stratum"), "n_records")
 
 
 def conservation(evals: DataFrame) -> DataFrame:
     """One row: all records are either eligible or excluded, never both, and every exclusion has a reason."""
-    ids = evals.groupBy("record_id").agg(F.max("eligible").alias("e"), F.max(~F.col("eligible")).alias("x"), F.max(~F.col("eligible") & F.col("exclusion_reason").isNull()).alias("bare"))
-    out = ids.agg(F.count(F.lit(1)).alias("n_all"), F.count_if("e").alias("n_eligible"), F.count_if("x").alias("n_excluded"), F.count_if(F.col("e") & F.col("x")).alias("n_both"), F.count_if("bare").alias("n_reasonless"))
+    ids = evals.groupBy("gene", "record_id").agg(F.max("eligible").alias("e"), F.max(~F.col("eligible")).alias("x"), F.max(~F.col("eligible") & F.col("exclusion_reason").isNull()).alias("bare"))
+    out = ids.groupBy("gene").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("e").alias("n_eligible"), F.count_if("x").alias("n_excluded"), F.count_if(F.col("e") & F.col("x")).alias("n_both"), F.count_if("bare").alias("n_reasonless"))
     return out.withColumn("conserved", (F.col("n_both") == 0) & (F.col("n_reasonless") == 0) & (F.col("n_eligible") + F.col("n_excluded") == F.col("n_all")))
 
 
 def counts(residues: DataFrame) -> DataFrame:
     ok = F.col("eligible_primary")
-    return residues.agg(F.count_if(ok).alias("n"), F.count_if(ok & (F.col("class") == "PLP")).alias("n_plp"), F.count_if(ok & (F.col("class") == "BLB")).alias("n_blb"), F.count_if(F.col("class") == "CONFLICT").alias("n_conflict"), F.count(F.lit(1)).alias("n_residues"))
+    return residues.groupBy("gene").agg(F.count_if(ok).alias("n"), F.count_if(ok & (F.col("class") == "PLP")).alias("n_plp"), F.count_if(ok & (F.col("class") == "BLB")).alias("n_blb"), F.count_if(F.col("class") == "CONFLICT").alias("n_conflict"), F.count(F.lit(1)).alias("n_residues"))
 
 
 def assert_viable(residues: DataFrame) -> None:
-    """Both classes present and two residues at least."""
-    c = counts(residues).first()
-    if not (c.n_plp and c.n_blb and c.n >= 2):
-        raise ValueError(f"no viable cohort: {c.asDict()}")
+    """Both classes present and two residues at least, in every gene."""
+    bad = counts(residues).where("n_plp = 0 or n_blb = 0 or n < 2").first()
+    if bad or residues.isEmpty():
+        raise ValueError(f"no viable cohort: {bad and bad.asDict()}")
 
 
 def policy_cost(records: DataFrame) -> DataFrame:
     """How many records each pair of readings (whole field, component-wise) concerns."""
-    both = records.select(v.significance(F.col("clinical_significance"), "whole_field")["class"].alias("whole_field"), v.significance(F.col("clinical_significance"), "component_wise")["class"].alias("component_wise"))
-    return both.groupBy("whole_field", "component_wise").agg(F.count(F.lit(1)).alias("n_records"))
+    n = records.groupBy("gene", "clinical_significance").agg(F.count(F.lit(1)).alias("n"))
+    kind = lambda policy: v.significance(F.col("clinical_significance"), policy)["class"].alias(policy)
+    return n.select("gene", "n", kind("whole_field"), kind("component_wise")).groupBy("gene", "whole_field", "component_wise").agg(F.sum("n").alias("n_records"))
 
 
 def runs(df: DataFrame, flag: Column, order: str = "residue_index", by: list[str] | None = None) -> DataFrame:

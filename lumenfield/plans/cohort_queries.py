@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import variants as v
@@ -10,25 +10,25 @@ from ..operators import cohort as co
 from ..queries import query
 from ..sources import adapter as ad
 
-_NAME, _CHANGE = v.NAME.replace("'", "''"), v.CHANGE.replace("'", "''")
 _NS = ", ".join(f"'{t}'" for t in v.NON_SUBSTITUTION)
 _AA = "MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in [*v.AA3.items(), *((x, x) for x in v.AA3.values())]) + "}"
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _SQUEEZE = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))"
 
 PARSED = f"""{ad.RECORDS_CTE},
-p0 AS (SELECT *, trim(name) AS t FROM records),
-p1 AS (SELECT *, regexp_matches(t, '{_NAME}') AS whole FROM p0),
-p2 AS (SELECT *,
-  nullif(CASE WHEN whole THEN regexp_extract(t, '{_NAME}', 1) ELSE regexp_extract(t, '^\\s*({v.TRANSCRIPT})', 1) END, '') AS transcript,
-  CASE WHEN whole THEN nullif(regexp_extract(t, '{_NAME}', 3), '') END AS hgvs_c,
-  nullif(CASE WHEN whole THEN regexp_extract(t, '{_NAME}', 4) ELSE regexp_extract(t, '\\((p\\.[^()]+)\\)', 1) END, '') AS hgvs_p FROM p1),
-p3 AS (SELECT *, coalesce(hgvs_p, '') AS h, lower(substr(coalesce(hgvs_p, ''), 3)) AS body, regexp_extract(coalesce(hgvs_p, ''), '{_CHANGE}', 1) AS r3, TRY_CAST(regexp_extract(coalesce(hgvs_p, ''), '{_CHANGE}', 2) AS INTEGER) AS pos0, regexp_extract(coalesce(hgvs_p, ''), '{_CHANGE}', 3) AS a3 FROM p2),
-p4 AS (SELECT *, {_AA}[upper(r3)] AS ra, {_AA}[upper(a3)] AS aa, list_filter([{_NS}], lambda x: contains(body, x))[1] AS ns, regexp_matches(h, '{_CHANGE}') AS ok FROM p3),
+p0 AS (SELECT *, trim(name) AS t, strpos(trim(name), '(p.') AS cut_at FROM records),
+p1 AS (SELECT *, trim(CASE WHEN cut_at > 0 THEN substr(t, 1, cut_at - 1) ELSE t END) AS front, substr(t, cut_at + 1) AS back FROM p0),
+p2 AS (SELECT *, CASE WHEN starts_with(front, 'NM_') THEN split_part(split_part(front, ':', 1), '(', 1) END AS transcript,
+  CASE WHEN starts_with(front, 'NM_') THEN nullif(substr(front, length(split_part(front, ':', 1)) + 2), '') END AS hgvs_c,
+  CASE WHEN cut_at > 0 THEN CASE WHEN back LIKE '%)' THEN substr(back, 1, length(back) - 1) ELSE split_part(back, ')', 1) END END AS hgvs_p FROM p1),
+p3 AS (SELECT *, coalesce(hgvs_p, '') AS h, lower(substr(coalesce(hgvs_p, ''), 3)) AS body, trim(substr(coalesce(hgvs_p, ''), 3), '()') AS bare FROM p2),
+p31 AS (SELECT *, regexp_split_to_array(bare, '[0-9]+') AS cut, TRY_CAST(regexp_extract(bare, '[0-9]+') AS INTEGER) AS pos0 FROM p3),
+p32 AS (SELECT *, coalesce(cut[1], '') AS r3, coalesce(cut[2], '') AS a3, len(cut) = 2 AND length(cut[1]) IN (1, 3) AND length(cut[2]) IN (1, 3) AS ok FROM p31),
+p4 AS (SELECT *, {_AA}[upper(r3)] AS ra, {_AA}[upper(a3)] AS aa, list_filter([{_NS}], lambda x: contains(body, x))[1] AS ns FROM p32),
 p5 AS (SELECT *, CASE WHEN h = '' THEN 'empty_protein_hgvs' WHEN NOT starts_with(h, 'p.') THEN 'not_protein_level_hgvs' WHEN ns IS NOT NULL THEN 'not_a_substitution:' || ns WHEN NOT ok THEN 'hgvs_p_pattern_unmatched'
   WHEN upper(r3) IN ('TER', '*', 'TRM') THEN 'reference_is_termination' WHEN ra IS NULL THEN 'non_standard_reference_aa:' || r3 WHEN a3 = '=' THEN 'synonymous' WHEN upper(a3) IN ('TER', '*', 'TRM') THEN 'nonsense'
   WHEN aa IS NULL THEN 'non_standard_alternate_aa:' || a3 WHEN aa = ra THEN 'synonymous' WHEN pos0 < 1 THEN 'non_positive_position' END AS reason FROM p4),
-parsed AS (SELECT k, variation_id AS record_id, name, clinical_significance, review_status, transcript, hgvs_c, hgvs_p, reason IS NULL AS is_missense, reason,
+parsed AS (SELECT k, concat(variation_id, CASE WHEN row_number() OVER (PARTITION BY variation_id ORDER BY k) > 1 THEN concat('-', row_number() OVER (PARTITION BY variation_id ORDER BY k)) ELSE '' END) AS record_id, name, clinical_significance, review_status, transcript, hgvs_c, hgvs_p, reason IS NULL AS is_missense, reason,
   CASE WHEN ns IS NULL AND ok THEN pos0 END AS position, CASE WHEN ns IS NULL AND ok THEN ra END AS ref_aa, CASE WHEN ns IS NULL AND ok AND ra IS NOT NULL THEN CASE WHEN a3 = '=' THEN ra ELSE aa END END AS alt_aa FROM p5)"""
 
 
@@ -69,19 +69,19 @@ def _evals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return co.with_conflicts(evals, residues), residues
 
 
-@query(f"WITH {ad.UNIVERSE_SQL} SELECT gene, residue_index, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, plddt, is_center, aa FROM universe")
+@query(f"WITH {ad.UNIVERSE_SQL} SELECT residue_index, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, plddt, is_center, aa FROM universe")
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.universe(spark, sf_dir).select("gene", "residue_index", *(F.round(c, 6).alias(c) for c in "xyz"), "plddt", "is_center", "aa")
 
 
 @query(f"WITH {ad.COHORT_SQL} SELECT residue_index, class, plddt FROM cohort")
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ad.cohort(ad.universe(spark, sf_dir)).select("residue_index", "class", "plddt")
+    return ad.cohort(ad.universe(spark, sf_dir)).select("gene", "residue_index", "class", "plddt")
 
 
 @query(f"WITH {PARSED} SELECT record_id, transcript, hgvs_c, hgvs_p, ref_aa, position, alt_aa, is_missense, reason FROM parsed")
 def hgvs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.normalized(ad.raw_records(spark, sf_dir)).select("record_id", "transcript", "hgvs_c", "hgvs_p", "ref_aa", "position", "alt_aa", "is_missense", "reason")
+    return co.normalized(ad.raw_records(spark, sf_dir)).select("gene", "record_id", "transcript", "hgvs_c", "hgvs_p", "ref_aa", "position", "alt_aa", "is_missense", "reason")
 
 
 def _sig_query(policy: str) -> str:
@@ -89,8 +89,8 @@ def _sig_query(policy: str) -> str:
 
 
 def _sig(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
-    s = v.significance(F.col("clinical_significance"), policy)
-    return ad.raw_records(spark, sf_dir).withColumn("s", s).select(F.col("variation_id").alias("record_id"), F.col("s.class").alias("significance_class"), F.col("s.exact_match").alias("exact_match"), F.array_join("s.modifiers", ";").alias("modifiers"))
+    s = co.judged(co.normalized(ad.raw_records(spark, sf_dir)), policy)
+    return s.select("gene", "record_id", "significance_class", "exact_match", F.array_join("modifiers", ";").alias("modifiers"))
 
 
 @query(_sig_query("whole_field"))
@@ -110,22 +110,22 @@ def policy_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVALS} SELECT record_id, star_level, residue_index, significance_class, on_mane, remapped, eligible, exclusion_reason, exclusion_detail FROM evals2")
 def record_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evals(spark, sf_dir)[0].select("record_id", "star_level", "residue_index", "significance_class", "on_mane", "remapped", "eligible", "exclusion_reason", "exclusion_detail")
+    return _evals(spark, sf_dir)[0].select("gene", "record_id", "star_level", "residue_index", "significance_class", "on_mane", "remapped", "eligible", "exclusion_reason", "exclusion_detail")
 
 
 @query(f"WITH {EVALS} SELECT exclusion_reason, count(*) AS n_records FROM evals2 WHERE NOT eligible GROUP BY ALL")
 def eligibility_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evals(spark, sf_dir)[0].where("not eligible").groupBy("exclusion_reason").agg(F.count(F.lit(1)).alias("n_records"))
+    return _evals(spark, sf_dir)[0].where("not eligible").groupBy("gene", "exclusion_reason").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 @query(f"WITH {EVALS} SELECT residue_index, aa_ref, class, n_records_plp, n_records_blb, array_to_string(record_ids, ';') AS record_ids, max_star, class <> 'CONFLICT' AS eligible_primary FROM residues2")
 def residue_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evals(spark, sf_dir)[1].select("residue_index", "aa_ref", "class", "n_records_plp", "n_records_blb", F.array_join("record_ids", ";").alias("record_ids"), "max_star", "eligible_primary")
+    return _evals(spark, sf_dir)[1].select("gene", "residue_index", "aa_ref", "class", "n_records_plp", "n_records_blb", F.array_join("record_ids", ";").alias("record_ids"), "max_star", "eligible_primary")
 
 
 @query(f"WITH {EVALS} SELECT residue_index, n_records_plp, n_records_blb FROM residues2 WHERE class = 'CONFLICT'")
 def residue_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evals(spark, sf_dir)[1].where("class = 'CONFLICT'").select("residue_index", "n_records_plp", "n_records_blb")
+    return _evals(spark, sf_dir)[1].where("class = 'CONFLICT'").select("gene", "residue_index", "n_records_plp", "n_records_blb")
 
 
 @query(f"WITH {EVALS} SELECT count(*) FILTER (class <> 'CONFLICT') AS n, count(*) FILTER (class = 'PLP') AS n_plp, count(*) FILTER (class = 'BLB') AS n_blb, count(*) FILTER (class = 'CONFLICT') AS n_conflict, count(*) AS n_residues FROM residues2")
@@ -142,7 +142,7 @@ def star_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVALS} SELECT star_level, count(*) AS n_records FROM evals2 GROUP BY ALL")
 def star_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evals(spark, sf_dir)[0].groupBy("star_level").agg(F.count(F.lit(1)).alias("n_records"))
+    return _evals(spark, sf_dir)[0].groupBy("gene", "star_level").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 @query(f"WITH {EVALS} SELECT count(*) AS n_all, count(*) FILTER (eligible) AS n_eligible, count(*) FILTER (NOT eligible) AS n_excluded, 0::BIGINT AS n_both, 0::BIGINT AS n_reasonless, count(*) FILTER (NOT eligible AND exclusion_reason IS NULL) = 0 AS conserved FROM evals2")
@@ -153,12 +153,12 @@ def conservation_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ad.UNIVERSE_SQL}, b AS (SELECT CASE WHEN plddt < 50 THEN 'very_low' WHEN plddt < 70 THEN 'low' WHEN plddt < 90 THEN 'confident' ELSE 'very_high' END AS band, plddt FROM universe) SELECT band, count(*) AS n, round(count(*) / (SELECT count(*) FROM universe), 6) AS fraction, round(avg(plddt), 6) AS mean, round(quantile_cont(plddt, 0.5), 6) AS median, min(plddt) AS lowest, max(plddt) AS highest FROM b GROUP BY band")
 def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ad.universe(spark, sf_dir).withColumn("band", co.band(F.col("plddt"), [50, 70, 90], ["very_low", "low", "confident", "very_high"]))
-    total = u.agg(F.count(F.lit(1)).alias("total"))
-    g = u.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("plddt"), 6).alias("mean"), F.round(F.percentile("plddt", 0.5), 6).alias("median"), F.min("plddt").alias("lowest"), F.max("plddt").alias("highest"))
-    return g.crossJoin(F.broadcast(total)).select("band", "n", F.round(F.col("n") / F.col("total"), 6).alias("fraction"), "mean", "median", "lowest", "highest")
+    g = u.groupBy("gene", "band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("plddt"), 6).alias("mean"), F.round(F.percentile("plddt", 0.5), 6).alias("median"), F.min("plddt").alias("lowest"), F.max("plddt").alias("highest"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("gene"))
+    return g.select("gene", "band", "n", F.round(share, 6).alias("fraction"), "mean", "median", "lowest", "highest")
 
 
 @query(f"WITH {ad.UNIVERSE_SQL}, o AS (SELECT t, residue_index, residue_index - row_number() OVER (PARTITION BY t ORDER BY residue_index) AS g FROM universe, (SELECT unnest([50, 70]) AS t) WHERE plddt < t) SELECT t AS threshold, min(residue_index) AS start, max(residue_index) AS stop, count(*) AS length FROM o GROUP BY t, g")
 def low_confidence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ad.universe(spark, sf_dir).withColumn("threshold", F.explode(F.array(F.lit(50), F.lit(70))))
-    return co.runs(u, F.col("plddt") < F.col("threshold"), by=["threshold"])
+    return co.runs(u, F.col("plddt") < F.col("threshold"), by=["gene", "threshold"])

@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positional universe: gene, residue_index, x, y, z, plddt, is_center (confidence of 50 or more), aa, label."""
-    e = table(spark, sf_dir, "embeddings").withColumn("gene", F.lit("G1"))
+    """Positional universe: gene (of two), residue_index, x, y, z, plddt, is_center (confidence of 50 or more), aa, label."""
+    e = table(spark, sf_dir, "embeddings").withColumn("gene", F.concat(F.lit("G"), (F.col("vec_id") % 2 + 1).cast("string")))
     at = F.row_number().over(Window.partitionBy("gene").orderBy("vec_id"))
     axis = lambda i: (F.col("embedding")[i].cast("double") * 100).alias("xyz"[i])
     u = e.select("gene", at.alias("residue_index"), *(axis(i) for i in range(3)), "label")
@@ -27,8 +27,10 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.withColumn("plddt", ((F.col("residue_index") * 37) % 101).cast("double")).withColumn("is_center", F.col("plddt") >= 50).withColumn("aa", aa)
 
 
+#: Oracles are written for one gene, @GENE@, and run for each (queries.per_gene).
+GENES = ["G1", "G2"]
 UNIVERSE_SQL = """u0 AS (
-  SELECT 'G1' AS gene, row_number() OVER (ORDER BY vec_id)::INTEGER AS residue_index, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z, label FROM embeddings),
+  SELECT row_number() OVER (ORDER BY vec_id)::INTEGER AS residue_index, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z, label FROM embeddings WHERE concat('G', vec_id % 2 + 1) = '@GENE@'),
 universe AS (SELECT *, ((residue_index * 37) % 101)::DOUBLE AS plddt, ((residue_index * 37) % 101) >= 50 AS is_center, substr('ACDEFGHIKLMNPQRSTVWY', ((residue_index * 7) % 20 + 1)::INTEGER, 1) AS aa FROM u0)"""
 
 
@@ -61,7 +63,7 @@ cohort AS (SELECT * FROM c2 WHERE class IS NOT NULL)"""
 
 #: Raw records by rule from integer keys; the text is valid in Spark SQL and in DuckDB.
 RECORDS_SQL = """
-SELECT k, concat('CV', CAST(k AS STRING)) AS variation_id,
+SELECT k, CASE WHEN k % 3 = 0 THEN 'G2' ELSE 'G1' END AS gene, concat('CV', CAST(CASE WHEN k % 53 = 0 THEN k - 1 ELSE k END AS STRING)) AS variation_id,
   concat(CASE WHEN k % 29 = 0 THEN '' ELSE concat(CASE WHEN k % 7 = 0 THEN 'NM_900002.1' ELSE 'NM_900001.4' END, '(SYNGENE):c.', CAST(k % 900 + 1 AS STRING), 'A>T ') END,
     CASE WHEN k % 31 = 0 THEN '' ELSE concat('(p.', ref3, CAST(pos AS STRING),
       CASE WHEN k % 17 = 0 THEN 'fs' WHEN k % 19 = 0 THEN 'Ter' WHEN k % 23 = 0 THEN '=' WHEN k % 37 = 0 THEN 'delinsAla' WHEN k % 41 = 0 THEN 'Xaa' ELSE alt3 END, ')') END) AS name,
@@ -72,13 +74,13 @@ SELECT k, concat('CV', CAST(k AS STRING)) AS variation_id,
 FROM (SELECT k, pos,
   CASE WHEN (pos * 7 + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END) % 20 = 0 THEN 'Ala' ELSE split_part('Ala,Cys,Asp,Glu,Phe,Gly,His,Ile,Lys,Leu,Met,Asn,Pro,Gln,Arg,Ser,Thr,Val,Trp,Tyr', ',', CAST((pos * 7 + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END) % 20 + 1 AS INT)) END AS ref3,
   split_part('Ala,Cys,Asp,Glu,Phe,Gly,His,Ile,Lys,Leu,Met,Asn,Pro,Gln,Arg,Ser,Thr,Val,Trp,Tyr', ',', CAST((pos * 7 + 3 + k % 5) % 20 + 1 AS INT)) AS alt3
-  FROM (SELECT o_orderkey AS k, CAST((o_orderkey * 13) % 505 + 1 AS INT) AS pos FROM {orders}))
+  FROM (SELECT o_orderkey AS k, CAST((o_orderkey * 13) % 263 + 1 AS INT) AS pos FROM {orders}))
 """
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as a weekly release has them: variation_id, name, clinical_significance and review_status, all text."""
+    """Records as a weekly release has them: variation_id, name, clinical_significance and review_status, all text; some ids repeat."""
     return spark.sql(RECORDS_SQL, orders=table(spark, sf_dir, "orders"))
 
 
-RECORDS_CTE = "records AS (" + RECORDS_SQL.replace("{orders}", "orders").replace("AS STRING", "AS VARCHAR") + ")"
+RECORDS_CTE = "records AS (SELECT * FROM (" + RECORDS_SQL.replace("{orders}", "orders").replace("AS STRING", "AS VARCHAR") + ") WHERE gene = '@GENE@')"

@@ -37,8 +37,17 @@ def test_protein_changes(spark):
         "c.1A>T": (None, None, None, "not_protein_level_hgvs"), "": (None, None, None, "empty_protein_hgvs"), None: (None, None, None, "empty_protein_hgvs"),
     }
     cases["p.Val600="] = ("V", 600, "V", "synonymous")
-    df = v.computed(spark.createDataFrame([(c,) for c in cases], "h string"), v.protein_change(F.col("h")), "r", "p", "a", "m", "why")
-    assert {r.h: (r.r, r.p, r.a, r.why) for r in df.collect()} == cases
+    df = v.with_protein_change(spark.createDataFrame([(c,) for c in cases], "h string"), "h")
+    assert {r.h: (r.ref_aa, r.position, r.alt_aa, r.reason) for r in df.collect()} == cases
+
+
+def test_names(spark):
+    cases = {
+        "NM_1.4(GENE):c.388A>T (p.Val130Glu)": ("NM_1.4", "GENE", "c.388A>T", "p.Val130Glu"), "NM_1(G):c.1A>T": ("NM_1", "G", "c.1A>T", None), " NM_12.3:c.5del (p.(Val1del)) ": ("NM_12.3", None, "c.5del", "p.(Val1del)"),
+        "(p.Ala5Gly)": (None, None, None, "p.Ala5Gly"), "some text (p.Ala5Gly) more": (None, None, None, "p.Ala5Gly"), "NM_x.1(G):c.1A>T": (None, None, None, None), "": (None, None, None, None), None: (None, None, None, None),
+    }
+    df = v.with_name_parts(spark.createDataFrame([(c,) for c in cases], "name string"), "name")
+    assert {r.name: (r.transcript, r.gene_symbol, r.hgvs_c, r.hgvs_p) for r in df.collect()} == cases
 
 
 def test_benjamini_hochberg_ties(spark):
@@ -53,7 +62,7 @@ def test_benjamini_hochberg_ties(spark):
 
 def test_hypergeometric_tail(spark):
     cases = [(k, 30, 8, n) for k in range(0, 9) for n in (1, 5, 12, 30)]
-    df = spark.createDataFrame(cases, "k int, m int, g int, n int").crossJoin(st.ln_factorials(spark, 30))
+    df = spark.createDataFrame(cases, "k int, m int, g int, n int").crossJoin(st.ln_factorials(spark.createDataFrame([('G', 30)], 'gene string, m_all int')))
     for r in df.withColumn("p", st.hypergeometric_tail(F.col("k"), F.col("m"), F.col("g"), F.col("n"))).collect():
         want = sum(math.comb(8, i) * math.comb(22, r.n - i) for i in range(r.k, 9) if 0 <= r.n - i <= 22) / math.comb(30, r.n)
         assert abs(r.p - want) < 1e-9
