@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mixed, partitions_for, stored, text_runs, with_arrow
+from .common import mixed, partitions_for, stored, text_runs, trim, with_arrow
 from .components import connected, with_least
 
 WIDTH = 5
@@ -42,6 +42,8 @@ CHUNK = 1_000_000
 OFTEN, FEW = 2e-5, 500
 #: Buckets that a chunk is dealt to at once; beyond, it is dealt to groups of buckets first.
 FAN = 8192
+#: Characters of text whose shingles are made at once (a longer text is taken whole).
+SLICE = 1_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -97,7 +99,7 @@ def document_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
         held, size = [], 0
         for b in batches:
             at = 0
-            for texts in text_runs(b.column(1).to_pylist()):
+            for texts in text_runs(b.column(1).to_pylist(), SLICE):
                 sets = shingle_sets(texts)
                 n, cls = pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)).cast(arrow[0].type), n, cls, pa.nulls(len(texts), pa.int64())], schema=arrow)
@@ -107,8 +109,11 @@ def document_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
                 if size >= CHUNK:
                     yield from frequent(held)
                     held, size = [], 0
+                    trim()
         if held:
             yield from frequent(held)
+        held = []
+        trim()
 
     out = f"`{key}` {kind}, n_shingles long, cls long, often long"
     arrow = to_arrow_schema(docs.select(key).withColumns({"n_shingles": F.lit(0).cast("long"), "cls": F.lit(0).cast("long"), "often": F.lit(0).cast("long")}).schema)
@@ -151,7 +156,7 @@ def _packed(docs: DataFrame, text: str, parts: int, hot: np.ndarray) -> DataFram
         held: dict[int, np.ndarray] = {}
         size = 0
         for b in batches:
-            for texts in text_runs(b.column(0).to_pylist()):
+            for texts in text_runs(b.column(0).to_pylist(), SLICE):
                 for s in shingle_sets(texts):
                     if len(s) and (c := class_of(s)) not in held:
                         held[c] = s
@@ -159,8 +164,11 @@ def _packed(docs: DataFrame, text: str, parts: int, hot: np.ndarray) -> DataFram
                 if size >= CHUNK:
                     yield from emit(held)
                     held, size = {}, 0
+                    trim()
         if held:
             yield from emit(held)
+        held = {}
+        trim()
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of few buckets, put together: as run() does, but from packed rows of a group of buckets."""
@@ -187,6 +195,22 @@ def _packed(docs: DataFrame, text: str, parts: int, hot: np.ndarray) -> DataFram
     return packed
 
 
+def _trimmed(f: Callable[..., pa.Table], cogrouped: bool = False) -> Callable[..., pa.Table]:
+    """f, giving freed memory back after each call: workers that have done a large group are kept for other tasks."""
+
+    def one(t: pa.Table) -> pa.Table:
+        out = f(t)
+        trim()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        trim()
+        return out
+
+    return two if cogrouped else one
+
+
 def _shared(parts: int) -> Callable[[pa.Table], pa.Table]:
     """Of a bucket: shingles that two classes or more hold, with their frequency, packed by the bucket of the class."""
 
@@ -309,16 +333,16 @@ def _pairs(t: pa.Table) -> pa.Table:
 
 
 def _tile_links(tiles: DataFrame, *by: str) -> DataFrame:
-    return tiles.groupBy("grp", "band", *by).applyInArrow(_pairs, "a long, b long")
+    return tiles.groupBy("grp", "band", *by).applyInArrow(_trimmed(_pairs), "a long, b long")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
     """(a, b): links between classes that span every component of linked classes."""
     parts = partitions_for(docs, BUCKET_BYTES)
-    shared = _packed(docs, text, parts, hot_shingles(classes)).groupBy("bucket").applyInArrow(_shared(parts), "home int, classes binary, tokens binary, df binary")
+    shared = _packed(docs, text, parts, hot_shingles(classes)).groupBy("bucket").applyInArrow(_trimmed(_shared(parts)), "home int, classes binary, tokens binary, df binary")
     home = F.shiftrightunsigned(F.shiftrightunsigned(F.col("hcls").bitwiseXOR(F.lit(-(1 << 63))), 32) * parts, 32).cast("int")
     heads = classes.where("cls is not null and often is null").groupBy(F.col("cls").alias("hcls")).agg(F.first("n_shingles").alias("n")).withColumn("hhome", home)
-    kept = stored(heads.groupBy("hhome").cogroup(shared.groupBy("home")).applyInArrow(_survivors, "cls long, n long, prefix array<long>, tokens binary"), "survivors")
+    kept = stored(heads.groupBy("hhome").cogroup(shared.groupBy("home")).applyInArrow(_trimmed(_survivors, cogrouped=True), "cls long, n long, prefix array<long>, tokens binary"), "survivors")
 
     rare = kept.select("cls", F.explode("prefix").alias("token"))
     hubs = rare.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top").select("token", "hub")
