@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,11 +61,11 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", order: str = "residue_index"
     return r.withColumn("q_by", F.least(F.lit(1.0), F.col("q_bh") * harmonic)).withColumn("significant", F.coalesce(F.col(p) <= edge, F.lit(False)))
 
 
-def ln_factorials(spark: SparkSession, n: int) -> DataFrame:
-    """One row: the array of ln(i!) for i from 0 to n (at most the size of one gene's universe)."""
-    if n > 1_000_000:
-        raise ValueError("a universe of over a million positions is not one gene's")
-    return spark.createDataFrame([([math.lgamma(i + 1) for i in range(n + 1)],)], "lf array<double>")
+def ln_factorials(sizes: DataFrame) -> DataFrame:
+    """(gene, lf): the array of ln(i!) for i from 0 to m_all, of each gene in (gene, m_all)."""
+    each = sizes.select("gene", F.explode(F.sequence(F.lit(0), F.col("m_all").cast("int"))).alias("i"))
+    total = F.sum(F.log(F.greatest(F.col("i"), F.lit(1)).cast("double"))).over(Window.partitionBy("gene").orderBy("i"))
+    return each.select("gene", F.struct("i", total.alias("lf")).alias("e")).groupBy("gene").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["lf"]).alias("lf"))
 
 
 def hypergeometric_tail(k: Column, m_all: Column, m_good: Column, n: Column) -> Column:

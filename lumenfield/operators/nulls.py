@@ -16,7 +16,7 @@ def draws(u: DataFrame, sizes: DataFrame, seed: str, b: int) -> DataFrame:
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("residue_index").cast("string")).cast("binary"))
     rank = F.row_number().over(Window.partitionBy("gene", "b").orderBy("key", "residue_index"))
     ranked = each.withColumn("key", key).withColumn("rank", rank)
-    return ranked.join(F.broadcast(sizes), "gene").where("rank <= n_draw").select("gene", "b", "residue_index")
+    return ranked.join(sizes, "gene").where("rank <= n_draw").select("gene", "b", "residue_index")
 
 
 def positional_null(u: DataFrame, labelled: DataFrame, radius: float, seed: str, b: int) -> DataFrame:
@@ -49,6 +49,23 @@ def label_null(u: DataFrame, labelled: DataFrame, radius: float, seed: str, b: i
     return obs.join(m, "gene").withColumn("z", z)
 
 
+def label_moments(near: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(gene, radius, t_obs, t_mean, t_sd, zg): label_null() with the exact mean and sd over all permutations, for every radius.
+
+    T is the sum of the P/LP residues' weights, and a permutation draws them without replacement, so both moments follow
+    from the weights' mean and variance. near: (gene, radius, center, point) of labelled points.
+    """
+    n_l = near.groupBy("gene", "radius", "center").agg(F.count(F.lit(1)).alias("n_l"))
+    w = near.join(n_l, ["gene", "radius", "center"]).groupBy("gene", "radius", F.col("point").alias("residue_index")).agg(F.sum(1.0 / F.col("n_l")).alias("w"))
+    is_p = F.col("class") == "PLP"
+    g = w.join(labelled.select("gene", "residue_index", "class"), ["gene", "residue_index"]).groupBy("gene", "radius")
+    m = g.agg(F.sum(F.when(is_p, F.col("w"))).alias("t_obs"), F.count_if(is_p).alias("np"), F.count(F.lit(1)).alias("nn"), F.avg("w").alias("mu"), F.var_pop("w").alias("v"))
+    sd = F.sqrt(F.col("np") * (F.col("nn") - F.col("np")) / F.greatest(F.col("nn") - 1, F.lit(1)) * F.col("v"))
+    m = m.select("gene", "radius", F.coalesce("t_obs", F.lit(0.0)).alias("t_obs"), (F.col("np") * F.col("mu")).alias("t_mean"), sd.alias("t_sd"))
+    flat = F.col("t_sd") <= 1e-12 * F.greatest(F.lit(1.0), F.abs("t_obs"))
+    return m.withColumn("zg", F.when(flat, 0.0).otherwise((F.col("t_obs") - F.col("t_mean")) / F.col("t_sd")))
+
+
 def exact_tails(u: DataFrame, labelled: DataFrame, radius: float) -> DataFrame:
     """occupancy() with the gene's totals, the expected n_p, the exact tail p and the smallest p that the centre can reach."""
     return with_tails(u, labelled, occupancy(u, labelled, radius))
@@ -58,12 +75,11 @@ def with_tails(u: DataFrame, labelled: DataFrame, occupied: DataFrame) -> DataFr
     """Rows of n_u and n_p (of any radius) with m_all, m_good, expected, p and p_floor."""
     size = u.groupBy("gene").agg(F.count(F.lit(1)).cast("int").alias("m_all"))
     good = labelled.groupBy("gene").agg(F.count_if(F.col("class") == "PLP").cast("int").alias("m_good"))
-    top = u.agg(F.max("residue_index")).first()[0] or 0
-    o = occupied.join(F.broadcast(size), "gene").join(F.broadcast(good), "gene")
+    o = occupied.join(size, "gene").join(good, "gene")
     # tails are made once for each distinct (n_u, n_p)
     key = ["gene", "n_u", "n_p", "m_all", "m_good"]
     i = lambda c: F.col(c).cast("int")
-    tails = o.select(*key).distinct().crossJoin(F.broadcast(st.ln_factorials(u.sparkSession, top)))
+    tails = o.select(*key).distinct().join(st.ln_factorials(size), "gene")
     tails = tails.select(*key, st.hypergeometric_tail(i("n_p"), i("m_all"), i("m_good"), i("n_u")).alias("p"), st.hypergeometric_tail(F.least(i("m_good"), i("n_u")), i("m_all"), i("m_good"), i("n_u")).alias("p_floor"))
     return o.join(tails, key).withColumn("expected", F.col("m_good") * F.col("n_u") / F.col("m_all"))
 
@@ -73,15 +89,16 @@ def significant_centers(u: DataFrame, labelled: DataFrame, radius: float, q: flo
     return st.benjamini_hochberg(exact_tails(u, labelled, radius).where("n_l >= 1"), q=q)
 
 
-def leave_one_out(labelled: DataFrame, radius: float, kappa: float = 2.0, tie: float = 1e-12) -> DataFrame:
-    """Per labelled residue: labelled neighbours, P/LP among them, the smoothed vote, and the prediction. Without
-    neighbours, or on a tie, it is BLB."""
-    y = (F.col("class") == "PLP").cast("int")
+def leave_one_out(labelled: DataFrame, radius: float | list[float], kappa: float = 2.0, tie: float = 1e-12) -> DataFrame:
+    """Per labelled residue (and radius, if there are several): labelled neighbours, P/LP among them, the smoothed vote, and
+    the prediction. Without neighbours, or on a tie, it is BLB."""
+    radii = radius if isinstance(radius, list) else [radius]
+    y, each = (F.col("class") == "PLP").cast("int"), F.explode(F.array(*(F.lit(float(r)) for r in radii))).alias("radius")
     n = labelled.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"))
     other = labelled.select("gene", F.col("residue_index").alias("point"), y.alias("y2"))
-    near = range_join(labelled, labelled, radius).where("center <> point").join(other, ["gene", "point"])
-    votes = near.groupBy("gene", F.col("center").alias("residue_index")).agg(F.count(F.lit(1)).alias("n_l"), F.sum("y2").alias("n_p"))
-    s = labelled.select("gene", "residue_index", "class", y.alias("y")).join(votes, ["gene", "residue_index"], "left").fillna(0, ["n_l", "n_p"]).join(F.broadcast(n), "gene")
+    near = range_join(labelled, labelled, max(radii)).where("center <> point").join(other, ["gene", "point"]).select("*", each).where("d <= radius")
+    votes = near.groupBy("gene", "radius", F.col("center").alias("residue_index")).agg(F.count(F.lit(1)).alias("n_l"), F.sum("y2").alias("n_p"))
+    s = labelled.select("gene", "residue_index", "class", y.alias("y"), each).join(votes, ["gene", "radius", "residue_index"], "left").fillna(0, ["n_l", "n_p"]).join(n, "gene")
     prior = (F.col("n_pos") - F.col("y")) / (F.col("n") - 1)
     vote = (F.col("n_p") + kappa * prior) / (F.col("n_l") + kappa)
     delta = vote - prior
@@ -96,9 +113,11 @@ def confusion(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def certificate(floors: DataFrame, q: float, b: int | None = None) -> DataFrame:
-    """Per gene: can any centre be rejected? The best floor (not below 1 / (b + 1) when p is empirical) against q / m; m = 0 fails."""
-    low = F.min_by("p_floor", F.struct("p_floor", "residue_index"))
-    agg = floors.groupBy("gene").agg(F.count(F.lit(1)).alias("m"), low.alias("p_best"))
+    """Per gene: can any centre be rejected? The best floor (not below 1 / (b + 1) when p is empirical) against q / m; m = 0
+    fails: a gene with rows but without tested centres (n_l = 0 in all of them) has such a row."""
+    floors = floors.withColumn("_in", F.col("n_l") > 0) if "n_l" in floors.columns else floors.withColumn("_in", F.lit(True))
+    low = F.min(F.when(F.col("_in"), F.col("p_floor")))
+    agg = floors.groupBy("gene").agg(F.count_if("_in").alias("m"), low.alias("p_best"))
     p = F.greatest(F.col("p_best"), F.lit(1.0 / (b + 1))) if b else F.col("p_best")
-    c1 = F.lit(q) / F.col("m")
-    return agg.withColumn("p_floor", p).withColumn("c1", c1).withColumn("ratio", p / c1).withColumn("passes", (F.col("m") > 0) & (p <= c1)).withColumn("b_required", (F.ceil(1 / c1) - 1).cast("long"))
+    c1 = F.when(F.col("m") > 0, F.lit(q) / F.col("m"))
+    return agg.withColumn("p_floor", p).withColumn("c1", c1).withColumn("ratio", p / c1).withColumn("passes", F.coalesce(p <= c1, F.lit(False))).withColumn("b_required", (F.ceil(1 / c1) - 1).cast("long"))

@@ -30,9 +30,27 @@ def radius_rows(u: DataFrame, labelled: DataFrame, tested: DataFrame, radii: lis
     sig = tested.where("significant").select("gene", "radius", F.col("residue_index").alias("center"))
     covered = sp.range_join(u, u, max(radii)).join(sig, ["gene", "center"]).where("d <= radius").select("gene", "radius", F.col("point").alias("residue_index")).distinct()
     inside = covered.join(labelled.select("gene", "residue_index", "class"), ["gene", "residue_index"], "left").groupBy("gene", "radius").agg(F.count(F.lit(1)).alias("n_cov"), F.count("class").alias("l_in"), F.count_if(F.col("class") == "PLP").alias("p_in"))
-    out = rows.join(inside, ["gene", "radius"], "left").fillna(0, ["n_cov", "l_in", "p_in"]).join(F.broadcast(total), "gene").join(F.broadcast(lab), "gene")
+    out = rows.join(inside, ["gene", "radius"], "left").fillna(0, ["n_cov", "l_in", "p_in"]).join(total, "gene").join(lab, "gene")
     enrichment = F.when(F.col("n_sig") == 0, 0.0).when(F.col("l_in") > 0, (F.col("p_in") / F.col("l_in")) / (F.col("n_plp") / F.col("n")))
-    return out.select("gene", "radius", "m", "n_sig", "p_min", (F.col("n_cov") / F.col("m_all")).alias("coverage"), enrichment.alias("fold_enrichment"), F.coalesce(F.col("absorbed") / F.col("n"), F.lit(0.0)).alias("absorption"), enrichment.isNotNull().alias("admissible"))
+    out = out.withColumn("fe_defined", F.col("l_in") > 0)
+    return out.select("gene", "radius", "m", "n_sig", "p_min", (F.col("n_cov") / F.col("m_all")).alias("coverage"), F.coalesce(enrichment, F.lit(0.0)).alias("fold_enrichment"), F.coalesce(F.col("absorbed") / F.col("n"), F.lit(0.0)).alias("absorption"), enrichment.isNotNull().alias("admissible"))
+
+
+#: What a radius is chosen by; larger is better.
+OBJECTIVES = ["loo_mcc", "perm_evidence_zg", "fold_enrichment", "neighbor_stability"]
+
+
+def objectives(u: DataFrame, labelled: DataFrame, tested: DataFrame, radii: list[float], step: float) -> DataFrame:
+    """radius_rows() with the four OBJECTIVES: leave-one-out MCC, evidence Zg, fold enrichment, and the stability of the
+    significant set against the neighbouring radii. A radius without significant centres scores 0 in enrichment and stays admissible."""
+    rows = radius_rows(u, labelled, tested, radii)
+    loo = nu.confusion(nu.leave_one_out(labelled, radii), ["gene", "radius"]).select("gene", "radius", F.col("mcc").alias("loo_mcc"))
+    each = F.explode(F.array(*(F.lit(float(r)) for r in radii))).alias("radius")
+    near = sp.range_join(u, labelled, max(radii)).select("gene", "center", "point", "d", each).where("d <= radius")
+    zg = nu.label_moments(near, labelled).select("gene", "radius", F.col("zg").alias("perm_evidence_zg"))
+    stable = neighbour_jaccard(tested, step).select("gene", "radius", F.col("stability").alias("neighbor_stability"))
+    out = rows.join(loo, ["gene", "radius"]).join(zg, ["gene", "radius"]).join(stable, ["gene", "radius"], "left")
+    return out.fillna(0.0, ["neighbor_stability"])
 
 
 def neighbour_jaccard(tested: DataFrame, step: float) -> DataFrame:
@@ -67,15 +85,16 @@ def _label(pdf: pd.DataFrame, reach: float) -> pd.DataFrame:
     return pdf[["gene", "residue_index"]].assign(region=label)
 
 
-def regions(centers: DataFrame, radius: float) -> DataFrame:
-    """(gene, residue_index, region) of centres that chain within twice the radius."""
+def regions(centers: DataFrame, radius: float | None = None) -> DataFrame:
+    """(gene, residue_index, region) of centres that chain within twice the radius (each gene's own, from a column, if none is given)."""
     schema = f"gene string, residue_index {centers.schema['residue_index'].dataType.simpleString()}, region int"
-    return centers.select("gene", "residue_index", "x", "y", "z").groupBy("gene").applyInPandas(lambda pdf: _label(pdf, 2 * radius), schema)
+    own = centers.select("gene", "residue_index", "x", "y", "z", (F.lit(float(radius)) if radius is not None else F.col("radius")).alias("radius"))
+    return own.groupBy("gene").applyInPandas(lambda pdf: _label(pdf, 2 * pdf["radius"].iloc[0]), schema)
 
 
-def objects(u: DataFrame, labelled: DataFrame, centers: DataFrame, region: DataFrame, radius: float) -> DataFrame:
+def objects(u: DataFrame, labelled: DataFrame, centers: DataFrame, region: DataFrame, radius: float | DataFrame) -> DataFrame:
     """Covered residues with their sorted regions, number of covering centres, class, and whether they are centres."""
-    near = sp.range_join(centers, u, radius).join(region.select("gene", F.col("residue_index").alias("center"), "region"), ["gene", "center"])
+    near = sp.within(centers, u, radius).join(region.select("gene", F.col("residue_index").alias("center"), "region"), ["gene", "center"])
     g = near.groupBy("gene", F.col("point").alias("residue_index")).agg(F.array_sort(F.collect_set("region")).alias("regions"), F.count(F.lit(1)).alias("n_covering"))
     c = centers.select("gene", "residue_index", F.lit(True).alias("is_center"))
     out = g.join(labelled.select("gene", "residue_index", "class"), ["gene", "residue_index"], "left").join(c, ["gene", "residue_index"], "left")

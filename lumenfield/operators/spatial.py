@@ -29,6 +29,20 @@ def range_join(centers: DataFrame, points: DataFrame, radius: float) -> DataFram
     return met.withColumn("d", distance()).where(F.col("d") <= radius).select("gene", "center", "point", "d")
 
 
+def within(centers: DataFrame, points: DataFrame, radius: float | DataFrame) -> DataFrame:
+    """range_join() at one radius, or at each gene's own from a table (gene, radius) of one row a gene."""
+    if not isinstance(radius, DataFrame):
+        return range_join(centers, points, radius)
+    # cells as wide as each gene's own radius
+    wide = lambda df: df.join(radius.select("gene", F.col("radius").alias("_r")), "gene").select(*POINT, "_r")
+    scaled = lambda df: wide(df).select("gene", "residue_index", *((F.col(c) / F.col("_r")).alias(c) for c in "xyz"), *(F.col(c).alias(f"{c}0") for c in "xyz"), "_r")
+    met = range_join(scaled(centers), scaled(points), 1.000001).select("gene", "center", "point")
+    a = wide(centers).select("gene", F.col("residue_index").alias("center"), "x", "y", "z", "_r")
+    b = points.select("gene", F.col("residue_index").alias("point"), *(F.col(c).alias(f"{c}2") for c in "xyz"))
+    exact = met.join(a, ["gene", "center"]).join(b, ["gene", "point"]).withColumn("d", distance())
+    return exact.where(F.col("d") <= F.col("_r")).select("gene", "center", "point", "d")
+
+
 def nearest(points: DataFrame, centers: DataFrame) -> DataFrame:
     """(gene, point, center, d): each point's nearest centre, ties to the smaller number."""
     c = centers.select("gene", F.col("residue_index").alias("center"), *(F.col(k).alias(f"{k}2") for k in "xyz"))
@@ -63,9 +77,13 @@ def ripley(points: DataFrame, u: DataFrame, grid: list[float], width: float = 1.
     d = p.join(q, list(by)).where("residue_index < j").select(*by, distance().alias("d"))
     r = F.explode(F.array(*(F.lit(float(x)) for x in grid))).alias("r")
     n = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    scaffold = n.select("*", r)
-    cum = d.select(*by, "d", r).groupBy(*by, "r").agg(F.count_if(F.col("d") <= F.col("r")).alias("cum"), F.count_if((F.col("d") > F.col("r") - width / 2) & (F.col("d") <= F.col("r") + width / 2)).alias("shell"))
-    s = scaffold.join(cum, [*by, "r"], "left").fillna(0, ["cum", "shell"]).join(F.broadcast(box_volume(u)), "gene")
+    # a pair counts once, at the first edge that is no less than d; a radius then sums the edges up to r and r -/+ width / 2
+    edges = sorted({e for x in grid for e in (float(x), x - width / 2, x + width / 2)})
+    first = F.get(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e >= F.col("d")), F.lit(0))
+    bins = d.where(F.col("d") <= edges[-1]).groupBy(*by, first.alias("edge")).agg(F.count(F.lit(1)).alias("n_e"))
+    upto = lambda e: F.sum(F.when(F.col("edge") <= e, F.col("n_e")).otherwise(0))
+    cum = bins.select("*", r).groupBy(*by, "r").agg(upto(F.col("r")).alias("cum"), (upto(F.col("r") + width / 2) - upto(F.col("r") - width / 2)).alias("shell"))
+    s = n.select("*", r).join(cum, [*by, "r"], "left").fillna(0, ["cum", "shell"]).join(box_volume(u), "gene")
     lam = F.col("n") / F.col("volume")
     k = F.when(F.col("n") < 2, 0.0).otherwise(2 * F.col("cum") / F.col("n") / lam)
     g = F.when(F.col("n") < 2, 0.0).otherwise(2 * F.col("shell") / F.col("n") / (lam * 4 * F.pi() * F.pow("r", F.lit(2)) * width))

@@ -37,45 +37,45 @@ def sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {C} SELECT count(*) AS n_pairs, round(max(d), 6) AS d_max, floor(max(d) / 2)::BIGINT AS r_max, round(avg(d), 6) AS d_mean FROM near WHERE center < point")
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sp.pairs(ad.universe(spark, sf_dir))
-    return p.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.max("d"), 6).alias("d_max"), F.floor(F.max("d") / 2).alias("r_max"), F.round(F.avg("d"), 6).alias("d_mean"))
+    return p.groupBy("gene").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.max("d"), 6).alias("d_max"), F.floor(F.max("d") / 2).alias("r_max"), F.round(F.avg("d"), 6).alias("d_mean"))
 
 
 @query(f"WITH {C} SELECT center, point, round(d, 6) AS d FROM hit")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ad.universe(spark, sf_dir)
-    return sp.range_join(u, u, R).select("center", "point", F.round("d", 6).alias("d"))
+    return sp.range_join(u, u, R).select("gene", "center", "point", F.round("d", 6).alias("d"))
 
 
 @query(f"WITH {C} SELECT center, count(*) - 1 AS n_neighbours FROM hit GROUP BY 1")
 def neighbours_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ad.universe(spark, sf_dir)
-    return sp.range_join(u, u, R).groupBy("center").agg(F.count_if(F.col("center") != F.col("point")).alias("n_neighbours"))
+    return sp.range_join(u, u, R).groupBy("gene", "center").agg(F.count_if(F.col("center") != F.col("point")).alias("n_neighbours"))
 
 
 @query(f"WITH {C} SELECT b.residue_index AS point, arg_min(near.center, near.d) AS center, round(min(near.d), 6) AS d FROM cohort b JOIN near ON near.point = b.residue_index JOIN cohort c ON near.center = c.residue_index WHERE b.class = 'BLB' AND c.class = 'PLP' GROUP BY 1")
 def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, c = sets(spark, sf_dir)
-    return sp.nearest(c.where("class = 'BLB'"), c.where("class = 'PLP'")).select("point", "center", F.round("d", 6).alias("d"))
+    return sp.nearest(c.where("class = 'BLB'"), c.where("class = 'PLP'")).select("gene", "point", "center", F.round("d", 6).alias("d"))
 
 
 @query(f"WITH {C} SELECT DISTINCT point AS residue_index FROM hit JOIN cohort c ON hit.center = c.residue_index WHERE c.class = 'PLP'")
 def covered_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, c = sets(spark, sf_dir)
-    return sp.covered(u, c.where("class = 'PLP'"), R).select("residue_index")
+    return sp.covered(u, c.where("class = 'PLP'"), R).select("gene", "residue_index")
 
 
 @query(f"WITH {C} SELECT residue_index FROM universe WHERE residue_index NOT IN (SELECT point FROM hit JOIN cohort c ON hit.center = c.residue_index WHERE c.class = 'PLP')")
 def uncovered_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, c = sets(spark, sf_dir)
-    return sp.covered(u, c.where("class = 'PLP'"), R, "left_anti").select("residue_index")
+    return sp.covered(u, c.where("class = 'PLP'"), R, "left_anti").select("gene", "residue_index")
 
 
 @query(f"WITH {C} SELECT residue_index, n_u, n_l, n_p FROM occ")
 def sphere_occupancies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.occupancy(*sets(spark, sf_dir), R).select("residue_index", "n_u", "n_l", "n_p")
+    return sp.occupancy(*sets(spark, sf_dir), R).select("gene", "residue_index", "n_u", "n_l", "n_p")
 
 
-@query(f"WITH {ad.UNIVERSE_SQL} SELECT gene, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 5) AS radius_of_gyration FROM universe GROUP BY gene")
+@query(f"WITH {ad.UNIVERSE_SQL} SELECT round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 5) AS radius_of_gyration FROM universe")
 def gyration(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = sp.gyration(ad.universe(spark, sf_dir))
     return g.select("gene", *(F.round(f"c{c}", 6).alias(f"c{c}") for c in "xyz"), F.round("radius_of_gyration", 5).alias("radius_of_gyration"))
@@ -95,29 +95,29 @@ def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CURVES} SELECT class, r, round(k, 4) AS k, round(l, 6) AS l FROM cv")
 def ripley_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _curves(spark, sf_dir).select("class", "r", F.round("k", 4).alias("k"), F.round("l", 6).alias("l"))
+    return _curves(spark, sf_dir).select("gene", "class", "r", F.round("k", 4).alias("k"), F.round("l", 6).alias("l"))
 
 
 @query(f"WITH {CURVES} SELECT class, r, round(g, 6) AS g FROM cv")
 def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _curves(spark, sf_dir).select("class", "r", F.round("g", 6).alias("g"))
+    return _curves(spark, sf_dir).select("gene", "class", "r", F.round("g", 6).alias("g"))
 
 
 @query(f"WITH {CURVES}, w AS (SELECT r, g, lag(g) OVER (ORDER BY r) AS a, lead(g) OVER (ORDER BY r) AS b FROM cv WHERE class = 'PLP') SELECT r, round(g, 6) AS g FROM w WHERE g > a AND g >= b")
 def pcf_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.peaks(_curves(spark, sf_dir).where("class = 'PLP'")).select("r", F.round("g", 6).alias("g"))
+    return sp.peaks(_curves(spark, sf_dir).where("class = 'PLP'")).select("gene", "r", F.round("g", 6).alias("g"))
 
 
 @query(f"WITH {CURVES}, e AS (SELECT r, r - row_number() OVER (ORDER BY r) AS i FROM cv WHERE class = 'PLP' AND g > 1), q AS (SELECT min(r) AS start, max(r) AS stop, count(*) AS n FROM e GROUP BY i) SELECT * FROM q ORDER BY n DESC, start LIMIT 1")
 def elevated_longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.longest_run(_curves(spark, sf_dir).where("class = 'PLP'"), F.col("g") > 1).select("start", "stop", "n")
+    return sp.longest_run(_curves(spark, sf_dir).where("class = 'PLP'"), F.col("g") > 1).select("gene", "start", "stop", "n")
 
 
 @query(f"WITH {DRAWS} SELECT b, residue_index FROM draws")
 def null_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, c = sets(spark, sf_dir)
     n = c.where("class = 'PLP'").groupBy("gene").agg(F.count(F.lit(1)).alias("n_draw"))
-    return nu.draws(u, n, SEED, B).select("b", "residue_index")
+    return nu.draws(u, n, SEED, B).select("gene", "b", "residue_index")
 
 
 EMPIRICAL = f"""{DRAWS}, nb AS (SELECT center, b, count(*) AS n_b FROM draws JOIN hit ON draws.residue_index = hit.point GROUP BY ALL),
@@ -128,7 +128,7 @@ em AS (SELECT o.*, coalesce(s1, 0) / {B} AS null_mean, sqrt(greatest(0, coalesce
 @query(f"WITH {EMPIRICAL} SELECT residue_index, n_p, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(p_emp, 6) AS p_emp, n_l > 0 AND null_sd > 0 AS in_family FROM em")
 def positional_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nu.positional_null(*sets(spark, sf_dir), R, SEED, B)
-    return n.select("residue_index", "n_p", *(F.round(c, 6).alias(c) for c in ("null_mean", "null_sd", "p_emp")), "in_family")
+    return n.select("gene", "residue_index", "n_p", *(F.round(c, 6).alias(c) for c in ("null_mean", "null_sd", "p_emp")), "in_family")
 
 
 LABEL = f"""{C}, lh AS (SELECT center, point FROM hit JOIN cohort c ON c.residue_index = hit.point), nl AS (SELECT center, count(*) AS n_l FROM lh GROUP BY 1),
@@ -141,25 +141,25 @@ tb AS (SELECT b, sum(w) AS t FROM d0 JOIN wt USING (residue_index), tot WHERE ra
 @query(f"WITH {LABEL} SELECT round(t_obs, 6) AS t_obs, round((SELECT avg(t) FROM tb), 6) AS t_mean, round((SELECT stddev_samp(t) FROM tb), 6) AS t_sd, round((t_obs - (SELECT avg(t) FROM tb)) / (SELECT stddev_samp(t) FROM tb), 5) AS z FROM ob")
 def label_null_zg(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nu.label_null(*sets(spark, sf_dir), R, SEED, B)
-    return n.select(*(F.round(c, 6).alias(c) for c in ("t_obs", "t_mean", "t_sd")), F.round("z", 5).alias("z"))
+    return n.select("gene", *(F.round(c, 6).alias(c) for c in ("t_obs", "t_mean", "t_sd")), F.round("z", 5).alias("z"))
 
 
 @query(f"WITH {TAILS} SELECT residue_index, n_u, n_p, round(p, 8) AS p, round(p_floor, 8) AS p_floor, round(m_good * n_u / m_all, 6) AS expected FROM tails")
 def hypergeom_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nu.exact_tails(*sets(spark, sf_dir), R).select("residue_index", "n_u", "n_p", F.round("p", 8).alias("p"), F.round("p_floor", 8).alias("p_floor"), F.round("expected", 6).alias("expected"))
+    return nu.exact_tails(*sets(spark, sf_dir), R).select("gene", "residue_index", "n_u", "n_p", F.round("p", 8).alias("p"), F.round("p_floor", 8).alias("p_floor"), F.round("expected", 6).alias("expected"))
 
 
 @query(f"WITH {BH} SELECT residue_index, n_u, n_l, n_p, round(p, 8) AS p, round(q_bh, 8) AS q_bh, round(q_by, 7) AS q_by, significant FROM bh")
 def bh_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = nu.significant_centers(*sets(spark, sf_dir), R)
-    return t.select("residue_index", "n_u", "n_l", "n_p", F.round("p", 8).alias("p"), F.round("q_bh", 8).alias("q_bh"), F.round("q_by", 7).alias("q_by"), "significant")
+    return t.select("gene", "residue_index", "n_u", "n_l", "n_p", F.round("p", 8).alias("p"), F.round("q_bh", 8).alias("q_bh"), F.round("q_by", 7).alias("q_by"), "significant")
 
 
 @query(f"WITH {BH} SELECT u.residue_index, round(u.x, 6) AS x, round(u.y, 6) AS y, round(u.z, 6) AS z, n_u, n_l, n_p, round(m_good * n_u / m_all, 6) AS expected, round(p, 8) AS p, round(q_bh, 8) AS q_bh FROM bh JOIN universe u USING (residue_index) WHERE significant")
 def significant_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, c = sets(spark, sf_dir)
     t = nu.significant_centers(u, c, R).where("significant").join(u.select("gene", "residue_index", "x", "y", "z"), ["gene", "residue_index"])
-    return t.select("residue_index", *(F.round(k, 6).alias(k) for k in "xyz"), "n_u", "n_l", "n_p", F.round("expected", 6).alias("expected"), F.round("p", 8).alias("p"), F.round("q_bh", 8).alias("q_bh"))
+    return t.select("gene", "residue_index", *(F.round(k, 6).alias(k) for k in "xyz"), "n_u", "n_l", "n_p", F.round("expected", 6).alias("expected"), F.round("p", 8).alias("p"), F.round("q_bh", 8).alias("q_bh"))
 
 
 LOO = f"""{C}, vv AS (SELECT a.residue_index, count(b.residue_index) AS n_l, count(*) FILTER (b.class = 'PLP') AS n_p FROM cohort a LEFT JOIN hit ON hit.center = a.residue_index AND hit.point <> a.residue_index LEFT JOIN cohort b ON b.residue_index = hit.point GROUP BY 1),
@@ -169,21 +169,21 @@ lp AS (SELECT *, (n_p + 2.0::DOUBLE * prior) / (n_l + 2.0::DOUBLE) AS vote FROM
 
 @query(f"WITH {LOO} SELECT residue_index, class, n_l, n_p, round(vote, 6) AS vote, predicted FROM pr")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nu.leave_one_out(sets(spark, sf_dir)[1], R).select("residue_index", "class", "n_l", F.col("n_p").cast("long").alias("n_p"), F.round("vote", 6).alias("vote"), "predicted")
+    return nu.leave_one_out(sets(spark, sf_dir)[1], R).select("gene", "residue_index", "class", "n_l", F.col("n_p").cast("long").alias("n_p"), F.round("vote", 6).alias("vote"), "predicted")
 
 
 @query(f"""WITH {LOO}, m AS (SELECT count(*) FILTER (predicted = 'PLP' AND class = 'PLP') AS tp, count(*) FILTER (predicted = 'PLP' AND class = 'BLB') AS fp, count(*) FILTER (predicted = 'BLB' AND class = 'BLB') AS tn, count(*) FILTER (predicted = 'BLB' AND class = 'PLP') AS fn FROM pr)
 SELECT tp, fp, tn, fn, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS ppv, round(tn / nullif(tn + fn, 0), 6) AS npv, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
   round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round((tp * tn - fp * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM m""")
 def loo_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = nu.confusion(nu.leave_one_out(sets(spark, sf_dir)[1], R), ["gene"]).drop("gene")
-    return c.select("tp", "fp", "tn", "fn", *(F.round(k, 6).alias(k) for k in c.columns[4:]))
+    c = nu.confusion(nu.leave_one_out(sets(spark, sf_dir)[1], R), ["gene"])
+    return c.select("gene", "tp", "fp", "tn", "fn", *(F.round(k, 6).alias(k) for k in c.columns[5:]))
 
 
 @query(f"WITH {TAILS}, f AS (SELECT count(*) AS m, min(p_floor) AS p_floor FROM tails WHERE n_l >= 1) SELECT m, round(greatest(p_floor, 1.0::DOUBLE / {B + 1}), 8) AS p_floor, round(0.05::DOUBLE / m, 8) AS c1, round(greatest(p_floor, 1.0::DOUBLE / {B + 1}) / (0.05::DOUBLE / m), 5) AS ratio, greatest(p_floor, 1.0::DOUBLE / {B + 1}) <= 0.05::DOUBLE / m AS passes, (ceil(1 / (0.05::DOUBLE / m)) - 1)::BIGINT AS b_required FROM f")
 def power_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = nu.certificate(nu.exact_tails(*sets(spark, sf_dir), R).where("n_l >= 1"), 0.05, B)
-    return t.select("m", F.round("p_floor", 8).alias("p_floor"), F.round("c1", 8).alias("c1"), F.round("ratio", 5).alias("ratio"), "passes", "b_required")
+    return t.select("gene", "m", F.round("p_floor", 8).alias("p_floor"), F.round("c1", 8).alias("c1"), F.round("ratio", 5).alias("ratio"), "passes", "b_required")
 
 
 @query("WITH s AS (SELECT o_orderkey % 97 AS k FROM orders GROUP BY 1) SELECT concat('scan|r=', k) AS context, ('0x' || substr(sha256(concat('20250101|run|scan|r=', k)), 9, 8))::BIGINT AS seed FROM s")
@@ -196,4 +196,4 @@ def seed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BH}, r AS (SELECT rank() OVER (ORDER BY n_u) + (count(*) OVER (PARTITION BY n_u) - 1) / 2 AS rx, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS ry FROM (SELECT n_u, round(p, 9) AS p FROM tails)) SELECT round(corr(rx, ry), 5) AS rho FROM r")
 def spearman_size_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = nu.exact_tails(*sets(spark, sf_dir), R).withColumn("p", F.round("p", 9))
-    return st.spearman(t, "n_u", "p", ["gene"]).select(F.round("rho", 5).alias("rho"))
+    return st.spearman(t, "n_u", "p", ["gene"]).select("gene", F.round("rho", 5).alias("rho"))
