@@ -66,33 +66,35 @@ class Result:
 
 
 def analyse(u: DataFrame, cohort: DataFrame, overlay: dict | None = None, radii: list[float] | None = None) -> Result:
-    """From a universe and a labelled cohort to regions and footprint, of every gene in them in one go. State and facts are of all genes together."""
+    """From a universe and a labelled cohort to regions and footprint, of every gene in them in one go, each at its own radius. The state is
+    of all genes together; facts hold a radius for each gene."""
     c = configured(overlay)
     n = cohort.groupBy("gene").agg(F.count_if(F.col("class") == "PLP").alias("p"), F.count_if(F.col("class") == "BLB").alias("b")).where("p > 0 and b > 0")
     if n.isEmpty():
         return Result(terminal_state(error=True), facts={"cause": "no cohort with both classes"})
     r = c["radii"]
     radii = radii or [r["floor"] + i * r["step"] for i in range(int((r["ceiling"] - r["floor"]) / r["step"]) + 1)]
-    tested = rg.scan(u, cohort, radii, c["q"])
+    tested = rg.scan(u, cohort, radii, c["q"]).cache()
     power = nu.certificate(tested.withColumn("gene", F.concat_ws("|", "gene", F.col("radius").cast("string"))), c["q"])
     if power.where("passes").isEmpty():
         return Result(terminal_state(underpowered=True), {"tested": tested}, {"cause": "no radius can reject"})
-    rows = rg.radius_rows(u, cohort, tested, radii).withColumn("neg_coverage", -F.col("coverage")).withColumn("neg_log_p", -F.log("p_min"))
-    chosen = se.choose(rows, "radius", ["fold_enrichment", "neg_coverage", "neg_log_p"], ["gene"], ["fold_enrichment"], *c["near_tie"])
+    step = min((b - a for a, b in zip(radii, radii[1:])), default=r["step"])
+    rows = rg.objectives(u, cohort, tested, radii, step).cache()
+    chosen = se.choose(rows, "radius", rg.OBJECTIVES, ["gene"], ["neighbor_stability", "perm_evidence_zg"], *c["near_tie"]).cache()
     best = chosen.where("rank = 1").select("gene", "radius", "grade").collect()  # a row for each gene
     if not best:
         return Result(terminal_state(incomplete=True), {"scan": rows}, {"cause": "no admissible radius"})
-    at = best[0].radius  # genes are reported at their own radius; regions here are of the first
-    pick = F.broadcast(chosen.where("rank = 1").select("gene", "radius"))
-    centers = tested.where("significant").join(pick, ["gene", "radius"]).select("gene", "residue_index").join(u, ["gene", "residue_index"])
+    pick = chosen.where("rank = 1").select("gene", "radius")
+    at = {b.gene: b.radius for b in best}
+    centers = tested.where("significant").join(pick, ["gene", "radius"]).select("gene", "residue_index", "radius").join(u, ["gene", "residue_index"]).cache()
     tables = {"tested": tested, "scan": rows, "choice": chosen, "centers": centers}
     if centers.isEmpty():
         return Result(terminal_state(negative=True), tables, {"radius": at})
-    region = rg.regions(centers, at)
+    region = rg.regions(centers)
     ev = fp.evidence(cohort, centers)
-    tables |= {"regions": region, "objects": rg.objects(u, cohort, centers, region, at), "evidence": ev, "containment": fp.containment(ev, c["step"])}
+    tables |= {"regions": region, "objects": rg.objects(u, cohort, centers, region, pick), "evidence": ev, "containment": fp.containment(ev, pick, c["step"])}
     wide = not rows.join(pick, ["gene", "radius"]).where(F.col("coverage") > c["coverage_limit"]).isEmpty()
-    warnings = [f"near tie of radii in {b.gene}: {b.grade}" for b in best if b.grade in ("MAJOR", "NEAR_TIE")]
+    warnings = [f"near tie of radii in {b.gene}: {b.grade}" for b in best if b.grade in ("MAJOR", "ADVISORY")]
     return Result(terminal_state(escalated=wide, warned=bool(warnings)), tables, {"radius": at}, warnings)
 
 

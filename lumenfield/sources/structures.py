@@ -103,9 +103,10 @@ def quality(res: DataFrame) -> DataFrame:
 
 
 def mapped(cohort: DataFrame, res: DataFrame) -> DataFrame:
-    """cohort rows with their CA, and for those without one the reason."""
-    c = res.select("residue_index", "x_ca", "y_ca", "z_ca", "plddt", "ca_usable")
-    out = cohort.join(c, "residue_index", "left")
+    """cohort rows with their CA, and for those without one the reason; they meet by entry and chain too, where cohort has them."""
+    by = [k for k in ("entry", "chain") if k in cohort.columns] + ["residue_index"]
+    c = res.select(*by, "x_ca", "y_ca", "z_ca", "plddt", "ca_usable")
+    out = cohort.join(c, by, "left")
     return out.withColumn("unmapped_reason", F.when(F.col("ca_usable").isNull(), "residue_not_in_model").when(~F.col("ca_usable"), "no_ca_coordinate"))
 
 
