@@ -138,3 +138,21 @@ def band(value: Column, edges: list[float], labels: list[str]) -> Column:
     for e, name in zip(edges[1:], labels[1:]):
         out = out.when(value < e, name)
     return out.otherwise(labels[-1])
+
+
+def strata(evals: DataFrame, residues: DataFrame) -> dict[str, DataFrame]:
+    """The tables that a run hands out: all records, residues, excluded records, and conflicts, each under its frozen columns."""
+    record = ["gene", "record_id", "residue_index", "clinical_significance", "significance_class", "review_status", "star_level", "transcript", "hgvs_p", "exclusion_reason", "exclusion_detail"]
+    ok = evals.where("eligible").select("gene", "residue_index", "record_id", "star_level", "significance_class")
+    star = F.coalesce(F.col("star_level").cast("string"), F.lit("NA"))
+    order = F.struct((F.col("significance_class") != "PLP").alias("late"), "record_id", star.alias("star"))
+    levels = ok.groupBy("gene", "residue_index").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["star"]).alias("star_levels"))
+    ids = lambda kind: F.array_sort(F.collect_list(F.when(F.col("significance_class") == kind, F.col("record_id"))))
+    both = ok.groupBy("gene", "residue_index").agg(ids("PLP").alias("ids_plp"), ids("BLB").alias("ids_blb"))
+    conflict = residues.where("class = 'CONFLICT'").join(both, ["gene", "residue_index"])
+    return {
+        "records": evals.select("gene", "record_id", "clinical_significance", "significance_class", "exact_match", "review_status", "star_level", "transcript", "on_mane", "remapped", "hgvs_p", "ref_aa", "alt_aa", "residue_index", "aa_ref", "eligible", "exclusion_reason", "exclusion_detail"),
+        "residues": residues.join(levels, ["gene", "residue_index"]).select("gene", "residue_index", "aa_ref", "class", "n_records_plp", "n_records_blb", "record_ids", "star_levels", "max_star", "eligible_primary"),
+        "excluded": evals.where("not eligible").select(record),
+        "conflicts": conflict.select("gene", "residue_index", "aa_ref", "n_records_plp", "n_records_blb", "ids_plp", "ids_blb", "max_star", F.lit("residue_class_conflict").alias("exclusion_reason")),
+    }

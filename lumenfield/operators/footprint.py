@@ -166,10 +166,11 @@ def bottlenecks(v: DataFrame, pairs: DataFrame, h: float) -> DataFrame:
                             joined = label[a] == label[b]
                         low, high = (mid, high) if joined else (low, mid - 1)
                     neck = float(np.sqrt(levels[low]) * h) if low >= 0 else neck
-                rows.append((r.gene, r.a, r.b, neck))
+                rows.append((r.of, r.a, r.b, neck))
         return pd.DataFrame(rows, columns=["gene", "a", "b", "neck"])
 
-    return v.groupBy("gene").cogroup(pairs.groupBy("gene")).applyInPandas(kernel, "gene string, a int, b int, neck double")
+    ask = pairs.select(F.col("gene").alias("of"), *(F.col(c).alias(c) for c in ("a", "b", "ax", "ay", "az", "bx", "by", "bz")))
+    return v.groupBy("gene").cogroup(ask.groupBy("of")).applyInPandas(kernel, "gene string, a int, b int, neck double")
 
 
 def seed_voxels(centers: DataFrame, h: float) -> DataFrame:

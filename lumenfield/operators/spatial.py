@@ -111,3 +111,47 @@ def gyration(u: DataFrame) -> DataFrame:
     g = u.groupBy("gene").agg(*(F.avg(c).alias(f"c{c}") for c in "xyz"), *(F.avg(F.col(c) * F.col(c)).alias(f"q{c}") for c in "xyz"))
     spread = sum(F.col(f"q{c}") - F.col(f"c{c}") * F.col(f"c{c}") for c in "xyz")
     return g.select("gene", "cx", "cy", "cz", F.sqrt(spread).alias("radius_of_gyration"))
+
+
+def null_curves(points: DataFrame, u: DataFrame, drawn: DataFrame, grid: list[float], b: int, width: float = 1.0) -> DataFrame:
+    """Per gene and radius: K, L and g of the points, with mean, sd and 2.5 and 97.5 percentiles of each over b draws of as many positions
+    (drawn: gene, b, residue_index), the 95th percentile of g, and Z of K and g (0 where the sd is 0)."""
+    sets = drawn.join(u.select(*POINT), ["gene", "residue_index"])
+    null = ripley(sets, u, grid, width, by=("gene", "b"))
+    stats = []
+    for c in ("k", "l", "g"):
+        stats += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"), F.percentile(c, 0.025).alias(f"{c}_lo"), F.percentile(c, 0.975).alias(f"{c}_hi")]
+    e = null.groupBy("gene", "r").agg(*stats, F.percentile("g", 0.95).alias("g_p95"), F.count(F.lit(1)).alias("n_draws"))
+    out = ripley(points, u, grid, width).select("gene", "r", "k", "l", "g").join(e, ["gene", "r"])
+    z = lambda c: F.when(F.col(f"{c}_sd") > 0, (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd")).otherwise(0.0).alias(f"{c}_z")
+    return out.select("*", z("k"), z("g"))
+
+
+def global_test(points: DataFrame, u: DataFrame, drawn: DataFrame, curves: DataFrame, grid: list[float], b: int, width: float = 1.0) -> DataFrame:
+    """Per gene: T, the largest |Z| of K over the radii, and its add-one p over the draws, each of which is standardised alike."""
+    sets = drawn.join(u.select(*POINT), ["gene", "residue_index"])
+    null = ripley(sets, u, grid, width, by=("gene", "b")).join(curves.select("gene", "r", F.col("k_mean").alias("m"), F.col("k_sd").alias("s")), ["gene", "r"])
+    t = null.groupBy("gene", "b").agg(F.max(F.abs(F.when(F.col("s") > 0, (F.col("k") - F.col("m")) / F.col("s")).otherwise(0.0))).alias("t"))
+    obs = curves.groupBy("gene").agg(F.max(F.abs("k_z")).alias("t_obs"))
+    return t.join(obs, "gene").groupBy("gene", "t_obs").agg(((F.count_if(F.col("t") >= F.col("t_obs")) + 1) / (b + 1)).alias("p_global"))
+
+
+def radius_domain(curves: DataFrame, points: DataFrame, u: DataFrame, floor: float = 5.0, ceiling: float = 25.0, step: float = 0.5, margin: float = 1.0, least_points: int = 10, least_run: float = 2.0, least_grid: int = 5) -> DataFrame:
+    """Per gene: the radii to search. Those where g is over 1 and over its null's 95th percentile make runs; the longest, a margin wider and
+    clamped to [floor, min(ceiling, D_max / 4)], is the domain. It falls back to that whole interval if there is no run (FT-1), the
+    run is too short (FT-2), the grid has too few points (FT-3), or there are too few points (FT-4); a structure that the
+    floor doesn't fit into has none."""
+    run = longest_run(curves.where(F.col("r").isNotNull()), (F.col("g") > 1) & (F.col("g") > F.col("g_p95"))).select("gene", "start", "stop")
+    n = points.groupBy("gene").agg(F.count(F.lit(1)).alias("n_points"))
+    far = pairs(u).groupBy("gene").agg(F.max("d").alias("d_max"))
+    d = u.select("gene").distinct().join(far, "gene", "left").join(n, "gene", "left").join(run, "gene", "left").fillna(0, ["n_points"])
+    d = d.withColumn("cap", F.least(F.lit(ceiling), F.coalesce("d_max", F.lit(0.0)) / 4))
+    size = lambda lo, hi: F.greatest(F.lit(0), F.floor(F.round((hi - lo) / step, 9)) + 1)
+    lo, hi = F.greatest(F.lit(floor), F.col("start") - margin), F.least(F.col("cap"), F.col("stop") + margin)
+    d = d.withColumn("own_grid", size(lo, hi)).withColumn("own_lo", lo).withColumn("own_hi", hi)
+    fired = (("FT-1", F.col("start").isNull()), ("FT-2", F.col("stop") - F.col("start") < least_run), ("FT-3", F.col("own_grid") < least_grid), ("FT-4", F.col("n_points") < least_points))
+    d = d.withColumn("triggers", F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in fired)), lambda x: x.isNotNull()))
+    fits, back = F.col("cap") >= floor, F.size("triggers") > 0
+    source = F.when(~fits, "inadmissible").when(back, "fallback_envelope").otherwise("pcf_derived")
+    low, high = F.when(fits, F.when(back, F.lit(floor)).otherwise(F.col("own_lo"))), F.when(fits, F.when(back, F.col("cap")).otherwise(F.col("own_hi")))
+    return d.select("gene", "d_max", "cap", F.col("start").alias("run_start"), F.col("stop").alias("run_stop"), "triggers", source.alias("source"), low.alias("lo"), high.alias("hi"), F.when(fits, size(low, high)).otherwise(0).cast("long").alias("n_grid"))

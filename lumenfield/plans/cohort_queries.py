@@ -162,3 +162,23 @@ def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def low_confidence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ad.universe(spark, sf_dir).withColumn("threshold", F.explode(F.array(F.lit(50), F.lit(70))))
     return co.runs(u, F.col("plddt") < F.col("threshold"), by=["gene", "threshold"])
+
+
+@query(f"WITH {EVALS} SELECT record_id, residue_index, clinical_significance, significance_class, review_status, star_level, transcript, hgvs_p, exclusion_reason, exclusion_detail FROM evals2 WHERE NOT eligible")
+def stratum_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.strata(*_evals(spark, sf_dir))["excluded"]
+
+
+@query(f"""WITH {EVALS}, lv AS (SELECT residue_index, list(coalesce(star_level::VARCHAR, 'NA') ORDER BY significance_class <> 'PLP', record_id) AS lv FROM evals WHERE eligible GROUP BY 1)
+SELECT residue_index, aa_ref, class, n_records_plp, n_records_blb, array_to_string(record_ids, ';') AS record_ids, array_to_string(lv, ';') AS star_levels, max_star, class <> 'CONFLICT' AS eligible_primary FROM residues2 JOIN lv USING (residue_index)""")
+def stratum_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evals = co.evaluated(ad.raw_records(spark, sf_dir), ad.universe(spark, sf_dir))
+    r = co.strata(evals, co.collapsed(evals))["residues"]
+    return r.withColumns({c: F.array_join(c, ";") for c in ("record_ids", "star_levels")})
+
+
+@query(f"WITH {EVALS}, ids AS (SELECT residue_index, string_agg(record_id, ';' ORDER BY record_id) FILTER (significance_class = 'PLP') AS ids_plp, string_agg(record_id, ';' ORDER BY record_id) FILTER (significance_class = 'BLB') AS ids_blb FROM evals WHERE eligible GROUP BY 1) SELECT residue_index, aa_ref, n_records_plp, n_records_blb, ids_plp, ids_blb, max_star, 'residue_class_conflict' AS exclusion_reason FROM residues2 JOIN ids USING (residue_index) WHERE class = 'CONFLICT'")
+def stratum_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evals = co.evaluated(ad.raw_records(spark, sf_dir), ad.universe(spark, sf_dir))
+    r = co.strata(evals, co.collapsed(evals))["conflicts"]
+    return r.withColumns({c: F.array_join(c, ";") for c in ("ids_plp", "ids_blb")})

@@ -197,3 +197,42 @@ def seed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spearman_size_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = nu.exact_tails(*sets(spark, sf_dir), R).withColumn("p", F.round("p", 9))
     return st.spearman(t, "n_u", "p", ["gene"]).select("gene", F.round("rho", 5).alias("rho"))
+
+
+NULLS = f"""{DRAWS}, vol AS (SELECT (max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)) AS volume FROM universe), grid AS (SELECT unnest(range(1, 31))::DOUBLE AS r),
+pts AS (SELECT b, residue_index, x, y, z FROM draws JOIN universe USING (residue_index) UNION ALL SELECT 0, residue_index, x, y, z FROM cohort WHERE class = 'PLP'),
+prs AS (SELECT p.b, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS d FROM pts p JOIN pts q ON p.b = q.b AND p.residue_index < q.residue_index),
+cnt AS (SELECT b, r, count(*) FILTER (d <= r) AS cum, count(*) FILTER (d > r - 0.5 AND d <= r + 0.5) AS shell FROM prs, grid GROUP BY ALL),
+cb AS (SELECT b, r, 2 * cum / m_good / (m_good / volume) AS k, cbrt(3 * (2 * cum / m_good / (m_good / volume)) / (4 * pi())) AS l, 2 * shell / m_good / (m_good / volume * 4 * pi() * r ** 2) AS g FROM cnt, tot, vol),
+ev AS (SELECT r, avg(k) AS k_mean, stddev_samp(k) AS k_sd, quantile_cont(k, 0.025) AS k_lo, quantile_cont(k, 0.975) AS k_hi, avg(g) AS g_mean, stddev_samp(g) AS g_sd, quantile_cont(g, 0.95) AS g_p95 FROM cb WHERE b > 0 GROUP BY 1),
+nc AS (SELECT r, o.k, o.g, k_mean, k_sd, k_lo, k_hi, g_p95, CASE WHEN k_sd > 0 THEN (o.k - k_mean) / k_sd ELSE 0 END AS k_z, CASE WHEN g_sd > 0 THEN (o.g - g_mean) / g_sd ELSE 0 END AS g_z FROM cb o JOIN ev USING (r) WHERE b = 0)"""
+
+
+def _null_curves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    u, c = sets(spark, sf_dir)
+    p = c.where("class = 'PLP'")
+    drawn = nu.draws(u, p.groupBy("gene").agg(F.count(F.lit(1)).alias("n_draw")), SEED, B).cache()
+    return u, p, drawn, sp.null_curves(p, u, drawn, GRID, B)
+
+
+@query(f"WITH {NULLS} SELECT r, round(k_lo, 3) AS k_lo, round(k_hi, 3) AS k_hi, round(k_mean, 3) AS k_mean, round(g_p95, 5) AS g_p95, round(k_z, 4) AS k_z, round(g_z, 4) AS g_z FROM nc")
+def null_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _null_curves(spark, sf_dir)[3]
+    return n.select("gene", "r", *(F.round(c, 3).alias(c) for c in ("k_lo", "k_hi", "k_mean")), F.round("g_p95", 5).alias("g_p95"), *(F.round(c, 4).alias(c) for c in ("k_z", "g_z")))
+
+
+@query(f"WITH {NULLS}, tb AS (SELECT b, max(abs(CASE WHEN k_sd > 0 THEN (k - k_mean) / k_sd ELSE 0 END)) AS t FROM cb JOIN (SELECT r, k_mean, k_sd FROM ev) USING (r) GROUP BY 1) SELECT round((SELECT t FROM tb WHERE b = 0), 4) AS t_obs, round(((SELECT count(*) FROM tb WHERE b > 0 AND t >= (SELECT t FROM tb WHERE b = 0)) + 1) / ({B} + 1), 6) AS p_global")
+def global_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, p, drawn, curves = _null_curves(spark, sf_dir)
+    return sp.global_test(p, u, drawn, curves.cache(), GRID, B).select("gene", F.round("t_obs", 4).alias("t_obs"), F.round("p_global", 6).alias("p_global"))
+
+
+@query(f"""WITH {NULLS}, e AS (SELECT r, r - row_number() OVER (ORDER BY r) AS i FROM nc WHERE g > 1 AND g > g_p95), q AS (SELECT min(r) AS a, max(r) AS z, count(*) AS n FROM e GROUP BY i ORDER BY n DESC, a LIMIT 1),
+dm AS (SELECT least(25.0::DOUBLE, max(d) / 4) AS cap FROM near), w AS (SELECT cap, a, z, greatest(5.0::DOUBLE, a - 1) AS lo, least(cap, z + 1) AS hi FROM dm LEFT JOIN q ON true),
+t AS (SELECT *, list_filter([CASE WHEN a IS NULL THEN 'FT-1' END, CASE WHEN z - a < 2 THEN 'FT-2' END, CASE WHEN floor(round((hi - lo) / 0.5::DOUBLE, 9)) + 1 < 5 THEN 'FT-3' END, CASE WHEN (SELECT m_good FROM tot) < 10 THEN 'FT-4' END], lambda x: x IS NOT NULL) AS fired FROM w)
+SELECT round(cap, 6) AS cap, a AS run_start, z AS run_stop, array_to_string(fired, ';') AS triggers, CASE WHEN len(fired) > 0 THEN 'fallback_envelope' ELSE 'pcf_derived' END AS source, CASE WHEN len(fired) > 0 THEN 5.0 ELSE lo END AS lo, round(CASE WHEN len(fired) > 0 THEN cap ELSE hi END, 6) AS hi,
+  (floor(round((CASE WHEN len(fired) > 0 THEN cap ELSE hi END - CASE WHEN len(fired) > 0 THEN 5.0::DOUBLE ELSE lo END) / 0.5::DOUBLE, 9)) + 1)::BIGINT AS n_grid FROM t""")
+def search_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, p, _, curves = _null_curves(spark, sf_dir)
+    d = sp.radius_domain(curves.cache(), p, u)
+    return d.select("gene", F.round("cap", 6).alias("cap"), "run_start", "run_stop", F.array_join("triggers", ";").alias("triggers"), "source", "lo", F.round("hi", 6).alias("hi"), "n_grid")

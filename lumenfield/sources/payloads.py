@@ -9,7 +9,6 @@ ENTRY = """primaryAccession string, sequence struct<value: string, length: int>,
 comments array<struct<commentType: string, texts: array<struct<value: string>>>>,
 features array<struct<type: string, description: string, location: struct<start: struct<value: int>, `end`: struct<value: int>>>>"""
 PREDICTIONS = "array<struct<entryId: string, uniprotAccession: string, latestVersion: int, cifUrl: string>>"
-OLIGOMERS = {"monomer": "monomer", "homodimer": "homo_oligomer", "homotrimer": "homo_oligomer", "homotetramer": "homo_oligomer", "heterodimer": "hetero_oligomer", "heterotrimer": "hetero_oligomer", "heterotetramer": "hetero_oligomer"}
 
 
 def entries(df: DataFrame, payload: str = "value") -> DataFrame:
@@ -20,11 +19,47 @@ def entries(df: DataFrame, payload: str = "value") -> DataFrame:
     return e.select(F.col("e.primaryAccession").alias("accession"), F.col("e.sequence.value").alias("sequence"), subunit.alias("subunit"), oligomer(subunit).alias("oligomer"), F.col("e.features").alias("features"))
 
 
+#: Words of an assembly are one of these, with or without a hyphen, before one of those and "mer".
+ASSEMBLY = ["homo", "hetero"]
+SIZES = ["di", "tri", "tetra", "penta", "hexa", "hepta", "octa", "nona", "deca", "dodeca", "oligo", "multi"]
+
+
 def oligomer(text: Column) -> Column:
-    """The state that a subunit text names first; without a text, unknown."""
-    word = F.regexp_extract(F.lower(text), r"\b(" + "|".join(OLIGOMERS) + r")s?\b", 1)
-    known = F.create_map(*(F.lit(x) for kv in OLIGOMERS.items() for x in kv))
-    return F.coalesce(F.element_at(known, F.when(word != "", word)), F.lit("unknown"))
+    """oligomeric where a subunit text names an assembly, monomer where it says anything else, unknown where there is none."""
+    word = F.lower(text).rlike(rf"\b({'|'.join(ASSEMBLY)})-?({'|'.join(SIZES)})mer")
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "unknown").when(word, "oligomeric").otherwise("monomer")
+
+
+def assembly_permitted(entry: DataFrame, allow_monomer: bool) -> DataFrame:
+    """entry with permitted and intra_subunit_only: an oligomer on a model of one chain needs leave."""
+    bound = F.col("oligomer") == "oligomeric"
+    return entry.withColumn("permitted", ~bound | F.lit(allow_monomer)).withColumn("intra_subunit_only", bound & F.lit(allow_monomer))
+
+
+def single_entry(df: DataFrame, by: str, payload: str = "value") -> DataFrame:
+    """(by, n_results, accession) of search payloads: the accession only where there is exactly one result; others have to be decided by
+    someone."""
+    found = F.from_json(F.col(payload), "results array<struct<primaryAccession: string>>")["results"]
+    n = F.coalesce(F.size(F.when(found.isNotNull(), found)), F.lit(0))
+    return df.select(by, F.greatest(n, F.lit(0)).alias("n_results"), F.when(n == 1, found[0]["primaryAccession"]).alias("accession"))
+
+
+REFERENCES = "uniProtKBCrossReferences array<struct<database: string, id: string, properties: array<struct<key: string, value: string>>>>"
+
+
+def transcripts(df: DataFrame, payload: str = "value") -> DataFrame:
+    """(accession, transcript, refseq, source) of entries: the selected pair where it is named, else the last of the sorted nucleotide
+    accessions, or of the protein accessions if no reference has one; an entry without any has nulls and the source none."""
+    e = df.select(F.from_json(F.col(payload), f"primaryAccession string, {REFERENCES}").alias("e")).select(F.col("e.primaryAccession").alias("accession"), F.coalesce("e.uniProtKBCrossReferences", F.array().cast(REFERENCES.split(" ", 1)[1])).alias("refs"))
+    of = lambda *names: F.filter("refs", lambda r: F.upper(r["database"]).isin(list(names)))
+    prop = lambda r, key: F.get(F.filter(r["properties"], lambda p: p["key"] == key), F.lit(0))["value"]
+    e = e.select("accession", F.get(of("MANE-SELECT", "MANE_SELECT"), F.lit(0)).alias("mane"), of("REFSEQ").alias("refseq"))
+    nt = F.array_sort(F.filter(F.transform("refseq", lambda r: prop(r, "NucleotideSequenceId")), lambda x: x.isNotNull()))
+    protein = F.array_sort(F.transform("refseq", lambda r: r["id"]))
+    has, some = F.col("mane").isNotNull(), F.size("refseq") > 0
+    last = lambda a: F.get(a, F.size(a) - 1)
+    source = F.when(has, "selected_pair").when(some & (F.size(nt) > 0), "last_nucleotide").when(some, "last_protein").otherwise("none")
+    return e.select("accession", F.when(has, F.col("mane.id")).when(F.size(nt) > 0, last(nt)).when(some, last(protein)).alias("transcript"), F.when(has, prop(F.col("mane"), "RefSeqNucleotideId")).when(F.size(nt) > 0, last(nt)).alias("refseq"), source.alias("source"))
 
 
 def intervals(entry: DataFrame, kinds: list[str]) -> DataFrame:

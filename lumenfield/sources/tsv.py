@@ -77,3 +77,24 @@ def read_verbatim(spark: SparkSession, path: str, key: str) -> DataFrame:
     if not df.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError(f"{key} repeats in {path}")
     return df
+
+
+#: Record types of the release that are substitutions or small changes.
+RELEASE_TYPES = ["single nucleotide variant", "snv", "variation", "indel", "missense variant", "deletion", "duplication", "insertion"]
+
+
+def read_release(spark: SparkSession, path: str, genes: list[str] | None = None, assembly: str = "GRCh38") -> DataFrame:
+    """Records of a release (tab-separated text, plain or gzipped, with a header that may begin with #), all cells as text, each with
+    the gene (upper case) that it is of.
+
+    A record of several genes (symbols joined by semicolons) has a row for each one wanted; another assembly than the wanted
+    one goes, a blank one stays; only RELEASE_TYPES stay. Neither significance nor review decide anything here.
+    """
+    raw = spark.read.option("sep", "\t").option("header", True).option("quote", "").option("mode", "PERMISSIVE").csv(path)
+    first = raw.columns[0]
+    df = raw.withColumnRenamed(first, first.lstrip("#").strip())
+    clean = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    same = clean("Assembly").isin("", assembly.strip().upper()) if "Assembly" in df.columns else F.lit(True)
+    kind = F.lower(F.trim(F.coalesce(F.col("Type"), F.lit("")))).isin(RELEASE_TYPES)
+    each = df.where(same & kind).withColumn("gene", F.explode(F.array_distinct(F.transform(F.split(clean("GeneSymbol"), ";"), lambda x: F.trim(x)))))
+    return each.where(F.col("gene").isin([g.strip().upper() for g in genes])) if genes else each.where("gene <> ''")

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -68,7 +69,7 @@ def test_mmcif(spark, tmp_path):
 def test_payloads(spark):
     entry = {"primaryAccession": "P1", "sequence": {"value": "MK", "length": 2}, "comments": [{"commentType": "SUBUNIT", "texts": [{"value": "Homodimer."}]}], "features": [{"type": "Domain", "description": "D", "location": {"start": {"value": 1}, "end": {"value": 2}}}]}
     e = payloads.entries(spark.createDataFrame([(json.dumps(entry),)], "value string"))
-    assert e.first().oligomer == "homo_oligomer" and [tuple(r) for r in payloads.intervals(e, ["Domain"]).collect()] == [("P1", "Domain", "D", 1, 2)]
+    assert e.first().oligomer == "oligomeric" and [tuple(r) for r in payloads.intervals(e, ["Domain"]).collect()] == [("P1", "Domain", "D", 1, 2)]
     p = [{"entryId": f"AF-{a}-F{f}", "uniprotAccession": a, "latestVersion": 4, "cifUrl": "u"} for a, f in (("P1", 2), ("P1", 1), ("P1-2", 1))]
     r = payloads.predictions(spark.createDataFrame([(json.dumps(p),)], "value string"), "P1").first()
     assert r.entryId == "AF-P1-F1" and r.n_fragments == 2
@@ -96,3 +97,78 @@ def test_states_and_configuration():
     for bad in ({"q": 0.1}, {"nonsense": 1}):
         with pytest.raises(ValueError):
             runs.configured(bad)
+
+
+def test_release(spark, tmp_path):
+    rows = [("#VariationID", "Name", "GeneSymbol", "Assembly", "Type"), ("1", "a", "ABC;def", "GRCh38", "single nucleotide variant"), ("2", "b", "abc", "GRCh37", "Indel"), ("3", "c", "DEF", "", "Deletion"), ("4", "d", "ABC", "grch38", "copy number gain"), ("5", "e", "XYZ", "GRCh38", "SNV")]
+    text = "\n".join("\t".join(r) for r in rows) + "\n"
+    (tmp_path / "v.txt").write_text(text)
+    (tmp_path / "v.txt.gz").write_bytes(gzip.compress(text.encode()))
+    for name in ("v.txt", "v.txt.gz"):
+        df = tsv.read_release(spark, str(tmp_path / name), ["abc", "DEF"])
+        assert sorted((r.VariationID, r.gene) for r in df.collect()) == [("1", "ABC"), ("1", "DEF"), ("3", "DEF")]
+    assert tsv.read_release(spark, str(tmp_path / "v.txt")).count() == 4
+
+
+def test_transcripts_and_single_entries(spark):
+    ref = lambda db, i, **p: {"database": db, "id": i, "properties": [{"key": k, "value": x} for k, x in p.items()]}
+    e = {
+        "P1": [ref("RefSeq", "NP_1", NucleotideSequenceId="NM_9.1"), ref("MANE-Select", "ENST1.2", RefSeqNucleotideId="NM_1.4")],
+        "P2": [ref("RefSeq", "NP_1", NucleotideSequenceId="NM_2.1"), ref("RefSeq", "NP_2", NucleotideSequenceId="NM_3.1")],
+        "P3": [ref("RefSeq", "NP_5"), ref("RefSeq", "NP_4")], "P4": [],
+    }
+    df = spark.createDataFrame([(json.dumps({"primaryAccession": k, "uniProtKBCrossReferences": v}),) for k, v in e.items()], "value string")
+    got = {r.accession: (r.transcript, r.refseq, r.source) for r in payloads.transcripts(df).collect()}
+    assert got == {"P1": ("ENST1.2", "NM_1.4", "selected_pair"), "P2": ("NM_3.1", "NM_3.1", "last_nucleotide"), "P3": ("NP_5", None, "last_protein"), "P4": (None, None, "none")}
+    found = spark.createDataFrame([("A", json.dumps({"results": [{"primaryAccession": "P1"}]})), ("B", json.dumps({"results": []})), ("C", json.dumps({"results": [{"primaryAccession": "P1"}, {"primaryAccession": "P2"}]}))], "gene string, value string")
+    assert {r.gene: (r.n_results, r.accession) for r in payloads.single_entry(found, "gene").collect()} == {"A": (1, "P1"), "B": (0, None), "C": (2, None)}
+    text = spark.createDataFrame([("Forms a homo-dimer.",), ("Monomer.",), ("Heterotetramers of two kinds",), ("Binds X",), ("",), (None,)], "t string").withColumn("oligomer", payloads.oligomer(F.col("t")))
+    assert [r.oligomer for r in text.collect()] == ["oligomeric", "monomer", "oligomeric", "monomer", "unknown", "unknown"]
+    assert [r.permitted for r in payloads.assembly_permitted(text, False).collect()] == [False, True, False, True, True, True]
+
+
+def test_numbering_and_checks(spark, tmp_path):
+    seq = lambda e, t: [(e, i + 1, c) for i, c in enumerate(t)]
+    m = spark.createDataFrame(seq("a", "MKVLA") + seq("b", "VLAG") + seq("c", "WWW"), "entry string, position int, aa string")
+    c = spark.createDataFrame(seq("a", "MKVLA") + seq("b", "MKVLAG") + seq("c", "MKV"), "entry string, position int, aa string")
+    got = {r.entry: (r.offset, r.longest, r.n_overlap, r.n_matched, r.identity) for r in structures.numbering(m, c).collect()}
+    assert got == {"a": (0, 5, 5, 5, 1.0), "b": (2, 4, 4, 4, 1.0), "c": (0, 0, 3, 0, 0.0)}
+    (tmp_path / "m.cif").write_text(CIF)
+    res = structures.residues(structures.read_mmcif(spark, str(tmp_path / "m.cif")))
+    entry = res.first().entry
+    canonical = spark.createDataFrame([(entry, 1, "A"), (entry, 2, "G")], "entry string, position int, aa string")
+    one = spark.createDataFrame([(entry, 1)], "entry string, n_fragments int")
+    bad = {r.check for r in structures.checks(res, canonical, one).collect() if not r.passed}
+    assert bad == {"contiguous", "ca_usable"} | ({"identity"} if structures.numbering(res.selectExpr("entry", "residue_index as position", "case when aa3 = 'ALA' then 'A' else 'G' end as aa"), canonical).first().identity < 1 else set())
+    assert structures.unusable(res).first().reason == "ca_not_usable"
+    structures.write_cif(res, str(tmp_path / "out"))
+    back = structures.residues(structures.read_mmcif(spark, str(tmp_path / "out"))).collect()
+    assert [(r.residue_index, r.x_ca, r.plddt) for r in back] == [(1, 1.5, 91.0)]
+
+
+def test_queries_do_not_window_over_everything(spark, small):
+    """No window of a query lacks a partition: such a plan would sort the table in one task."""
+    from lumenfield import queries as q
+
+    for name in ("significant_centers", "radius_choice", "star_cube", "containment_radius"):
+        plan = q.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "CartesianProduct" not in plan and "windowspecdefinition(residue_index" not in plan, name
+
+
+def test_entries_without_the_training_operators(monkeypatch):
+    """The analytics queries stay when lumenfield.llm is gone, with or without corpus_pipeline.py."""
+    import importlib
+
+    import __spark_entry__ as e
+
+    real = importlib.import_module
+
+    def gone(name, *a):
+        if name.startswith("lumenfield.llm") or name == "corpus_pipeline":
+            raise ModuleNotFoundError(name="lumenfield.llm")
+        return real(name, *a)
+
+    monkeypatch.setattr(importlib, "import_module", gone)
+    from lumenfield import queries as q
+
+    assert set(e.queries()) == set(q.QUERIES) and set(e.oracle_sql()) == set(q.ORACLES)
