@@ -156,3 +156,11 @@ def strata(evals: DataFrame, residues: DataFrame) -> dict[str, DataFrame]:
         "excluded": evals.where("not eligible").select(record),
         "conflicts": conflict.select("gene", "residue_index", "aa_ref", "n_records_plp", "n_records_blb", "ids_plp", "ids_blb", "max_star", F.lit("residue_class_conflict").alias("exclusion_reason")),
     }
+
+
+def prescreen(evals: DataFrame, longest: int = 2700) -> DataFrame:
+    """Per gene: distinct residues with a P/LP and with a B/LB missense record, the last residue named, and whether the gene can be run."""
+    at = lambda kind: F.count_distinct(F.when(F.col("significance_class") == kind, F.col("residue_index")))
+    g = evals.groupBy("gene").agg(at("PLP").alias("n_plp"), at("BLB").alias("n_blb"), F.coalesce(F.max("residue_index"), F.lit(0)).alias("last_residue"))
+    kind = F.when(F.col("last_residue") == 0, "no_missense").when(F.col("last_residue") > longest, "too_long").when((F.col("n_plp") > 0) & (F.col("n_blb") > 0), "runnable").otherwise("one_class")
+    return g.withColumn("category", kind)

@@ -121,3 +121,33 @@ def certificate(floors: DataFrame, q: float, b: int | None = None) -> DataFrame:
     p = F.greatest(F.col("p_best"), F.lit(1.0 / (b + 1))) if b else F.col("p_best")
     c1 = F.when(F.col("m") > 0, F.lit(q) / F.col("m"))
     return agg.withColumn("p_floor", p).withColumn("c1", c1).withColumn("ratio", p / c1).withColumn("passes", F.coalesce(p <= c1, F.lit(False))).withColumn("b_required", (F.ceil(1 / c1) - 1).cast("long"))
+
+
+def sparse_evidence(loo: DataFrame, few: int = 3) -> DataFrame:
+    """(gene, scope, ...): how thin the evidence of leave_one_out() is, over all residues and by true and predicted class: residues without
+    neighbours, with fewer than ``few``, with a tied vote, their shares, and the distribution of neighbours. Nothing is left out for it."""
+    scopes = (("overall", F.lit(True)), ("true_PLP", F.col("class") == "PLP"), ("true_BLB", F.col("class") == "BLB"), ("pred_PLP", F.col("predicted") == "PLP"), ("pred_BLB", F.col("predicted") == "BLB"))
+    each = loo.select("gene", "n_l", (F.col("n_l") == 0).alias("zero"), (F.col("n_l") < few).alias("sparse"), ((F.col("n_l") > 0) & (F.abs(F.col("vote") - (F.col("n_pos") - F.col("y")) / (F.col("n") - 1)) <= 1e-12)).alias("tie"), F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in scopes)), lambda x: x.isNotNull())).alias("scope"))
+    share = lambda c: F.avg(F.col(c).cast("int"))
+    return each.groupBy("gene", "scope").agg(F.count(F.lit(1)).alias("n_residues"), *(x for c in ("zero", "sparse", "tie") for x in (F.count_if(c).alias(f"n_{c}"), share(c).alias(f"share_{c}"))), F.min("n_l").alias("lowest"), *(F.percentile("n_l", q).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))), F.max("n_l").alias("highest"), F.avg("n_l").alias("mean"))
+
+
+def resolution(empirical: DataFrame, b: int, q: float = 0.05, safety: int = 10, target: int = 1, ladder: tuple[int, ...] = (10_000, 100_000, 1_000_000, 10_000_000), most: int = 10_000_000) -> DataFrame:
+    """Per gene, of p_emp in the test family: whether b draws are too few to tell (C0: the least p is over q; C1: it is over q / m; C2: fewer
+    centres than needed are at the least p; C3: one at the least p isn't rejected), and the b that would do. Only reported: it changes neither b nor any test."""
+    fam = st.benjamini_hochberg(empirical.where("in_family"), p="p_emp", q=q)
+    least = 1.0 / (b + 1)
+    at = F.abs(F.col("p_emp") - least) <= 1e-15
+    g = fam.groupBy("gene").agg(F.count(F.lit(1)).alias("m"), F.count_if(at).alias("n_floor"), F.count_if(at & ~F.col("significant")).alias("n_lost"))
+    r = least * F.col("m") / q
+    need = (F.ceil(safety * F.col("m") / (target * q)) - 1).cast("long")
+    step = F.array_min(F.filter(F.array(*(F.lit(x) for x in ladder)), lambda x: x >= F.col("b_required")))
+    g = g.withColumns({"c0": F.lit(least > q), "c1": r > 1, "c2": (F.col("n_floor") > 0) & (F.col("n_floor") < r), "c3": F.col("n_lost") > 0, "b_required": need})
+    return g.withColumn("limited", F.col("c0") | F.col("c1") | F.col("c2") | F.col("c3")).withColumn("b_recommended", F.when(F.col("b_required") <= most, step))
+
+
+def label_floors(labelled: DataFrame, occupied: DataFrame) -> DataFrame:
+    """(gene, n_l, p_floor): the least p that shuffled labels allow a sphere of n_l labelled residues, for each n_l that occurs."""
+    size = labelled.groupBy("gene").agg(F.count(F.lit(1)).cast("int").alias("m_all"), F.count_if(F.col("class") == "PLP").cast("int").alias("n_plp"))
+    o = occupied.where("n_l > 0").select("gene", F.col("n_l").cast("int").alias("n_l")).distinct().join(size, "gene").join(st.ln_factorials(size), "gene")
+    return o.select("gene", "n_l", st.hypergeometric_tail(F.least("n_l", "n_plp"), F.col("m_all"), F.col("n_plp"), F.col("n_l")).alias("p_floor"))

@@ -99,3 +99,15 @@ def objects(u: DataFrame, labelled: DataFrame, centers: DataFrame, region: DataF
     c = centers.select("gene", "residue_index", F.lit(True).alias("is_center"))
     out = g.join(labelled.select("gene", "residue_index", "class"), ["gene", "residue_index"], "left").join(c, ["gene", "residue_index"], "left")
     return out.fillna(False, ["is_center"])
+
+
+def nesting(objects_: DataFrame, centers: DataFrame, classified: DataFrame) -> DataFrame:
+    """Per gene: centres that aren't among the covered residues, classified residues that aren't, and whether the classified ones are
+    exactly those that objects() marks so; all is well where both counts are 0 and the last is true."""
+    c = objects_.select("gene", "residue_index", F.col("class").isNotNull().alias("flag"), F.lit(True).alias("covered"))
+    one = centers.select("gene", "residue_index", F.lit(True).alias("is_c"))
+    two = classified.select("gene", "residue_index", F.lit(True).alias("is_v"))
+    a = c.join(one, ["gene", "residue_index"], "full_outer").join(two, ["gene", "residue_index"], "full_outer")
+    no = lambda x: F.coalesce(F.col(x), F.lit(False))
+    g = a.groupBy("gene").agg(F.count_if(no("is_c") & ~no("covered")).alias("centers_outside"), F.count_if(no("is_v") & ~no("covered")).alias("classified_outside"), F.every(no("is_v") == no("flag")).alias("flags_agree"))
+    return g.withColumn("nested", (F.col("centers_outside") == 0) & (F.col("classified_outside") == 0) & F.col("flags_agree"))

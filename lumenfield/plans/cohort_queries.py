@@ -182,3 +182,8 @@ def stratum_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     evals = co.evaluated(ad.raw_records(spark, sf_dir), ad.universe(spark, sf_dir))
     r = co.strata(evals, co.collapsed(evals))["conflicts"]
     return r.withColumns({c: F.array_join(c, ";") for c in ("ids_plp", "ids_blb")})
+
+
+@query(f"WITH {EVALS}, p AS (SELECT count(DISTINCT residue_index) FILTER (significance_class = 'PLP') AS n_plp, count(DISTINCT residue_index) FILTER (significance_class = 'BLB') AS n_blb, coalesce(max(residue_index), 0) AS last_residue FROM evals) SELECT *, CASE WHEN last_residue = 0 THEN 'no_missense' WHEN last_residue > 2700 THEN 'too_long' WHEN n_plp > 0 AND n_blb > 0 THEN 'runnable' ELSE 'one_class' END AS category FROM p")
+def gene_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.prescreen(co.evaluated(ad.raw_records(spark, sf_dir), ad.universe(spark, sf_dir)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import nulls as nu
 from ..operators import regions as rg
 from ..operators import selection as se
+from ..operators import spatial as sp
 from ..queries import query
 from ..sources.adapter import COHORT_SQL
 from .spatial_queries import BH, R, sets
@@ -155,3 +156,11 @@ def hotspot_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def three_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = rg.objects(*_regions(spark, sf_dir), R)
     return o.select("gene", "residue_index", F.array_join(F.transform("regions", lambda x: x.cast("string")), ";").alias("regions"), "n_covering", "class", "is_center")
+
+
+@query(f"WITH RECURSIVE {REGIONS} SELECT 0::BIGINT AS centers_outside, 0::BIGINT AS classified_outside, true AS flags_agree, true AS nested FROM (SELECT 1 FROM reg LIMIT 1)")
+def object_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, c, centers, region = _regions(spark, sf_dir)
+    centers = centers.cache()
+    covered = sp.covered(c, centers, R).select("gene", "residue_index")
+    return rg.nesting(rg.objects(u, c, centers, region, R), centers, covered)

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotation as an
+from ..operators import cohort as co
 from ..operators import footprint as fp
+from ..operators import regions as rg
 from ..operators import spatial as sp
 from ..queries import query
 from ..sources import adapter as ad
@@ -305,3 +307,11 @@ def label_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ad.universe(spark, sf_dir)
     s = an.shuffled_cohesion(u.select("gene", "residue_index", "label"), sp.pairs(u), "posthoc", SHUFFLES)
     return s.select("gene", *(F.round(c, 6).alias(c) for c in ("observed", "null_mean", "null_sd", "p")))
+
+
+@query(f"WITH RECURSIVE {REGIONS}, ob AS (SELECT DISTINCT region, point AS residue_index FROM hit JOIN reg ON hit.center = reg.residue_index), k AS (SELECT region, CASE WHEN plddt < 50 THEN 'very_low' WHEN plddt < 70 THEN 'low' WHEN plddt < 90 THEN 'confident' ELSE 'very_high' END AS band, count(*) AS n FROM ob JOIN universe USING (residue_index) GROUP BY ALL) SELECT region, string_agg(concat(band, '=', n), ';' ORDER BY band) AS composition FROM k GROUP BY 1")
+def region_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, c, centers, region = _regions(spark, sf_dir)
+    o = rg.objects(u, c, centers, region, R).select("gene", "residue_index", F.explode("regions").alias("region"))
+    banded = u.select("gene", "residue_index", co.band(F.col("plddt"), [50, 70, 90], ["very_low", "low", "confident", "very_high"]).alias("band"))
+    return an.composition(o.join(banded, ["gene", "residue_index"]), ["gene", "region"], "band")

@@ -236,3 +236,26 @@ def search_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, p, _, curves = _null_curves(spark, sf_dir)
     d = sp.radius_domain(curves.cache(), p, u)
     return d.select("gene", F.round("cap", 6).alias("cap"), "run_start", "run_stop", F.array_join("triggers", ";").alias("triggers"), "source", "lo", F.round("hi", 6).alias("hi"), "n_grid")
+
+
+_SCOPES = {"overall": "true", "true_PLP": "class = 'PLP'", "true_BLB": "class = 'BLB'", "pred_PLP": "predicted = 'PLP'", "pred_BLB": "predicted = 'BLB'"}
+_SCOPE = lambda k, c: f"SELECT '{k}' AS scope, count(*) AS n_residues, count(*) FILTER (n_l = 0) AS n_zero, count(*) FILTER (n_l < 3) AS n_sparse, count(*) FILTER (n_l > 0 AND abs(vote - prior) <= 1e-12::DOUBLE) AS n_tie, round(avg((n_l < 3)::INT), 6) AS share_sparse, min(n_l) AS lowest, round(quantile_cont(n_l, 0.5), 6) AS median, max(n_l) AS highest, round(avg(n_l), 6) AS mean FROM pr WHERE {c} HAVING count(*) > 0"
+
+
+@query(f"WITH {LOO} {' UNION ALL '.join(_SCOPE(k, c) for k, c in _SCOPES.items())}")
+def loo_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = nu.sparse_evidence(nu.leave_one_out(sets(spark, sf_dir)[1], R))
+    return s.select("gene", "scope", "n_residues", "n_zero", "n_sparse", "n_tie", F.round("share_sparse", 6).alias("share_sparse"), "lowest", F.round("median", 6).alias("median"), "highest", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH {EMPIRICAL}, fm AS (SELECT p_emp, row_number() OVER (ORDER BY p_emp) AS k, count(*) OVER () AS m FROM em WHERE n_l > 0 AND null_sd > 0), bh AS (SELECT *, coalesce(p_emp <= max(CASE WHEN p_emp <= k * 0.05::DOUBLE / m THEN p_emp END) OVER (), false) AS sig FROM fm),
+a AS (SELECT count(*) AS m, count(*) FILTER (abs(p_emp - 1.0::DOUBLE / {B + 1}) <= 1e-15::DOUBLE) AS n_floor, count(*) FILTER (abs(p_emp - 1.0::DOUBLE / {B + 1}) <= 1e-15::DOUBLE AND NOT sig) AS n_lost FROM bh)
+SELECT m, n_floor, m / {B + 1}.0 / 0.05 > 1 AS c1, n_floor > 0 AND n_floor < m / {B + 1}.0 / 0.05 AS c2, n_lost > 0 AS c3, (ceil(10 * m / 0.05::DOUBLE) - 1)::BIGINT AS b_required FROM a""")
+def resolution_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nu.resolution(nu.positional_null(*sets(spark, sf_dir), R, SEED, B), B).select("gene", "m", "n_floor", "c1", "c2", "c3", "b_required")
+
+
+@query(f"WITH {C}, nn AS (SELECT (SELECT count(*) FROM cohort) AS n_all, (SELECT m_good FROM tot) AS np), l AS (SELECT DISTINCT n_l::INTEGER AS n_l FROM occ WHERE n_l > 0) SELECT n_l, round(CASE WHEN n_l <= np THEN exp({_LC('np', 'n_l')} - {_LC('n_all', 'n_l')}) ELSE exp({_LC('(n_all - np)', '(n_l - np)')} - {_LC('n_all', 'n_l')}) END, 8) AS p_floor FROM l, nn")
+def label_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, c = sets(spark, sf_dir)
+    return nu.label_floors(c, sp.occupancy(u, c, R)).select("gene", "n_l", F.round("p_floor", 8).alias("p_floor"))

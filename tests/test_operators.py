@@ -253,3 +253,35 @@ def test_exact_label_moments_against_draws(spark):
     near = sp.range_join(u, lab, 6.0).withColumn("radius", F.lit(6.0))
     exact, drawn = nu.label_moments(near, lab).first(), nu.label_null(u, lab, 6.0, "s", 3000).first()
     assert abs(exact.t_obs - drawn.t_obs) < 1e-9 and abs(exact.t_mean - drawn.t_mean) < 0.1 * exact.t_sd and abs(exact.t_sd / drawn.t_sd - 1) < 0.06
+
+
+def test_spanning_edges_against_kruskal(spark):
+    p = points(spark, 30, seed=9)
+    rows = p.collect()
+    edges = sorted((math.dist((a.x, a.y, a.z), (b.x, b.y, b.z)), a.residue_index, b.residue_index) for a in rows for b in rows if a.residue_index < b.residue_index)
+    root = {r.residue_index: r.residue_index for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = []
+    for d, a, b in edges:
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.append(d)
+    assert np.allclose(sorted(r.d for r in fp.spanning_edges(p).collect()), want)
+
+
+def test_tiers_and_compositions(spark):
+    rows = spark.createDataFrame([("A", 2.0, 0.95, False, 0.2), ("B", 1.2, 0.95, False, 0.2), ("C", 1.2, 0.5, False, 0.2), ("D", 1.0, None, True, 0.4)], "gene string, fold_enrichment double, jaccard_median double, binding_is_outlier boolean, coverage double")
+    assert {r.gene: (r.tier, r.regime) for r in an.graded(rows).collect()} == {"A": ("A", "works"), "B": ("B", "works"), "C": ("C", "works"), "D": ("D", "works_with_caveat")}
+    m = spark.createDataFrame([("r1", "helix"), ("r1", "coil"), ("r1", "helix"), ("r1", None), ("r2", None)], "g string, kind string")
+    assert {r.g: r.composition for r in an.composition(m, ["g"], "kind").collect()} == {"r1": "coil=1;helix=2", "r2": "NA"}
+    residues = spark.createDataFrame([("G", 5, ["1", "2"]), ("G", 6, ["9"])], "gene string, residue_index int, record_ids array<string>")
+    release = spark.createDataFrame([("G", "1", "", "7", "not provided|Disease A", "RCV1|"), ("G", "2", "X", "8", "Disease B", "")], "gene string, VariationID string, Chromosome string, PositionVCF string, PhenotypeList string, RCVaccession string")
+    assert [(r.residue_index, r.VariationID, r.PositionVCF) for r in an.genomic_positions(residues, release).collect()] == [(5, "2", "8")]
+    assert {(r.disease, r.reference) for r in an.diseases(residues, release).collect()} == {("Disease A", "RCV1"), ("Disease B", "NA")}
+    have, gaps = an.with_gaps(residues.select("gene", "residue_index"), spark.createDataFrame([("G", 5, 1.5)], "gene string, residue_index int, score double"), ["gene", "residue_index"], "not covered")
+    assert have.first().score == 1.5 and [(r.residue_index, r.reason) for r in gaps.collect()] == [(6, "not covered")]
