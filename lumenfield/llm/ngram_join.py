@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import mixed, partitions_for, stored, text_runs, trim, with_arrow
+from .common import free_name, mixed, partitions_for, stored, text_runs, trim, with_arrow
 from .components import connected, with_least
 
 WIDTH = 5
@@ -418,9 +418,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     by = named.groupBy(key).agg(F.count_if("names").alias("yes"), F.min(F.coalesce("cls", F.lit(0))).alias("low"), F.max(F.coalesce("cls", F.lit(0))).alias("high"))
     once = keyed.join(by.where("yes > 0 and low = high").select(key), key, "left_semi").dropDuplicates([key])
     several = keyed.join(by.where("yes > 0 and low <> high").select(key), key, "left_semi")
-    several = with_arrow(several, [text], "_set", "long", lambda: _class_column).withColumn("_set", F.coalesce("_set", F.lit(0)))
-    own = named.where("names").groupBy(F.col(key).alias("_key"), "comp").agg(F.min(F.coalesce("cls", F.lit(0))).alias("_own"))
-    several = several.join(own, (F.col(key) == F.col("_key")) & (F.col("_set") == F.col("_own")), "left_semi").dropDuplicates([key, "_set"])
+    own_set = free_name(docs, "_set")
+    several = with_arrow(several, [text], own_set, "long", lambda: _class_column).withColumn(own_set, F.coalesce(own_set, F.lit(0)))
+    own = named.where("names").groupBy(F.col(key).alias("_named_key"), "comp").agg(F.min(F.coalesce("cls", F.lit(0))).alias("_named_set")).drop("comp")
+    several = several.join(own, (F.col(key) == F.col("_named_key")) & (F.col(own_set) == F.col("_named_set")), "left_semi").dropDuplicates([key, own_set])
     return once.select(docs.columns).unionByName(several.select(docs.columns)).unionByName(docs.where(F.col(key).isNull()))
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, text_runs, with_arrow
+from .common import free_name, mixed, text_runs, with_arrow
 
 SPACE = "▁"
 LONG = 64
@@ -336,9 +336,10 @@ def encode_checked(docs: DataFrame, model: str | Vocabulary, text: str = "text",
         coder = Coder(shared.value)
         return lambda column: pa.StructArray.from_arrays(_listed(coder, column.to_pylist(), True), names=["ids", "same"])
 
-    coded = with_arrow(docs, [text], "_coded", "struct<ids:array<int>,same:boolean>", start)
+    both = free_name(docs, "_coded")
+    coded = with_arrow(docs, [text], both, "struct<ids:array<int>,same:boolean>", start)
     kept = [c for c in docs.columns if c not in (out, check)]
-    return coded.select(*kept, F.col("_coded.ids").alias(out), F.col("_coded.same").alias(check))
+    return coded.select(*kept, F.col(both)["ids"].alias(out), F.col(both)["same"].alias(check))
 
 
 def decode(coded: DataFrame, model: str | Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -8,6 +8,7 @@ matches that ``regexp_extract_all`` gives, and the running sum of both lengths g
 patterns never give back what they took (possessive quantifiers), so a text costs time in proportion to its length and
 no recursion, and ``\\G`` or a look-behind keeps a search from starting again inside a run that has failed. Account codes
 are proposed by a look-ahead, so every place where one may begin is tried, and end where the length of their country says.
+Context words are looked for between a span and the match of the same kind before it, at most CONTEXT code points back.
 """
 
 from __future__ import annotations

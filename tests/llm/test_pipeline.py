@@ -52,3 +52,23 @@ def test_run_on_empty_documents(spark, small, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
 
 
+def test_columns_of_any_name_and_odd_rows(spark, small, tmp_path):
+    """Extra columns named like the stages' own, nulls, repeated rows, and two texts under one doc_id."""
+    import shutil
+
+    for t in ("labels", "benchmark"):
+        shutil.copyfile(f"{small}/{t}.parquet", tmp_path / f"{t}.parquet")
+    names = ["score", "_score", "spans", "_m0", "n_hit", "items", "id", "key", "ids", "round_trip", "cls", "_cls", "_set", "often", "rank"]
+    raw = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7_000_001, None, "en", None, 0), (7_000_002, "", None, "s", 0), (7_000_003, "one text of its own " * 9, "en", "s", 1), (7_000_003, "another text under that number " * 9, "en", "s", 1), (None, "a text without a number " * 9, "en", "s", 1)], raw.schema)
+    raw.union(raw.limit(5)).union(odd).selectExpr("*", *(f"'{n}' as {n}" for n in names)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in cp.STAGES:
+        before, docs = docs, cp.stored(stage(spark, docs, str(tmp_path)), f"o-{name}")
+        if name != "pieces":
+            assert docs.columns == before.columns and {n for r in docs.select(names).distinct().collect() for n in r} == set(names)
+        if name == "near_duplicates":
+            left = {(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()}
+            kept = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+            assert len(kept) == len(set(kept)) and {k for k in left if k[0] == 7_000_003} == {k for k in kept if k[0] == 7_000_003}
+    assert len(set(docs.columns)) == len(docs.columns) and {"ids", "n_pieces", "round_trip"} <= set(docs.columns)
