@@ -170,7 +170,8 @@ def bottlenecks(v: DataFrame, pairs: DataFrame, h: float) -> DataFrame:
         return pd.DataFrame(rows, columns=["gene", "a", "b", "neck"])
 
     ask = pairs.select(F.col("gene").alias("of"), *(F.col(c).alias(c) for c in ("a", "b", "ax", "ay", "az", "bx", "by", "bz")))
-    return v.groupBy("gene").cogroup(ask.groupBy("of")).applyInPandas(kernel, "gene string, a int, b int, neck double")
+    found = v.groupBy("gene").cogroup(ask.groupBy("of")).applyInPandas(kernel, "gene string, a int, b int, neck double")
+    return found.withColumn("neck", F.coalesce("neck", F.lit(float("nan"))))  # pandas hands NaN over as null
 
 
 def seed_voxels(centers: DataFrame, h: float) -> DataFrame:

@@ -69,6 +69,7 @@ def analyse(u: DataFrame, cohort: DataFrame, overlay: dict | None = None, radii:
     """From a universe and a labelled cohort to regions and footprint, of every gene in them in one go, each at its own radius. The state is
     of all genes together; facts hold a radius for each gene."""
     c = configured(overlay)
+    u, cohort = u.cache(), cohort.cache()  # every stage reads them
     n = cohort.groupBy("gene").agg(F.count_if(F.col("class") == "PLP").alias("p"), F.count_if(F.col("class") == "BLB").alias("b")).where("p > 0 and b > 0")
     if n.isEmpty():
         return Result(terminal_state(error=True), facts={"cause": "no cohort with both classes"})
