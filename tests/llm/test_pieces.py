@@ -80,7 +80,7 @@ def test_operator_on_odd_rows(docs):
     assert got[2].ids == got[3].ids and got[4].decoded == " x" and got[5].decoded == rows[5]
     assert pieces.encode(df.limit(0), PIECES).count() == 0
     both = {r.doc_id: r for r in pieces.encode_checked(df, PIECES).collect()}
-    assert {i: r.ids for i, r in both.items()} == {i: r.ids for i, r in got.items()} and all(r.round_trip for r in both.values())
+    assert {i: r.ids for i, r in both.items()} == {i: r.ids for i, r in got.items()} and {i for i, r in both.items() if not r.round_trip} == {4}  # its U+2581 became a space
     assert pieces.encode_checked(df.limit(0), PIECES).count() == 0
 
 
