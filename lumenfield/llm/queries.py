@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CRC_TABLE_SQL, crc_sql, crc_text, shared_path, table
+from .conversations import repair_report
 from .decontaminate import decontaminate, items_digest
 from .html_text import extract_text
 from .language_model import score_texts
@@ -18,6 +19,8 @@ from .pieces import encode_checked
 from .pii import count_kind, find_spans, span_text
 from .quality import score, train
 from .sharding import balanced_tree, grown, inner_nodes, shard_rows
+from .spelling import group_variants, word_counts
+from .topk import sparse_rows, top_k
 from .warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +190,112 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS items
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every vector whose id is divisible by 50 with all others."""
+    found = top_k(sparse_rows(table(spark, sf_dir, "embeddings")), F.col("key") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("key").alias("vec_id"), "score")
+
+
+ORACLES["op11_top_k"] = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS i, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.i, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.i <> c.i WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one run in 97 misspelt, with the forms that they are variants of."""
+    counts = word_counts(table(spark, sf_dir, "documents"), damage=97, least=5)
+    return group_variants(counts.where("n >= 3"))
+
+
+ORACLES["op12_spelling"] = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+o AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+c AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM o GROUP BY ALL),
+h AS (SELECT r, n, ({crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || r")})::BIGINT AS h FROM c, crc_table),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS x FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.x = b.x AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM d a JOIN w b ON a.x = b.word
+  UNION SELECT b.word, a.word, a.n FROM d a JOIN w b ON a.x = b.word),
+b AS (SELECT word, count(*) AS n_near, min({{'m': -m, 'o': other}}) AS best FROM p GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= 2 * w.n THEN best.o END AS form, CASE WHEN -best.m >= 2 * w.n THEN -best.m END::BIGINT AS form_n FROM w LEFT JOIN b USING (word)),
+t(word, led) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.led WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, e.led AS root, f.n, f.n_near, f.form_n FROM f JOIN t e USING (word) JOIN f l ON l.word = e.led AND l.form IS NULL
+"""
+
+
+def damaged_turns(convs: DataFrame) -> DataFrame:
+    """conversations with faults planted by the CRC-32 of conv_id:turn: turns dropped, emptied, without stops, twice, or of another role."""
+    space = F.lit(" ")
+    fault = F.crc32(F.encode(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space)), "UTF-8")) % 20
+    said = F.coalesce("text", space)
+    rows = convs.withColumn("_fault", fault).where("_fault <> 0").select(
+        "conv_id", "turn",
+        F.when(F.col("_fault") == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.translate(said, ".!?", "")).otherwise(said).alias("text"),
+        F.explode(F.when(F.col("_fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged: their faults and their cheapest repair."""
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_report(convs, damaged_turns(convs))
+
+
+_LAST = "regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1)"
+
+ORACLES["op13_conversations"] = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, (({crc_sql("k")})::BIGINT % 20)::INT AS h FROM c, crc_table),
+d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0)),
+n AS (
+  SELECT *, row_number() OVER w AS i,
+    CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE '?' END AS x,
+    CASE WHEN substr(lag(role) OVER w, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS odd
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+k AS (SELECT *, i > min(i) OVER (PARTITION BY conv_id, role, text) AS seen FROM n),
+g AS (SELECT *, CASE WHEN {_LAST} = '' THEN 'b' WHEN seen THEN 'd' WHEN {_LAST} NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM k),
+run(st, now, runs, ins) AS (VALUES
+  ('-', '-', '', ''), ('s', 's', '', ''), ('u', 'u', '', ''), ('a', 'a', '', ''),
+  ('-', 'u', 'I', 'user:' || chr(10)), ('s', 'u', 'I', 'user:' || chr(10)), ('u', 'a', 'I', 'assistant:' || chr(10)), ('a', 'u', 'I', 'user:' || chr(10)),
+  ('-', 'a', 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), ('s', 'a', 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+  ('u', 'u', 'II', 'assistant:' || chr(10) || 'user:' || chr(10)), ('a', 'a', 'II', 'user:' || chr(10) || 'assistant:' || chr(10))),
+a AS (
+  SELECT g.conv_id, g.i, run.st, now AS nx, 3 * length(runs) + 4 AS price, runs || 'D' AS code, ins AS line FROM g, run
+  UNION ALL SELECT g.conv_id, g.i, run.st, CASE now WHEN 'u' THEN 'a' ELSE 'u' END, 3 * length(runs) + 3 + (CASE fault WHEN 't' THEN 3 ELSE 0 END), runs || 'R', ins || CASE now WHEN 'u' THEN 'assistant:' ELSE 'user:' END || text || chr(10) FROM g, run WHERE fault IN ('', 't')
+  UNION ALL SELECT g.conv_id, g.i, run.st, x, 3 * length(runs) + (CASE fault WHEN 't' THEN 3 ELSE 0 END), runs || 'K', ins || role || ':' || text || chr(10) FROM g, run
+  WHERE fault IN ('', 't') AND ((x = 's' AND now = '-') OR (x = 'u' AND now IN ('-', 's', 'a')) OR (x = 'a' AND now = 'u'))),
+z AS (SELECT conv_id, max(i) AS n FROM g GROUP BY 1),
+r AS (
+  SELECT conv_id, 0::BIGINT AS i, '-' AS st, 0 AS cost, '' AS audit, '' AS told FROM z
+  UNION ALL
+  SELECT conv_id, i, st, w.c, w.a, w.t FROM (
+    SELECT r.conv_id, a.i, a.nx AS st, min({{'c': r.cost + a.price, 'a': r.audit || a.code, 't': r.told || a.line}}) AS w
+    FROM r JOIN a ON a.conv_id IS NOT DISTINCT FROM r.conv_id AND a.i = r.i + 1 AND a.st = r.st GROUP BY 1, 2, 3)),
+e AS (
+  SELECT r.conv_id, min({{'c': cost + 3 * length(runs), 'a': audit || runs, 't': told || ins}}) AS w FROM r JOIN z ON r.conv_id IS NOT DISTINCT FROM z.conv_id AND r.i = z.n JOIN run ON run.st = r.st
+  WHERE now IN ('-', 'a') GROUP BY 1),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    sum(CASE WHEN i > 1 THEN odd ELSE 0 END)::BIGINT AS illegal FROM g GROUP BY 1)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.w.c, 0)::BIGINT AS cost, coalesce(e.w.a, '') AS audit, sha256(coalesce(substr(e.w.t, 1, length(e.w.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM q.conv_id
+"""
