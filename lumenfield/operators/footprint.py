@@ -141,8 +141,8 @@ def _depth2(points: np.ndarray) -> np.ndarray:
     return d[at]
 
 
-def bottlenecks(v: DataFrame, pairs: DataFrame, h: float) -> DataFrame:
-    """(gene, a, b, neck): for pairs of centres (gene, a, b, ax..az, bx..bz: their voxels), half the width of the widest way between
+def bottlenecks(v: DataFrame, pairs: DataFrame, h: float, by: tuple[str, ...] = ("gene",)) -> DataFrame:
+    """(by, a, b, neck): for pairs of centres (by, a, b, ax..az, bx..bz: their voxels), half the width of the widest way between
     them inside the footprint; NaN if there is none. The largest depth at which both are still in one component is found by halving."""
 
     def kernel(vox: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
@@ -166,11 +166,13 @@ def bottlenecks(v: DataFrame, pairs: DataFrame, h: float) -> DataFrame:
                             joined = label[a] == label[b]
                         low, high = (mid, high) if joined else (low, mid - 1)
                     neck = float(np.sqrt(levels[low]) * h) if low >= 0 else neck
-                rows.append((r.of, r.a, r.b, neck))
-        return pd.DataFrame(rows, columns=["gene", "a", "b", "neck"])
+                rows.append((*(getattr(r, f"of_{k}") for k in by), r.a, r.b, neck))
+        return pd.DataFrame(rows, columns=[*by, "a", "b", "neck"])
 
-    ask = pairs.select(F.col("gene").alias("of"), *(F.col(c).alias(c) for c in ("a", "b", "ax", "ay", "az", "bx", "by", "bz")))
-    found = v.groupBy("gene").cogroup(ask.groupBy("of")).applyInPandas(kernel, "gene string, a int, b int, neck double")
+    keys = [F.col(k).alias(f"of_{k}") for k in by]
+    ask = pairs.select(*keys, "a", "b", "ax", "ay", "az", "bx", "by", "bz")
+    schema = ", ".join(f"{k} {v.schema[k].dataType.simpleString()}" for k in by) + ", a int, b int, neck double"
+    found = v.groupBy(*by).cogroup(ask.groupBy(*(f"of_{k}" for k in by))).applyInPandas(kernel, schema)
     return found.withColumn("neck", F.coalesce("neck", F.lit(float("nan"))))  # pandas hands NaN over as null
 
 
@@ -200,6 +202,21 @@ def merges(labels: DataFrame) -> DataFrame:
     return g.where(F.size("before") > 1)
 
 
+def merge_necks(centers: DataFrame, labels: DataFrame, v: DataFrame, h: float, share: float = 0.15) -> DataFrame:
+    """(gene, rho, a, b, neck, depth, connection): of each merge, every pair of neighbours among the components that it joins, these in the
+    order of their first centres, which name them. A neck of at least share * rho is natural, a thinner one artificial, one without a way undetermined."""
+    m = merges(labels)
+    pair = F.transform(F.slice("before", 1, F.size("before") - 1), lambda a, i: F.struct(a.cast("int").alias("a"), F.element_at("before", i + 2).cast("int").alias("b")))
+    each = m.select("gene", "rho", F.explode(pair).alias("p")).select("gene", "rho", "p.a", "p.b")
+    seeds = seed_voxels(centers, h)
+    at = lambda c: seeds.select("gene", F.col("residue_index").cast("int").alias(c), *(F.col(f"i{k}").cast("int").alias(f"{c}{k}") for k in "xyz"))
+    asked = each.join(at("a"), ["gene", "a"]).join(at("b"), ["gene", "b"])
+    inside = v.join(asked.select("gene", "rho").distinct(), ["gene", "rho"], "left_semi")
+    depth = share * F.col("rho")
+    kind = F.when(F.isnan("neck"), "undetermined").when(F.col("neck") >= depth, "natural").otherwise("artificial")
+    return bottlenecks(inside, asked, h, ("gene", "rho")).select("gene", "rho", "a", "b", "neck", depth.alias("depth"), kind.alias("connection"))
+
+
 def sweep(u: DataFrame, centers: DataFrame, radii: list[float], h: float) -> DataFrame:
     """A row for each gene and radius rho: voxels, volume, components, share of the largest, coverage of residues, changes since the
     radius before, rate of expansion (slope of log volume; one-sided at the ends), monotonicity, and abrupt transitions (a change of
@@ -275,18 +292,17 @@ def hull_volume(points: np.ndarray) -> float:
 
 
 def convexity(v: DataFrame, h: float, by: tuple[str, ...] = ("gene",)) -> DataFrame:
-    """Per footprint: its volume, that of the convex hull of its voxels' corners, and their ratio. Of each run of voxels along x only
-    the ends go to the kernel: no other voxel can be a corner of the hull."""
+    """Per footprint: its volume, that of the convex hull of its voxels' centres, and their ratio, which may be over 1; both NaN where the
+    centres have no volume. Of each run of voxels along x only the ends go to the kernel: no other voxel can be a corner of the hull."""
     ends = v.groupBy(*by, "iy", "iz").agg(F.min("ix").alias("lo"), F.max("ix").alias("hi"), F.count(F.lit(1)).alias("n"))
     schema = ", ".join(f"{k} {v.schema[k].dataType.simpleString()}" for k in by) + ", volume double, hull double"
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([pdf["lo"], pdf["hi"] + 1])
-        yz = np.tile(pdf[["iy", "iz"]].to_numpy(), (2, 1))
-        corners = np.unique(np.concatenate([np.column_stack([x, yz[:, 0] + j, yz[:, 1] + k]) for j in (0, 1) for k in (0, 1)]), axis=0)
+        yz = pdf[["iy", "iz"]].to_numpy()
+        corners = np.unique(np.concatenate([np.column_stack([pdf[end], yz]) for end in ("lo", "hi")]), axis=0)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "volume": [float(pdf["n"].sum()) * h**3], "hull": [hull_volume(corners.astype(float)) * h**3]})
 
-    return ends.groupBy(*by).applyInPandas(kernel, schema).withColumn("convexity", F.col("volume") / F.col("hull"))
+    return ends.groupBy(*by).applyInPandas(kernel, schema).withColumn("hull", F.coalesce("hull", F.lit(float("nan")))).withColumn("convexity", F.col("volume") / F.col("hull"))
 
 
 def descriptors(v: DataFrame, h: float, by: tuple[str, ...] = ("gene",)) -> DataFrame:

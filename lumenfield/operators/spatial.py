@@ -100,9 +100,9 @@ def longest_run(df: DataFrame, flag: Column, step: float = 1.0) -> DataFrame:
 
 
 def peaks(curve: DataFrame) -> DataFrame:
-    """Local maxima of g: strictly above the point before, at least the point after."""
-    w = Window.partitionBy("gene").orderBy("r")
-    before, after = F.lag("g").over(w), F.lead("g").over(w)
+    """Local maxima of g: strictly above the point before, at least the point after. Beyond either end g counts as minus infinity."""
+    w, low = Window.partitionBy("gene").orderBy("r"), F.lit(float("-inf"))
+    before, after = F.coalesce(F.lag("g").over(w), low), F.coalesce(F.lead("g").over(w), low)
     return curve.withColumn("_b", before).withColumn("_a", after).where("g > _b and g >= _a").drop("_b", "_a")
 
 

@@ -122,16 +122,9 @@ def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merge_necks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half width of the neck between the first two components that a merge joins, at the radius of the merge."""
+    """Every neck that merges made: between neighbours, in the order of their first centres, of the components that one merge joins."""
     _, centers, labels = _labels(spark, sf_dir)
-    m = fp.merges(labels).groupBy("gene").agg(F.min(F.struct("rho", "group", "before")).alias("m")).select("gene", "m.*")
-    seeds = fp.seed_voxels(centers, H)
-    at = lambda c: seeds.select("gene", F.col("residue_index").cast("int").alias(c), *(F.col(f"i{k}").cast("int").alias(f"{c}{k}") for k in "xyz"))
-    pairs = m.select("gene", "rho", F.col("before")[0].cast("int").alias("a"), F.col("before")[1].cast("int").alias("b")).join(at("a"), ["gene", "a"]).join(at("b"), ["gene", "b"])
-    v = fp.sweep_voxels(centers, SWEEP, H).join(pairs.select("gene", "rho"), ["gene", "rho"], "left_semi")
-    necks = fp.bottlenecks(v, pairs, H).join(m.select("gene", "rho"), "gene")
-    kind = F.when(F.isnan("neck"), "undetermined").when(F.col("neck") >= 0.15 * F.col("rho"), "natural").otherwise("artificial")
-    return necks.select("gene", "rho", "a", "b", F.round("neck", 6).alias("neck"), kind.alias("connection"))
+    return fp.merge_necks(centers, labels, fp.sweep_voxels(centers, SWEEP, H), H).select("gene", "rho", "a", "b", F.round("neck", 6).alias("neck"), "connection")
 
 
 @query()
@@ -301,12 +294,15 @@ SHUFFLES = 199
 @query(f"""WITH {C}, real AS (SELECT 0 AS b, residue_index, label FROM universe),
 ord AS (SELECT b, residue_index, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', 'posthoc', b, residue_index)), residue_index) AS n FROM universe, (SELECT unnest(range(1, {SHUFFLES + 1})) AS b)),
 lab AS (SELECT label, row_number() OVER (ORDER BY label, residue_index) AS n FROM universe), every AS (SELECT * FROM real UNION ALL SELECT b, residue_index, label FROM ord JOIN lab USING (n)),
-t AS (SELECT x.b, avg(d) AS t FROM near JOIN every x ON x.residue_index = center JOIN every y ON y.residue_index = point AND y.b = x.b AND y.label = x.label WHERE center < point GROUP BY 1), o AS (SELECT t AS observed FROM t WHERE b = 0)
-SELECT round(observed, 6) AS observed, round((SELECT avg(t) FROM t WHERE b > 0), 6) AS null_mean, round((SELECT stddev_samp(t) FROM t WHERE b > 0), 6) AS null_sd, round(((SELECT count(*) FROM t WHERE b > 0 AND t <= observed) + 1) / ({SHUFFLES} + 1), 6) AS p FROM o""")
+t AS (SELECT x.label, x.b, avg(d) AS t FROM near JOIN every x ON x.residue_index = center JOIN every y ON y.residue_index = point AND y.b = x.b AND y.label = x.label WHERE center < point GROUP BY ALL),
+o AS (SELECT label, t AS observed FROM t WHERE b = 0), nl AS (SELECT o.label, any_value(observed) AS observed, count(*) AS n_valid, avg(t) AS null_mean, stddev_samp(t) AS null_sd, (count(*) FILTER (t <= observed) + 1) / (count(*) + 1) AS p FROM t JOIN o USING (label) WHERE b > 0 GROUP BY 1),
+rk AS (SELECT *, row_number() OVER (ORDER BY p, label) AS k, count(*) OVER () AS m FROM nl)
+SELECT label, n_valid, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q_bh,
+  coalesce(p <= max(CASE WHEN p <= k * 0.05::DOUBLE / m THEN p END) OVER (), false) AS significant FROM rk""")
 def label_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ad.universe(spark, sf_dir)
     s = an.shuffled_cohesion(u.select("gene", "residue_index", "label"), sp.pairs(u), "posthoc", SHUFFLES)
-    return s.select("gene", *(F.round(c, 6).alias(c) for c in ("observed", "null_mean", "null_sd", "p")))
+    return s.select("gene", "label", "n_valid", *(F.round(c, 6).alias(c) for c in ("observed", "null_mean", "null_sd", "p", "q_bh")), "significant")
 
 
 @query(f"WITH RECURSIVE {REGIONS}, ob AS (SELECT DISTINCT region, point AS residue_index FROM hit JOIN reg ON hit.center = reg.residue_index), k AS (SELECT region, CASE WHEN plddt < 50 THEN 'very_low' WHEN plddt < 70 THEN 'low' WHEN plddt < 90 THEN 'confident' ELSE 'very_high' END AS band, count(*) AS n FROM ob JOIN universe USING (residue_index) GROUP BY ALL) SELECT region, string_agg(concat(band, '=', n), ';' ORDER BY band) AS composition FROM k GROUP BY 1")

@@ -103,7 +103,7 @@ def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curves(spark, sf_dir).select("gene", "class", "r", F.round("g", 6).alias("g"))
 
 
-@query(f"WITH {CURVES}, w AS (SELECT r, g, lag(g) OVER (ORDER BY r) AS a, lead(g) OVER (ORDER BY r) AS b FROM cv WHERE class = 'PLP') SELECT r, round(g, 6) AS g FROM w WHERE g > a AND g >= b")
+@query(f"WITH {CURVES}, w AS (SELECT r, g, lag(g) OVER (ORDER BY r) AS a, lead(g) OVER (ORDER BY r) AS b FROM cv WHERE class = 'PLP') SELECT r, round(g, 6) AS g FROM w WHERE (a IS NULL OR g > a) AND (b IS NULL OR g >= b)")
 def pcf_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.peaks(_curves(spark, sf_dir).where("class = 'PLP'")).select("gene", "r", F.round("g", 6).alias("g"))
 

@@ -19,15 +19,17 @@ def entries(df: DataFrame, payload: str = "value") -> DataFrame:
     return e.select(F.col("e.primaryAccession").alias("accession"), F.col("e.sequence.value").alias("sequence"), subunit.alias("subunit"), oligomer(subunit).alias("oligomer"), F.col("e.features").alias("features"))
 
 
-#: Words of an assembly are one of these, with or without a hyphen, before one of those and "mer".
-ASSEMBLY = ["homo", "hetero"]
-SIZES = ["di", "tri", "tetra", "penta", "hexa", "hepta", "octa", "nona", "deca", "dodeca", "oligo", "multi"]
+#: The words by which subunit texts count chains, and the kinds of assembly that they are said of.
+CHAIN_COUNTS = ["dimer", "trimer", "tetramer", "pentamer", "hexamer", "heptamer", "octamer", "nonamer", "decamer", "dodecamer", "oligomer", "multimer"]
+KINDS = ["homo", "hetero"]
 
 
 def oligomer(text: Column) -> Column:
-    """oligomeric where a subunit text names an assembly, monomer where it says anything else, unknown where there is none."""
-    word = F.lower(text).rlike(rf"\b({'|'.join(ASSEMBLY)})-?({'|'.join(SIZES)})mer")
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "unknown").when(word, "oligomeric").otherwise("monomer")
+    """oligomeric where a word of a subunit text is an assembly (a kind and a count, in one word or with a hyphen, also in the plural), monomer
+    where the text says anything else, unknown where there is none. A longer word that begins so, as homodimerization, is none."""
+    words = F.split(F.regexp_replace(F.lower(text), f"(?<![\\p{{L}}\\p{{N}}_])({'|'.join(KINDS)})-", "$1"), "[^\\p{L}\\p{N}_]+")
+    assemblies = F.array(*(F.lit(kind + count + plural) for kind in KINDS for count in CHAIN_COUNTS for plural in ("", "s")))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "unknown").when(F.arrays_overlap(words, assemblies), "oligomeric").otherwise("monomer")
 
 
 def assembly_permitted(entry: DataFrame, allow_monomer: bool) -> DataFrame:

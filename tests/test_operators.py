@@ -159,7 +159,16 @@ def test_hull_volumes(spark):
     sphere = fp.hull_volume(x / np.linalg.norm(x, axis=1, keepdims=True))
     assert 0.9 * 4 / 3 * math.pi < sphere < 4 / 3 * math.pi
     c = fp.convexity(voxel_set(spark, [(x, y, z) for x in range(4) for y in range(3) for z in range(2)]), 0.5).first()
-    assert abs(c.volume - 3.0) < 1e-9 and abs(c.convexity - 1) < 1e-9
+    assert abs(c.volume - 3.0) < 1e-9 and abs(c.hull - 3 * 2 * 1 * 0.125) < 1e-9 and abs(c.convexity - 4) < 1e-9
+    cube = fp.convexity(voxel_set(spark, [(x, y, z) for x in range(3) for y in range(3) for z in range(3)]), 1.0).first()
+    assert abs(cube.convexity - 27 / 8) < 1e-9
+    flat = fp.convexity(voxel_set(spark, [(x, y, 0) for x in range(3) for y in range(3)]), 1.0).first()
+    assert math.isnan(flat.hull) and math.isnan(flat.convexity)
+
+
+def test_peaks_at_both_ends(spark):
+    curve = spark.createDataFrame([("G", float(r), float(g)) for r, g in enumerate([5, 3, 1, 2, 6, 6, 2, 2, 9], 1)], "gene string, r double, g double")
+    assert sorted(r.r for r in sp.peaks(curve).collect()) == [1.0, 5.0, 9.0]
 
 
 def test_sweep_merges_and_groups_against_each_radius(spark):
