@@ -92,33 +92,69 @@ KINDS = (
 SPAN = "array<struct<start:int,rank:int,stop:int,score:double>>"
 
 
+#: Code points of a block of a text; a piece of the text is cut from the blocks that it lies in, and not from the text's start.
+BLOCK = 512
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The running sums, or other joins, of an array: in each round an item takes in the one that lies twice as far back as in the
+    round before. (A fold that appends to a list would copy the list for each item.)"""
+
+    def rounds(v: Column) -> Column:
+        back = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda p: p < F.size(v))
+        return F.aggregate(back, v, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, join(x, F.get(acc, i - p))).otherwise(x)))
+
+    return _with(values, rounds)
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans by start, those that begin at or after the end of the last one kept. Runs of overlapping spans are short (a span
+    is) and are folded each for itself."""
+
+    def cut(v: Column) -> Column:
+        reach, n = _running(F.transform(v, lambda s: s["stop"]), F.greatest), F.size(v)
+        begins = _with(reach, lambda r: F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(v, i)["start"] >= F.get(r, i - 1), F.lit(True))))
+        runs = _with(begins, lambda k: F.transform(k, lambda i, j: F.slice(v, i + 1, F.coalesce(F.get(k, j + 1), n) - i)))
+        kept = lambda run: F.aggregate(run, F.array().cast(SPAN), lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["stop"]), F.concat(acc, F.array(s))).otherwise(acc))
+        return F.flatten(F.transform(runs, kept))
+
+    return _with(spans, lambda v: F.when(F.size(v) > 1, cut(v)).otherwise(v))
+
+
 def _spans(text: Column, matches: Column, rank: int) -> Column:
     kind, none = KINDS[rank], F.array().cast(SPAN)
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece["gap"])
-        stop = start + F.length(piece["m"])
-        near = F.lower(F.right(piece["gap"], F.lit(CONTEXT))).rlike(rf"(?:^|[^a-z])(?:{kind.words})")
-        score = F.lit(kind.score) + F.when(near, kind.more).otherwise(0.0)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), score.alias("score"))
-        good = piece["m"].isNotNull() & kind.valid(piece["m"])
-        good = good if kind.base else good & (score >= MIN_SCORE)
-        if kind.ahead:
-            good = good & (F.size(acc["out"]).eqNullSafe(0) | (start >= F.element_at(acc["out"], -1)["stop"]))
-        return F.struct((start if kind.ahead else stop).alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def found(v: Column) -> Column:
+        gap = lambda i: F.get(v["gaps"], i)
+        own = lambda m: F.lit(0) if kind.ahead else F.length(m)
+        ends = _running(F.transform(v["matches"], lambda m, i: F.length(gap(i)) + own(m)), lambda x, y: x + y)
+
+        def span(m: Column, i: Column, ends: Column) -> Column:
+            start = F.get(ends, i) - (F.lit(1) if kind.ahead else own(m))
+            near = F.lower(F.right(gap(i), F.lit(CONTEXT))).rlike(rf"(?:^|[^a-z])(?:{kind.words})")
+            score = F.lit(kind.score) + F.when(near, kind.more).otherwise(0.0)
+            good = kind.valid(m) if kind.base else kind.valid(m) & (score >= MIN_SCORE)
+            return F.when(good, F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("stop"), score.alias("score")))
+
+        return F.array_compact(_with(ends, lambda e: F.transform(v["matches"], lambda m, i: span(m, i, e)))).cast(SPAN)
 
     # an empty match at the very start would part nothing, so a line end goes before the text
     gaps = F.split(F.concat(F.lit("\n"), text) if kind.ahead else text, kind.pattern, -1)
-    pieces = F.arrays_zip(gaps.alias("gap"), matches.alias("m"))
-    start = F.struct(F.lit(-1 if kind.ahead else 0).alias("at"), none.alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(none)
+    spans = _with(F.struct(gaps.alias("gaps"), matches.alias("matches")), found)
+    return F.when(F.size(matches) > 0, _apart(spans) if kind.ahead else spans).otherwise(none)
 
 
 def find_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """docs with an array of (start, rank in KINDS, stop, score) of every whole text, by start and then rank.
 
     Offsets are in code points, stop is exclusive. A null or empty text has an empty array; rows are neither joined nor
-    moved, so repeated rows and an empty table are nothing special, and other columns are left alone.
+    moved, so repeated rows and an empty table are nothing special, and other columns are left alone. The work grows with the
+    text and its matches, however many these are.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     found, names = docs, [free_name(docs, f"_m{k}") for k in range(len(KINDS))]
@@ -146,10 +182,21 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping ones, replaced by its first kind in square brackets."""
     names = F.array(*(F.lit(f"[{k.name.upper()}]") for k in KINDS))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["rank"] + 1))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """The text from offset a on, before offset b."""
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        at = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+        whole = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        apart = F.concat(F.substring(at(i), a % BLOCK + 1, F.lit(BLOCK)), whole, F.substring(at(j), F.lit(1), b % BLOCK))
+        return F.when(i == j, F.substring(at(i), a % BLOCK + 1, b - a)).otherwise(apart)
+
+    def cut(v: Column) -> Column:
+        """A span counts if it begins where all spans before it have ended, and the text goes on from there."""
+        reach = _running(F.transform(v["spans"], lambda s: s["stop"]), F.greatest)
+        with_label = lambda s, at: F.when(s["start"] >= at, F.concat(between(v["blocks"], at, s["start"]), F.element_at(names, s["rank"] + 1)))
+        pieces = lambda r: F.transform(v["spans"], lambda s, i: with_label(s, F.coalesce(F.get(r, i - 1), F.lit(0))))
+        # no offset is beyond the last block's end, so that ends the text
+        return _with(reach, lambda r: F.concat(F.array_join(pieces(r), ""), between(v["blocks"], F.element_at(r, -1), F.size(v["blocks"]) * BLOCK)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _with(F.struct(blocks.alias("blocks"), spans.alias("spans")), cut)).otherwise(text)

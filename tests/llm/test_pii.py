@@ -1,6 +1,7 @@
 import hashlib
 import re
 import random
+import time
 
 from lumenfield.llm import pii
 from lumenfield.llm.queries import op2_pii
@@ -79,5 +80,31 @@ def test_query_matches_brute_force(spark, small):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k + ":") for w in want) for k in BASE]
 
 
+def test_time_follows_the_matches(docs):
+    """A log of 400,000 addresses as one text, with its masking; every offset is right."""
+    n = 400_000
+    text = "".join(f"{k % 250}.1.2.3 \U0001f600é" for k in range(n))
+    began = time.time()
+    df = pii.find_spans(docs([(1, text)]), out="found")
+    r = df.select(pii.span_text(pii.F.col("found")).alias("s"), pii.masked(pii.F.col("text"), pii.F.col("found")).alias("m")).first()
+    took = time.time() - began
+    assert r.m == "[IP] \U0001f600é" * n
+    assert r.s.split(",") == [f"ip:{m.start()}:{m.end()}" for m in re.finditer("[0-9][0-9.]+", text)]
+    assert took < 60, took  # it was over an hour when lists were copied for each match
+
+
+def test_masking_over_the_borders_of_blocks(docs):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["a@b.cc", "1.2.3.4", "é", "😀 ", " x", "+49 30 1234567", "y" * rng.randint(0, 1300)]) for _ in range(60)) for _ in range(40)]
+    df = pii.find_spans(docs(enumerate(texts)), out="found")
+    for r in df.select("doc_id", "found", pii.masked(pii.F.col("text"), pii.F.col("found")).alias("m")).collect():
+        text, out, at = texts[r.doc_id], "", 0
+        for s in r.found:
+            if s.start >= at:
+                out += text[at : s.start] + f"[{pii.KINDS[s.rank].name.upper()}]"
+            at = max(at, s.stop)
+        assert r.m == out + text[at:]
+
+
 def test_empty_table(docs):
     assert pii.find_spans(docs([(1, "a")]).limit(0), out="f").count() == 0
