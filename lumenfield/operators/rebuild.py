@@ -31,28 +31,53 @@ _FIRST = np.cumsum(_SIZES) - _SIZES
 _TRIANGLES = np.array([t for case in range(256) for t in triangles(case)])
 _CORNERS = np.array([(c & 1, c >> 1 & 1, c >> 2 & 1) for c in range(8)])
 _LOW, _HIGH = np.array(EDGES).T
+_PLACE, _ALONG = _CORNERS[_LOW].astype(float), (_CORNERS[_HIGH] - _CORNERS[_LOW]).astype(float)
 
 
-def area_of(d2: np.ndarray, most: int, rho: float, h: float) -> float:
-    """Area of the surface of a box of squared distances in voxels, of which those up to ``most`` are inside; the box's border is outside."""
-    full = (d2 <= most).view(np.uint8)
-    case = np.zeros(tuple(s - 1 for s in full.shape), np.uint8)
-    for c, (x, y, z) in enumerate(_CORNERS):
-        case |= full[x : x + case.shape[0], y : y + case.shape[1], z : z + case.shape[2]] << np.uint8(c)
-    at = np.flatnonzero((case != 0) & (case != 255))
-    kind = case.ravel()[at]
-    cell = np.column_stack(np.unravel_index(at, case.shape))
-    corner = np.ravel_multi_index(tuple((cell[:, None, :] + _CORNERS[None]).transpose(2, 0, 1)), d2.shape)
-    d = np.sqrt(d2.ravel()[corner].astype(np.float64)) * h
-    a, b = d[:, _LOW], d[:, _HIGH]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.clip(np.nan_to_num((rho - a) / (b - a)), 0, 1)  # edges that aren't cut are not used
-    place = _CORNERS[_LOW][None] + t[:, :, None] * (_CORNERS[_HIGH] - _CORNERS[_LOW])[None]
-    n = _SIZES[kind]
-    row = np.repeat(np.arange(len(at)), n)
-    tri = _TRIANGLES[np.repeat(_FIRST[kind] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    p = place[row[:, None], tri]
-    return float(np.linalg.norm(np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]), axis=1).sum() / 2 * h * h)
+class Surface:
+    """Areas of the surfaces of boxes of one shape, of squared distances in voxels; those up to ``most`` are inside, and the border, two
+    voxels wide, is outside.
+
+    A cell whose corners have the distances that they have in the first box has its area too, and that is looked up.
+    """
+
+    def __init__(self, first: np.ndarray, most: int, rho: float, h: float):
+        self.first, self.most, self.rho, self.h = first.ravel().copy(), most, rho, h
+        self.step = (_CORNERS * [first.shape[1] * first.shape[2], first.shape[2], 1]).sum(axis=1)
+        self.of_first = np.zeros(len(self.first))
+        at, corner = self._cut(self.first)
+        self.of_first[at] = self._areas(self.first[corner])
+
+    def _cut(self, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cells that the surface cuts, by their first corner; their corners), as places in the flat box."""
+        full = (d2 <= self.most).view(np.uint8)
+        n = len(full) - self.step[-1]  # cells over the border's edge have only outer corners
+        case = full[:n].copy()
+        for c in range(1, 8):
+            case |= full[self.step[c] : self.step[c] + n] << np.uint8(c)
+        at = np.flatnonzero((case - np.uint8(1)) < np.uint8(254))
+        return at, at[:, None] + self.step[None]
+
+    def _areas(self, d2: np.ndarray) -> np.ndarray:
+        """The area in each cell, from its corners' squared distances."""
+        kind = ((d2 <= self.most) << np.arange(8)).sum(axis=1)
+        n = _SIZES[kind]
+        row = np.repeat(np.arange(len(d2)), n)
+        edge = _TRIANGLES[np.repeat(_FIRST[kind] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        d = (np.sqrt(d2.astype(np.float64)) * self.h).ravel()
+        a, b = d[8 * row[:, None] + _LOW[edge]], d[8 * row[:, None] + _HIGH[edge]]
+        t = np.clip((self.rho - a) / (b - a), 0, 1)
+        p = _PLACE[edge].transpose(2, 0, 1) + t * _ALONG[edge].transpose(2, 0, 1)
+        u, w = p[:, :, 1] - p[:, :, 0], p[:, :, 2] - p[:, :, 0]
+        cross = [u[(k + 1) % 3] * w[(k + 2) % 3] - u[(k + 2) % 3] * w[(k + 1) % 3] for k in range(3)]
+        return np.bincount(row, np.sqrt(cross[0] ** 2 + cross[1] ** 2 + cross[2] ** 2) / 2 * self.h**2, len(d2))
+
+    def area(self, box: np.ndarray) -> float:
+        d2 = box.ravel()
+        at, corner = self._cut(d2)
+        own = d2[corner]
+        new = (own != self.first[corner]).any(axis=1)
+        return float(self.of_first[at[~new]].sum() + self._areas(own[new]).sum())
 
 
 def _meet(seeds: np.ndarray, reach: float) -> np.ndarray:
@@ -111,18 +136,24 @@ class Footprint:
         self.of = np.flatnonzero(covered)
         p = residues[self.of]
         self.between = np.sqrt(((p[:, None, :] - p[None]) ** 2).sum(axis=2))
-        self.whole = self._built(np.ones(len(centers), bool))
+        every = np.ones(len(centers), bool)
+        self.surface = Surface(self._stamped(every), self.most, rho, h)
+        self.whole = self._built(every)
 
-    def _built(self, left: np.ndarray) -> tuple[int, float, int, np.ndarray]:
-        """(voxels, area, components, covered residues) of the centres left."""
-        if not left.any():
-            return 0, float("nan"), 0, np.zeros(len(self.residues), bool)
+    def _stamped(self, left: np.ndarray) -> np.ndarray:
         box, side = self.box, len(self.ball)
         box.fill(65_535)
         for x, y, z in self.low[left]:
             part = box[x : x + side, y : y + side, z : z + side]
             np.minimum(part, self.ball, out=part)
-        return int(np.count_nonzero(box <= self.most)), area_of(box, self.most, self.rho, self.h), _count_groups(self.meet[np.ix_(left, left)]), self.covers[:, left].any(axis=1)
+        return box
+
+    def _built(self, left: np.ndarray) -> tuple[int, float, int, np.ndarray]:
+        """(voxels, area, components, covered residues) of the centres left."""
+        if not left.any():
+            return 0, float("nan"), 0, np.zeros(len(self.residues), bool)
+        box = self._stamped(left)
+        return int(np.count_nonzero(box <= self.most)), self.surface.area(box), _count_groups(self.meet[np.ix_(left, left)]), self.covers[:, left].any(axis=1)
 
     def _confusion(self, inside: np.ndarray) -> list[int]:
         return [int((inside & (self.kind == 1)).sum()), int((inside & (self.kind == -1)).sum()), int((~inside & (self.kind == -1)).sum()), int((~inside & (self.kind == 1)).sum())]
@@ -160,7 +191,8 @@ def rebuilt(u: DataFrame, labelled: DataFrame, centers: DataFrame, design: DataF
     blocks = design.withColumn("block", F.floor(F.col("iteration") / BLOCK)).groupBy("gene", "block").agg(F.collect_list(F.struct("iteration", "removed")).alias("removals"))
     # a row for each block, with the gene's points: a few hundred thousand bytes of them at most
     tasks = blocks.join(c, "gene").join(near, "gene").join(grid.select("gene", "rho", "h"), "gene")
-    tasks = tasks.repartition("gene", "block")
+    # a number of partitions, as the rows are small and their work isn't: left to itself, the runtime would put them into one
+    tasks = tasks.repartition(4 * int(u.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gene", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
