@@ -71,15 +71,16 @@ def exact_tails(u: DataFrame, labelled: DataFrame, radius: float) -> DataFrame:
     return with_tails(u, labelled, occupancy(u, labelled, radius))
 
 
-def with_tails(u: DataFrame, labelled: DataFrame, occupied: DataFrame) -> DataFrame:
-    """Rows of n_u and n_p (of any radius) with m_all, m_good, expected, p and p_floor."""
-    size = u.groupBy("gene").agg(F.count(F.lit(1)).cast("int").alias("m_all"))
-    good = labelled.groupBy("gene").agg(F.count_if(F.col("class") == "PLP").cast("int").alias("m_good"))
-    o = occupied.join(size, "gene").join(good, "gene")
+def with_tails(u: DataFrame, labelled: DataFrame, occupied: DataFrame, by: tuple[str, ...] = ("gene",)) -> DataFrame:
+    """Rows of n_u and n_p (of any radius) with m_all, m_good, expected, p and p_floor; by: gene and what else parts both tables."""
+    size = u.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("m_all"))
+    good = labelled.groupBy(*by).agg(F.count_if(F.col("class") == "PLP").cast("int").alias("m_good"))
+    o = occupied.join(size, list(by)).join(good, list(by))
     # tails are made once for each distinct (n_u, n_p)
     key = ["gene", "n_u", "n_p", "m_all", "m_good"]
     i = lambda c: F.col(c).cast("int")
-    tails = o.select(*key).distinct().join(st.ln_factorials(size), "gene")
+    most = size.groupBy("gene").agg(F.max("m_all").alias("m_all"))
+    tails = o.select(*key).distinct().join(st.ln_factorials(most), "gene")
     tails = tails.select(*key, st.hypergeometric_tail(i("n_p"), i("m_all"), i("m_good"), i("n_u")).alias("p"), st.hypergeometric_tail(F.least(i("m_good"), i("n_u")), i("m_all"), i("m_good"), i("n_u")).alias("p_floor"))
     return o.join(tails, key).withColumn("expected", F.col("m_good") * F.col("n_u") / F.col("m_all"))
 

@@ -30,4 +30,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from .plans import cohort_queries, decision_queries, footprint_queries, full_queries, rebuild_queries, spatial_queries  # noqa: E402, F401
+from .plans import cohort_queries, decision_queries, footprint_queries, full_queries, rebuild_queries, scenario_queries, spatial_queries  # noqa: E402, F401
