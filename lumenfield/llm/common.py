@@ -72,7 +72,7 @@ def crc_text(col: Column | str) -> Column:
     return F.crc32(F.encode(F.col(col).cast("string") if isinstance(col, str) else col, "UTF-8"))
 
 
-def text_runs(texts: list[str | None], most: int = 2_000_000, rows: int = 500) -> Iterator[list[str | None]]:
+def text_runs(texts: list[str | None], most: int = 1_000_000, rows: int = 500) -> Iterator[list[str | None]]:
     """The texts in runs of at most ``rows``, each ending with the text that brings it to ``most`` characters: a run's
     size follows from the longest text, not from how many there are."""
     held, size = [], 0
@@ -126,5 +126,7 @@ def with_arrow(df: DataFrame, inputs: list[str], out: str, kind: str, start: Cal
             at = dict(zip(b.schema.names, b.columns))
             at[out] = make(*(at[n] for n in inputs))
             yield pa.RecordBatch.from_arrays([at[f.name] for f in schema], names=schema.names)
+        del make
+        trim()  # a worker that waits for its next task keeps nothing of this one
 
     return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored, text_runs
+from .common import stored, text_runs, trim
 
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
@@ -175,6 +175,8 @@ def index_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     keys, ids, tokens, size = [], [], [], 0
         if keys:
             yield segment(keys, ids, tokens)
+        keys, ids, tokens = [], [], []
+        trim()
 
     name = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), _text_id(text).alias("id"), F.col(text).alias("text"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs, with_arrow
+from .common import text_runs, trim, with_arrow
 
 DIM = 1 << 18
 MAX_TRAIN, EPOCHS = 6000, 5
@@ -104,12 +104,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 label, order = (b.column(c).slice(at, len(texts)) for c in (1, 2))
                 yield pa.RecordBatch.from_arrays([label, order, pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["label", "order", "place", "value"])
                 at += len(texts)
+        trim()
 
     def fitted(t: pa.Table) -> pa.Table:
         t = t.sort_by([("order", "ascending"), ("label", "ascending"), ("place", "ascending")])
         rows = [(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32).astype(float), y) for p, v, y in zip(t["place"].to_pylist(), t["value"].to_pylist(), t["label"].to_pylist())]
         w, bias = learn(rows)
-        return pa.table({"n": [len(rows)], "bias": [bias], "weights": [w.astype(np.float32).tobytes()]})
+        n = len(rows)
+        del t, rows
+        trim()
+        return pa.table({"n": [n], "bias": [bias], "weights": [w.astype(np.float32).tobytes()]})
 
     cells = joined.select(text, "_label", "_order").mapInArrow(featured, "label int, order long, place binary, value binary")
     parts = cells.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "n long, bias double, weights binary").collect()
