@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
+from ..functions import subsets as ss
 from ..operators import footprint as fp
 from ..operators import rebuild as rb
 from ..operators import surface as sf
 from ..queries import query
+from ..sources import voxel_store as vs
 from .decision_queries import _regions
 from .footprint_queries import EVIDENCE
 from .spatial_queries import R
@@ -84,3 +86,24 @@ def robustness_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fp.aggregated(rows.withColumns(flags), [*rb.GEOMETRY, *rates])
     family = F.when(F.col("metric").startswith("fp_"), "footprint").when(F.col("metric").startswith("hot_"), "hotspot").otherwise("geometry")
     return a.select("gene", family.alias("family"), "metric", "n_total", "n_valid", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "cv", "q1", "median", "q3", "lowest", "highest")))
+
+
+@query(f"WITH RECURSIVE {CELLS} SELECT ix >> 3 AS bx, iy >> 3 AS by, iz >> 3 AS bz, count(*) AS n FROM vx, bx WHERE d2 <= floor((rho / h) ** 2 + 1e-9::DOUBLE) GROUP BY 1, 2, 3")
+def voxel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each gene's footprint as bit-packed blocks: the voxels that unpacking them gives, by block."""
+    _, _, centers, grid = _footprints(spark, sf_dir)
+    v = vs.unpack(vs.pack(sf.inner(sf.field(centers, grid))))
+    return v.groupBy("gene", *(F.floor(F.col(f"i{c}") / vs.SIDE).alias(f"b{c}") for c in "xyz")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def removal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each removal among all of its size, and whether the place leads back to it."""
+    _, _, centers, _ = _footprints(spark, sf_dir)
+    ids = centers.groupBy("gene").agg(F.array_sort(F.collect_list(F.col("residue_index").cast("int"))).alias("ids")).withColumn("n", F.size("ids"))
+    ids = ids.where(F.col("n") <= ss.MOST).withColumn("table", ss.binomials(F.col("n")))
+    d = fp.removal_design(centers, REMOVALS, DESIGN_SEED).join(ids, "gene")
+    d = d.withColumn("subset", F.transform("removed", lambda r: (F.array_position("ids", r) - 1).cast("int")))
+    d = d.withColumn("place", ss.rank(F.col("subset"), F.col("n"), F.col("table")))
+    back = ss.unrank(F.col("place"), F.col("n"), F.size("subset"), F.col("table"))
+    return d.select("gene", "iteration", F.size("subset").alias("k"), F.col("place").cast("string").alias("place"), back.eqNullSafe(F.col("subset")).alias("leads_back"))
