@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -70,6 +71,71 @@ def test_proximity_query(spark, small):
     assert exact.keys() == near.keys() and any(near.values()) and all(near[k] >= n for k, n in exact.items())
 
 
+def brute_near(texts, items, near=3, slack=3):
+    """Of each text the items that it comes near to, window by window and place by place."""
+    words = [d.words_of(t) for t in texts]
+    common = Counter(w for ws in words for w in ws)
+    windows = {}
+    for i, t in items:
+        own = d.words_of(t)
+        for k in range(max(1, len(own) - 9) if own else 0):
+            windows.setdefault(tuple(own[k : k + 10]), set()).add(str(i))
+    ranked = []
+    for win, ids in windows.items():
+        rank = sorted(range(len(win)), key=lambda o: (common[win[o]], o))[: near + 1]
+        ranked.append((win, rank, min(near, len(win)), ids))
+    out = []
+    for ws in words:
+        places = {}
+        for p, w in enumerate(ws):
+            places.setdefault(w, []).append(p)
+        met = set()
+        for win, rank, need, ids in ranked:
+            spare = len(rank) - need
+            for a in range(spare + 1):
+                for p in places.get(win[rank[a]], ()):
+                    start = p - rank[a]
+                    missed = a + sum(not any(abs(q - start - o) <= slack for q in places.get(win[o], ())) for o in rank[a + 1 :])
+                    if missed <= spare:
+                        met |= ids
+        out.append(sorted(met))
+    return out
+
+
+@pytest.mark.parametrize("segment", [40, 1_000_000])
+def test_proximity_against_brute_force(spark, docs, monkeypatch, segment):
+    monkeypatch.setattr(d, "SEGMENT_WORDS", segment)
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(60)]
+    say = lambda n: [vocab[min(int(rng.expovariate(0.08)), 59)] for _ in range(n)]
+    items = [(i, say(rng.choice([2, 3, 5, 10, 13]))) for i in range(15)]
+    texts = []
+    for _ in range(80):
+        own = say(rng.randint(0, 25))
+        if rng.random() < 0.7:  # an item with words changed, moved or left out
+            seen = list(items[rng.randrange(15)][1])
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(seen))
+                seen[at : at + rng.randint(0, 1)] = say(rng.randint(0, 3))
+                seen = seen or ["w0"]
+            own = own + seen + say(rng.randint(0, 9))
+        texts.append(" ".join(own))
+    items = [(i, " ".join(ws)) for i, ws in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.near_items for r in d.decontaminate(docs(enumerate(texts)), bench).collect()}
+    want = brute_near(texts, items)
+    assert any(want) and not all(want)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_proximity_query_against_brute_force(spark, small):
+    rows = {r.doc_id: r for r in op5_proximity(spark, small).collect()}
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    for (i, _), met in zip(texts, brute_near([t for _, t in texts], items)):
+        assert (rows[i].n_near, rows[i].near, rows[i].near_sha256) == (len(met), bool(met), hashlib.sha256(",".join(met).encode()).hexdigest())
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.decontaminate(docs([(1, "a b")]), none).first().n_words == 2
