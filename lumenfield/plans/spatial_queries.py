@@ -12,6 +12,8 @@ from ..queries import query
 from ..sources import adapter as ad
 
 R, B, SEED = 10.0, 200, "20250101|scan|r=10"
+#: Draws of the queries that take all of them.
+FULL = 100_000
 GRID = [float(r) for r in range(1, 31)]
 
 C = f"""{ad.COHORT_SQL},
@@ -180,9 +182,9 @@ def loo_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("gene", "tp", "fp", "tn", "fn", *(F.round(k, 6).alias(k) for k in c.columns[5:]))
 
 
-@query(f"WITH {TAILS}, f AS (SELECT count(*) AS m, min(p_floor) AS p_floor FROM tails WHERE n_l >= 1) SELECT m, round(greatest(p_floor, 1.0::DOUBLE / {B + 1}), 8) AS p_floor, round(0.05::DOUBLE / m, 8) AS c1, round(greatest(p_floor, 1.0::DOUBLE / {B + 1}) / (0.05::DOUBLE / m), 5) AS ratio, greatest(p_floor, 1.0::DOUBLE / {B + 1}) <= 0.05::DOUBLE / m AS passes, (ceil(1 / (0.05::DOUBLE / m)) - 1)::BIGINT AS b_required FROM f")
+@query(f"WITH {TAILS}, f AS (SELECT count(*) AS m, min(p_floor) AS p_floor FROM tails WHERE n_l >= 1) SELECT m, round(greatest(p_floor, 1.0::DOUBLE / {FULL + 1}), 8) AS p_floor, round(0.05::DOUBLE / m, 8) AS c1, round(greatest(p_floor, 1.0::DOUBLE / {FULL + 1}) / (0.05::DOUBLE / m), 5) AS ratio, greatest(p_floor, 1.0::DOUBLE / {FULL + 1}) <= 0.05::DOUBLE / m AS passes, (ceil(1 / (0.05::DOUBLE / m)) - 1)::BIGINT AS b_required FROM f")
 def power_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = nu.certificate(nu.exact_tails(*sets(spark, sf_dir), R).where("n_l >= 1"), 0.05, B)
+    t = nu.certificate(nu.exact_tails(*sets(spark, sf_dir), R).where("n_l >= 1"), 0.05, FULL)
     return t.select("gene", "m", F.round("p_floor", 8).alias("p_floor"), F.round("c1", 8).alias("c1"), F.round("ratio", 5).alias("ratio"), "passes", "b_required")
 
 
