@@ -90,14 +90,14 @@ def significant_centers(u: DataFrame, labelled: DataFrame, radius: float, q: flo
     return st.benjamini_hochberg(exact_tails(u, labelled, radius).where("n_l >= 1"), q=q)
 
 
-def leave_one_out(labelled: DataFrame, radius: float | list[float], kappa: float = 2.0, tie: float = 1e-12) -> DataFrame:
+def leave_one_out(labelled: DataFrame, radius: float | list[float], kappa: float = 2.0, tie: float = 1e-12, near: DataFrame | None = None) -> DataFrame:
     """Per labelled residue (and radius, if there are several): labelled neighbours, P/LP among them, the smoothed vote, and
-    the prediction. Without neighbours, or on a tie, it is BLB."""
+    the prediction. Without neighbours, or on a tie, it is BLB. near: the pairs of labelled residues within the largest radius, where the caller has them."""
     radii = radius if isinstance(radius, list) else [radius]
     y, each = (F.col("class") == "PLP").cast("int"), F.explode(F.array(*(F.lit(float(r)) for r in radii))).alias("radius")
     n = labelled.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"))
     other = labelled.select("gene", F.col("residue_index").alias("point"), y.alias("y2"))
-    near = range_join(labelled, labelled, max(radii)).where("center <> point").join(other, ["gene", "point"]).select("*", each).where("d <= radius")
+    near = (range_join(labelled, labelled, max(radii)) if near is None else near).where("center <> point").join(other, ["gene", "point"]).select("*", each).where("d <= radius")
     votes = near.groupBy("gene", "radius", F.col("center").alias("residue_index")).agg(F.count(F.lit(1)).alias("n_l"), F.sum("y2").alias("n_p"))
     s = labelled.select("gene", "residue_index", "class", y.alias("y"), each).join(votes, ["gene", "radius", "residue_index"], "left").fillna(0, ["n_l", "n_p"]).join(n, "gene")
     prior = (F.col("n_pos") - F.col("y")) / (F.col("n") - 1)
@@ -113,12 +113,12 @@ def confusion(df: DataFrame, by: list[str]) -> DataFrame:
     return c.select("*", *(m.alias(k) for k, m in st.rates(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")).items()))
 
 
-def certificate(floors: DataFrame, q: float, b: int | None = None) -> DataFrame:
-    """Per gene: can any centre be rejected? The best floor (not below 1 / (b + 1) when p is empirical) against q / m; m = 0
+def certificate(floors: DataFrame, q: float, b: int | None = None, by: tuple[str, ...] = ("gene",)) -> DataFrame:
+    """Per gene, or ``by``: can any centre be rejected? The best floor (not below 1 / (b + 1) when p is empirical) against q / m; m = 0
     fails: a gene with rows but without tested centres (n_l = 0 in all of them) has such a row."""
     floors = floors.withColumn("_in", F.col("n_l") > 0) if "n_l" in floors.columns else floors.withColumn("_in", F.lit(True))
     low = F.min(F.when(F.col("_in"), F.col("p_floor")))
-    agg = floors.groupBy("gene").agg(F.count_if("_in").alias("m"), low.alias("p_best"))
+    agg = floors.groupBy(*by).agg(F.count_if("_in").alias("m"), low.alias("p_best"))
     p = F.greatest(F.col("p_best"), F.lit(1.0 / (b + 1))) if b else F.col("p_best")
     c1 = F.when(F.col("m") > 0, F.lit(q) / F.col("m"))
     return agg.withColumn("p_floor", p).withColumn("c1", c1).withColumn("ratio", p / c1).withColumn("passes", F.coalesce(p <= c1, F.lit(False))).withColumn("b_required", (F.ceil(1 / c1) - 1).cast("long"))

@@ -12,23 +12,27 @@ from . import nulls as nu
 from . import spatial as sp
 
 
-def scan(u: DataFrame, labelled: DataFrame, radii: list[float], q: float = 0.05) -> DataFrame:
+def scan(u: DataFrame, labelled: DataFrame, radii: list[float], q: float = 0.05, near: DataFrame | None = None) -> DataFrame:
     """The tested centres of all radii, as significant_centers() has them, with a column radius: one join at the largest
-    radius serves them all."""
+    radius serves them all. near: that join, where the caller has it. A pair counts once, at the first radius that it is within; a radius then sums
+    the counts up to it, so pairs aren't repeated for each radius."""
     lab = labelled.select("gene", F.col("residue_index").alias("point"), (F.col("class") == "PLP").alias("is_p"))
-    near = sp.range_join(u, u, max(radii)).join(lab, ["gene", "point"], "left")
-    each = near.select("gene", "center", "d", "is_p", F.explode(F.array(*(F.lit(float(r)) for r in radii))).alias("radius")).where("d <= radius")
-    occupied = each.groupBy("gene", "radius", F.col("center").alias("residue_index")).agg(F.count(F.lit(1)).alias("n_u"), F.count("is_p").alias("n_l"), F.count_if("is_p").alias("n_p"))
+    met = (sp.range_join(u, u, max(radii)) if near is None else near).join(lab, ["gene", "point"], "left")
+    grid = F.array(*(F.lit(float(r)) for r in sorted(radii)))
+    first = F.get(F.filter(grid, lambda r: r >= F.col("d")), F.lit(0)).alias("first")
+    counts = met.groupBy("gene", F.col("center").alias("residue_index"), first).agg(F.count(F.lit(1)).alias("n_u"), F.count("is_p").alias("n_l"), F.count_if("is_p").alias("n_p"))
+    each = counts.select("gene", "residue_index", "n_u", "n_l", "n_p", F.explode(F.filter(grid, lambda r: r >= F.col("first"))).alias("radius"))
+    occupied = each.groupBy("gene", "radius", "residue_index").agg(*(F.sum(c).alias(c) for c in ("n_u", "n_l", "n_p")))
     return st.benjamini_hochberg(nu.with_tails(u, labelled, occupied.where("n_l >= 1")), q=q, by=["gene", "radius"])
 
 
-def radius_rows(u: DataFrame, labelled: DataFrame, tested: DataFrame, radii: list[float]) -> DataFrame:
+def radius_rows(u: DataFrame, labelled: DataFrame, tested: DataFrame, radii: list[float], near: DataFrame | None = None) -> DataFrame:
     """Per radius: tested and significant centres, coverage, fold enrichment inside, and whether it is admissible."""
     total = u.groupBy("gene").agg(F.count(F.lit(1)).alias("m_all"))
     lab = labelled.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") == "PLP").alias("n_plp"))
     rows = tested.groupBy("gene", "radius").agg(F.count(F.lit(1)).alias("m"), F.count_if("significant").alias("n_sig"), F.min("p").alias("p_min"), F.max(F.when(F.col("significant"), F.col("n_l"))).alias("absorbed"))
     sig = tested.where("significant").select("gene", "radius", F.col("residue_index").alias("center"))
-    covered = sp.range_join(u, u, max(radii)).join(sig, ["gene", "center"]).where("d <= radius").select("gene", "radius", F.col("point").alias("residue_index")).distinct()
+    covered = (sp.range_join(u, u, max(radii)) if near is None else near).join(sig, ["gene", "center"]).where("d <= radius").select("gene", "radius", F.col("point").alias("residue_index")).distinct()
     inside = covered.join(labelled.select("gene", "residue_index", "class"), ["gene", "residue_index"], "left").groupBy("gene", "radius").agg(F.count(F.lit(1)).alias("n_cov"), F.count("class").alias("l_in"), F.count_if(F.col("class") == "PLP").alias("p_in"))
     out = rows.join(inside, ["gene", "radius"], "left").fillna(0, ["n_cov", "l_in", "p_in"]).join(total, "gene").join(lab, "gene")
     enrichment = F.when(F.col("n_sig") == 0, 0.0).when(F.col("l_in") > 0, (F.col("p_in") / F.col("l_in")) / (F.col("n_plp") / F.col("n")))
@@ -40,14 +44,17 @@ def radius_rows(u: DataFrame, labelled: DataFrame, tested: DataFrame, radii: lis
 OBJECTIVES = ["loo_mcc", "perm_evidence_zg", "fold_enrichment", "neighbor_stability"]
 
 
-def objectives(u: DataFrame, labelled: DataFrame, tested: DataFrame, radii: list[float], step: float) -> DataFrame:
+def objectives(u: DataFrame, labelled: DataFrame, tested: DataFrame, radii: list[float], step: float, near: DataFrame | None = None) -> DataFrame:
     """radius_rows() with the four OBJECTIVES: leave-one-out MCC, evidence Zg, fold enrichment, and the stability of the
-    significant set against the neighbouring radii. A radius without significant centres scores 0 in enrichment and stays admissible."""
-    rows = radius_rows(u, labelled, tested, radii)
-    loo = nu.confusion(nu.leave_one_out(labelled, radii), ["gene", "radius"]).select("gene", "radius", F.col("mcc").alias("loo_mcc"))
+    significant set against the neighbouring radii. A radius without significant centres scores 0 in enrichment and stays admissible.
+    near: the pairs of positions within the largest radius, where the caller has them; all four are made from them."""
+    near = sp.range_join(u, u, max(radii)) if near is None else near
+    rows = radius_rows(u, labelled, tested, radii, near)
+    to_labelled = near.join(labelled.select("gene", F.col("residue_index").alias("point")), ["gene", "point"], "left_semi")
+    among = to_labelled.join(labelled.select("gene", F.col("residue_index").alias("center")), ["gene", "center"], "left_semi")
+    loo = nu.confusion(nu.leave_one_out(labelled, radii, near=among), ["gene", "radius"]).select("gene", "radius", F.col("mcc").alias("loo_mcc"))
     each = F.explode(F.array(*(F.lit(float(r)) for r in radii))).alias("radius")
-    near = sp.range_join(u, labelled, max(radii)).select("gene", "center", "point", "d", each).where("d <= radius")
-    zg = nu.label_moments(near, labelled).select("gene", "radius", F.col("zg").alias("perm_evidence_zg"))
+    zg = nu.label_moments(to_labelled.select("gene", "center", "point", "d", each).where("d <= radius"), labelled).select("gene", "radius", F.col("zg").alias("perm_evidence_zg"))
     stable = neighbour_jaccard(tested, step).select("gene", "radius", F.col("stability").alias("neighbor_stability"))
     out = rows.join(loo, ["gene", "radius"]).join(zg, ["gene", "radius"]).join(stable, ["gene", "radius"], "left")
     return out.fillna(0.0, ["neighbor_stability"])

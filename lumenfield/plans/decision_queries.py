@@ -51,14 +51,16 @@ rk AS (SELECT *, row_number() OVER (ORDER BY {_TIES}) AS rank, lead(distance) OV
 ch AS (SELECT *, CASE WHEN second IS NOT NULL THEN CASE WHEN distance = 0 THEN 0 ELSE (second - distance) / distance END END AS gap FROM rk)"""
 
 
-def _tested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     u, c = sets(spark, sf_dir)
     u, c = u.cache(), c.cache()
-    return u, c, rg.scan(u, c, RADII).cache()  # what follows reads it many times
+    near = sp.range_join(u, u, max(RADII)).cache()  # the scan and all objectives are made from these pairs
+    return u, c, rg.scan(u, c, RADII, near=near).cache(), near
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.objectives(*_tested(spark, sf_dir), RADII, STEP).cache()
+    u, c, tested, near = _tested(spark, sf_dir)
+    return rg.objectives(u, c, tested, RADII, STEP, near).cache()
 
 
 def _chosen(c: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import footprint as fp
 from ..operators import nulls as nu
 from ..operators import regions as rg
 from ..operators import selection as se
+from ..operators import spatial as sp
 
 #: Defaults of a run. FROZEN ones may not be changed by an overlay.
 DEFAULTS = {
@@ -75,12 +76,13 @@ def analyse(u: DataFrame, cohort: DataFrame, overlay: dict | None = None, radii:
         return Result(terminal_state(error=True), facts={"cause": "no cohort with both classes"})
     r = c["radii"]
     radii = radii or [r["floor"] + i * r["step"] for i in range(int((r["ceiling"] - r["floor"]) / r["step"]) + 1)]
-    tested = rg.scan(u, cohort, radii, c["q"]).cache()
-    power = nu.certificate(tested.withColumn("gene", F.concat_ws("|", "gene", F.col("radius").cast("string"))), c["q"])
+    near = sp.range_join(u, u, max(radii)).cache()
+    tested = rg.scan(u, cohort, radii, c["q"], near).cache()
+    power = nu.certificate(tested, c["q"], by=("gene", "radius"))
     if power.where("passes").isEmpty():
         return Result(terminal_state(underpowered=True), {"tested": tested}, {"cause": "no radius can reject"})
     step = min((b - a for a, b in zip(radii, radii[1:])), default=r["step"])
-    rows = rg.objectives(u, cohort, tested, radii, step).cache()
+    rows = rg.objectives(u, cohort, tested, radii, step, near).cache()
     chosen = se.choose(rows, "radius", rg.OBJECTIVES, ["gene"], ["neighbor_stability", "perm_evidence_zg"], *c["near_tie"]).cache()
     best = chosen.where("rank = 1").select("gene", "radius", "grade").collect()  # a row for each gene
     if not best:
