@@ -181,7 +181,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         & (F.col("a_band") == first_band) & (F.col("a_half") == first_half)
         & (F.levenshtein("a_word", "b_word", 1) == 1)
     )
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & meets)
+    # a word has many keys, which Spark doesn't count: neither side may be broadcast
+    pairs = left.alias("l").hint("merge").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & meets)
     return pairs.select(F.col("a_word").alias("a"), F.col("a_n").alias("n_a"), F.col("b_word").alias("b"), F.col("b_n").alias("n_b"))
 
 
@@ -194,7 +195,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = stored(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = now.select(F.col("word").alias("_w"), F.col("root").alias("_next"))
-        step = now.join(on, now["root"] == on["_w"], "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved"))
+        step = now.hint("merge").join(on, now["root"] == on["_w"], "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved"))
         step = stored(step, "roots")
         if not step.where("moved").limit(1).count():
             return step.select("word", "root")
@@ -213,7 +214,7 @@ def group_variants(words: DataFrame, ratio: float = 2) -> DataFrame:
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     best = best.select("word", "n_near", F.col("best.other").alias("other"), (-F.col("best.m")).alias("m"))
     enough = F.col("m") >= F.lit(ratio) * F.col("n")
-    found = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("other")).alias("form"), F.when(enough, F.col("m")).alias("form_n"))
+    found = words.hint("merge").join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("other")).alias("form"), F.when(enough, F.col("m")).alias("form_n"))
     found = stored(found, "variants")
     led = roots(found.where("form IS NOT NULL"))
-    return found.join(led, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.hint("merge").join(led, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -95,3 +95,17 @@ def test_query_on_small_texts(spark, docs):
     words = {w: n for w, n in brute_counts(rows, 97, 5).items() if n >= 3}
     counts = sl.word_counts(docs(rows), 97, 5).where("n >= 3")
     assert sorted(tuple(r) for r in sl.group_variants(counts).select("word", "form", "root", "n", "n_near", "form_n").collect()) == brute_groups(words)
+
+
+def test_keys_of_words_are_not_broadcast(spark, monkeypatch):
+    """A word has a dozen keys and more, which Spark doesn't count: what looks small may be a gigabyte in the driver."""
+    seen = []
+    monkeypatch.setattr(sl, "stored", lambda df, name, kept=sl.stored: seen.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+        words = spark.createDataFrame([("hallo", 9), ("halo", 3), ("hallos", 4)], "word string, n long")
+        assert sl.group_variants(words).count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert any("Generate" in p for p in seen) and not any("BroadcastExchange" in p for p in seen)
