@@ -128,3 +128,11 @@ def test_no_exploded_side_is_broadcast(spark, table):
                 assert "Generate explode" not in side.split("Exchange", 1)[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_plan_of_candidates_stays_small(spark, small):
+    """The driver keeps the text of each plan: what candidates are made from must not be in the plans over them."""
+    from lumenfield import queries as q
+
+    plan = q.QUERIES["radius_choice"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 0 and plan.count("Exchange") < 30
