@@ -110,6 +110,17 @@ def test_positional_null_counts_every_draw(table):
         assert abs(r.null_mean - x.mean()) < 1e-12 and abs(r.null_sd - x.std(ddof=1)) < 1e-9 and abs(r.p_emp - ((x >= r.n_p).sum() + 1) / 10) < 1e-12
 
 
+def test_nearest(table):
+    pdf, u, lab = table
+    got = {(r.gene, r.point): (r.center, r.d) for r in sp.nearest(u, lab).collect()}
+    for gene, g in pdf.groupby("gene"):
+        d, some = distances(g), np.flatnonzero(g["class"] != "-")
+        for i, row in zip(g["residue_index"], d):
+            at = some[row[some].argmin()]
+            assert got[gene, i] == (g["residue_index"].iloc[at], row[at])
+    assert len(got) == len(pdf) and sp.nearest(u, lab.limit(0)).count() == 0
+
+
 def test_cohesion(table):
     pdf, u, _ = table
     got = {(r.gene, r.label): (r.n, r.mean_distance) for r in an.cohesion(u).collect()}
